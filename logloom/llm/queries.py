@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup as _exact
 from . import line_dedup as _lines
+from . import near_dedup as _near
 from .common import table
 
 
@@ -17,9 +18,14 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near.near_classes(table(spark, sf_dir, "documents"), words=2)
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_line_dedup": op4_line_dedup,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 ORACLES = {
@@ -43,5 +49,26 @@ WITH l AS (
 SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (k.keeper <> l.doc_id) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (k.keeper IS NULL OR k.keeper = l.doc_id), '')) AS kept_sha256
 FROM l LEFT JOIN k USING (key) GROUP BY l.doc_id
+""",
+    "op10_minhash_near_dedup": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS t FROM documents
+), s AS (
+  SELECT doc_id, unnest(CASE WHEN len(t) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(t) = 1 THEN t
+         ELSE list_distinct(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) END) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), e AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)
+), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (
+  SELECT a AS doc_id, b AS reach FROM u UNION SELECT r.doc_id, u.b FROM r JOIN u ON u.a = r.reach
+)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles,
+       least(d.doc_id, coalesce(min(r.reach), d.doc_id)) AS component_id,
+       d.doc_id <= coalesce(min(r.reach), d.doc_id) AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id) GROUP BY d.doc_id
 """,
 }
