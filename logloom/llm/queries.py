@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup as _exact
 from . import line_dedup as _lines
+from . import mixing as _mixing
 from . import near_dedup as _near
 from .common import table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixing.by_source(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -23,12 +28,40 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_line_dedup": op4_line_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 ORACLES = {
+    "op1_mixing": r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w
+  FROM d GROUP BY source
+), o AS (SELECT *, row_number() OVER (ORDER BY source_size::DOUBLE / w, source NULLS LAST) AS k FROM s),
+c AS (
+  SELECT *, coalesce(sum(3 * source_size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
+         sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_w, sum(source_size) OVER () AS total
+  FROM o
+), f AS (SELECT * FROM c WHERE (total - capped) * w <= 3 * source_size * open_w ORDER BY k LIMIT 1),
+t AS (
+  SELECT c.source, c.source_size, CASE WHEN c.k < f.k THEN (3 * c.source_size)::DOUBLE
+         ELSE ((f.total - f.capped) * c.w)::DOUBLE / f.open_w::DOUBLE END AS target FROM c, f
+), q AS (SELECT *, floor(target)::BIGINT AS quota FROM t),
+x AS (
+  SELECT d.doc_id, d.size, q.source_size, q.target, q.quota,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('mix-0:' || d.doc_id), d.doc_id
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+)
+SELECT doc_id, size, source_size, target,
+       CASE WHEN source_size = 0 THEN 0 ELSE size * (quota // source_size)
+            + greatest(0, least(size, quota % source_size - before)) END::BIGINT AS taken
+FROM x
+""",
     "op2_exact_dedup": r"""
 WITH n AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents
