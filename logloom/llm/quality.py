@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS_CLASS, held_out
+from .common import WS_CLASS, held_out, labelled
 
 
 def _rate(part: Column, whole: Column) -> Column:
@@ -52,28 +52,32 @@ def statistics(text: Column) -> dict[str, Column]:
     }
 
 
-#: Features over the counts above.
-FEATURES: dict[str, Column] = {
-    "log_chars": F.log1p(F.col("_chars").cast("double")),
-    "log_words": F.log1p(F.col("_words").cast("double")),
-    "odd_symbols": _rate(F.col("_symbols") - F.col("_common"), F.col("_chars")),
-    "punctuation": _rate(F.col("_common"), F.col("_chars")),
-    "upper": _rate(F.col("_upper"), F.col("_chars")),
-    "digits": _rate(F.col("_digits"), F.col("_chars")),
-    "shouts": _rate(F.col("_shouts"), F.col("_words")),
-    "word_length": _rate(F.col("_letters_in_words"), F.col("_words")),
-    "distinct_words": _rate(F.col("_kinds"), F.col("_words")),
-    "vocabulary_growth": F.log1p(F.col("_kinds").cast("double")) / F.log1p(F.greatest(F.col("_words"), F.lit(1)).cast("double")),
-    "repeats_per_word": _rate(F.col("_words"), F.col("_kinds")),
-    "distinct_lines": _rate(F.col("_line_kinds"), F.col("_lines")),
-    "words_per_line": _rate(F.col("_words"), F.col("_lines")),
-}
+#: Features over the counts above, in the order of the model's columns.
+FEATURES = ("log_chars", "log_words", "odd_symbols", "punctuation", "upper", "digits", "shouts", "word_length", "distinct_words", "vocabulary_growth", "repeats_per_word", "distinct_lines", "words_per_line")
+
+
+def features() -> dict[str, Column]:
+    return {
+        "log_chars": F.log1p(F.col("_chars").cast("double")),
+        "log_words": F.log1p(F.col("_words").cast("double")),
+        "odd_symbols": _rate(F.col("_symbols") - F.col("_common"), F.col("_chars")),
+        "punctuation": _rate(F.col("_common"), F.col("_chars")),
+        "upper": _rate(F.col("_upper"), F.col("_chars")),
+        "digits": _rate(F.col("_digits"), F.col("_chars")),
+        "shouts": _rate(F.col("_shouts"), F.col("_words")),
+        "word_length": _rate(F.col("_letters_in_words"), F.col("_words")),
+        "distinct_words": _rate(F.col("_kinds"), F.col("_words")),
+        "vocabulary_growth": F.log1p(F.col("_kinds").cast("double")) / F.log1p(F.greatest(F.col("_words"), F.lit(1)).cast("double")),
+        "repeats_per_word": _rate(F.col("_words"), F.col("_kinds")),
+        "distinct_lines": _rate(F.col("_line_kinds"), F.col("_lines")),
+        "words_per_line": _rate(F.col("_words"), F.col("_lines")),
+    }
 
 
 def with_features(rows: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
     """``rows`` with the columns of ``keep`` and all features."""
     counted = rows.select(*keep, *[c.alias(n) for n, c in statistics(F.col(text)).items()])
-    return counted.select(*keep, *[c.alias(n) for n, c in FEATURES.items()])
+    return counted.select(*keep, *[c.alias(n) for n, c in features().items()])
 
 
 Rule = tuple[tuple[int, str, float], ...]  # (feature, "<=" or ">", cut), all of which hold
@@ -207,14 +211,6 @@ def fit_sample(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, se
     return Ensemble(b, kept, terms)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, y, text) of a bounded sample: the ``max_rows`` labelled ids first in a seeded order."""
-    ids = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("y")).filter("id is not null and y is not null").filter(~held_out(F.col("id")))
-    ids = ids.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id", F.lit(3)), "id").limit(max_rows)
-    # At most max_rows rows of 12 bytes.
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")
-
-
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 8000, id_col: str = "doc_id", text_col: str = "text", **params) -> Ensemble:
     sample = with_features(labelled(docs, labels, label, max_rows, id_col, text_col), "text", ["id", "y"]).limit(4 * max_rows).toPandas().sort_values(["id", *FEATURES], kind="stable")
     return fit_sample(sample[list(FEATURES)].to_numpy(float).reshape(-1, len(FEATURES)), sample["y"].to_numpy(float), **params)

@@ -12,6 +12,7 @@ from . import mixing as _mixing
 from . import near_dedup as _near
 from . import packing as _packing
 from . import quality as _quality
+from . import toxicity as _toxicity
 from .common import held_out, table
 
 
@@ -31,6 +32,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _toxicity.score(docs, _toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return _quality.score(docs, _quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -50,6 +56,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_line_dedup": op4_line_dedup,
+    "op5_toxicity": op5_toxicity,
     "op8_quality": op8_quality,
     "op9_language_id": op9_language_id,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
