@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ann as _ann
 from . import exact_dedup as _exact
 from . import language_id as _language
 from . import line_dedup as _lines
@@ -12,6 +13,7 @@ from . import mixing as _mixing
 from . import near_dedup as _near
 from . import packing as _packing
 from . import quality as _quality
+from . import secret_scan as _secrets
 from . import toxicity as _toxicity
 from .common import held_out, table
 
@@ -37,6 +39,15 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _toxicity.score(docs, _toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return _ann.search(rows, rows.filter("vec_id % 50 = 0"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return _quality.score(docs, _quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -57,6 +68,8 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_line_dedup": op4_line_dedup,
     "op5_toxicity": op5_toxicity,
+    "op6_secret_scan": op6_secret_scan,
+    "op7_ann": op7_ann,
     "op8_quality": op8_quality,
     "op9_language_id": op9_language_id,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
