@@ -1,8 +1,67 @@
-"""Corpus pipeline (stages are filled in below)."""
+"""Corpus pipeline: quality, line dedup, near dedup, mixing, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir); its result is written as Parquet and
+read again as the next stage's ``docs``.  All but the last return the columns
+of ``documents``.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from logloom.llm import line_dedup, mixing, near_dedup, packing, quality
+from logloom.llm.common import shared_dir, table
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject (score of 0.3 or more)."""
+    return quality.apply(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated long lines go; texts and n_chars change, no document goes."""
+    done = line_dedup.apply(docs)
+    if "n_chars" not in docs.columns:
+        return done
+    kind = docs.schema["n_chars"].dataType
+    return done.withColumn("n_chars", F.length("text").cast(kind)).select(*docs.columns)
+
+
+def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five words, similarity 0.8)."""
+    return near_dedup.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mix to source weights takes them."""
+    return mixing.repeat_rows(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the mixed documents and their places in sequences of 1024 tokens."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("line_dedup", drop_lines),
+    ("near_dedup", keep_distinct),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: The classifier and the tokenizer have no SQL form; tests compare each stage with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    base = f"{shared_dir(spark)}/logloom/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
+        docs = spark.read.parquet(f"{base}/{name}")
+    return docs
