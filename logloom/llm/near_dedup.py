@@ -17,9 +17,12 @@ A document's set holds the 64-bit hashes of its distinct word shingles; the
    member meets the list's smallest member and its neighbours in a seeded
    order.  The links found merge most of a group of near copies.  Then, for
    lists that still hold more than one component, members outside the list's
-   largest component meet all members of other components.  Pairs already
-   connected need no link of their own, so a group of thousands of near copies
-   yields no list of all its pairs, and no link between components is lost.
+   largest component meet all members of other components: as pairs where the
+   list is short (``short_list``), else in blocks.  A block task holds the full
+   sets of two bounded blocks of one long list and gets all their intersections
+   from one matrix product, so thousands of near copies that do not reach the
+   threshold with each other yield no rows at all, and those that do yield one
+   row a document.
 4. *Filter.*  The union of two sketches estimates the similarity; pairs far
    below the threshold (again below 1e-8) go.
 5. *Exact check* of the rest on the full sets, then components.
@@ -36,6 +39,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -108,24 +112,34 @@ def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(doc), pa.array(rep), pa.array(n), pa.array(np.repeat(sizes, sizes).astype(np.int32)), pa.array(listed.astype(np.int32))], ["value", "doc", "rep", "n", "size", "listed"])
 
 
-def union_overlap(a: np.ndarray, b: np.ndarray, k: int) -> tuple[int, int]:
-    """Shared values among the ``k`` smallest of the union of two sketches, and how many those are."""
-    union = np.union1d(a, b)[:k]
-    return int(np.isin(union, a, assume_unique=True).__and__(np.isin(union, b, assume_unique=True)).sum()), len(union)
+def union_overlaps(x: list[bytes], y: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By row: shared values among the ``k`` smallest of the union of two sketches,
+    how many those are, and how many values the union has."""
+    width = k * 2
+    rows = np.full((len(x), width), np.iinfo(np.uint64).max, np.uint64)
+    for at, side in ((0, x), (k, y)):
+        sizes = np.array([len(s) // 8 for s in side])
+        flat = np.frombuffer(b"".join(side), np.uint64)
+        row = np.repeat(np.arange(len(side)), sizes)
+        rows[row, at + np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+    total = np.array([(len(a) + len(b)) // 8 for a, b in zip(x, y, strict=True)])
+    rows.sort(axis=1)
+    real = np.arange(width)[None, :] < total[:, None]
+    again = np.zeros(rows.shape, bool)
+    again[:, 1:] = (rows[:, 1:] == rows[:, :-1]) & real[:, 1:]
+    rank = np.cumsum(real & ~again, axis=1)  # place of each value among the distinct ones
+    return (again & (rank <= k)).sum(axis=1), np.minimum(rank[:, -1], k), rank[:, -1]
 
 
 def _estimated(k: int, percent: int):
-    least = [tail_bound(u, percent / 100) for u in range(k + 1)]
+    least = np.array([tail_bound(u, percent / 100) for u in range(k + 1)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            rows = zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True)
-            for x, y, nx, ny in rows:
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                shared, size = union_overlap(a, b, k)
-                whole = nx <= k and ny <= k and len(np.union1d(a, b)) <= k
-                keep.append(100 * shared >= percent * size if whole else shared >= least[size])
+            nx, ny = (batch.column(i).to_numpy(zero_copy_only=False) for i in (4, 5))
+            shared, size, union = union_overlaps(batch.column(2).to_pylist(), batch.column(3).to_pylist(), k)
+            whole = (nx <= k) & (ny <= k) & (union <= k)
+            keep = np.where(whole, 100 * shared >= percent * size, shared >= least[size])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -150,6 +164,72 @@ def _exact(words: int, percent: int):
     return run
 
 
+def _sets(words: int):
+    """(doc, shingle set as bytes) of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, words).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc", "set"])
+
+    return run
+
+
+def block_links(docs: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Rows that join the documents connected by links between different components."""
+    sizes = np.array([len(s) for s in sets])
+    value, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, column = np.repeat(np.arange(len(sets)), sizes), inverse
+    shared = count[column] > 1
+    kept = np.cumsum(count > 1) - 1
+    row, column = row[shared], kept[column[shared]]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for low in range(0, int(kept[-1]) + 1 if len(kept) else 0, 2048):
+        a, b = np.searchsorted(column, [low, low + 2048])
+        part = np.zeros((len(sets), 2048), np.float32)
+        part[row[a:b], column[a:b] - low] = 1
+        both += part @ part.T
+    link = (both > 0) & (100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)) & ((comps[:, None] != comps[None, :]) | (docs[:, None] == docs[None, :]))
+    np.fill_diagonal(link, True)
+    label = np.arange(len(sets))
+    while True:
+        lowest = np.where(link, label[None, :], len(sets)).min(axis=1)
+        if (lowest == label).all():
+            return [(int(docs[j]), int(docs[i])) for i, j in enumerate(label) if docs[i] != docs[j]]
+        label = lowest
+
+
+def _block(percent: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.frombuffer(s, np.uint64) for s in pdf["set"]]
+        return pd.DataFrame(block_links(pdf["doc"].to_numpy(), pdf["comp"].to_numpy(), sets, percent), columns=["a", "b"])
+
+    return run
+
+
+def _long_list_links(rows: DataFrame, texts: DataFrame, words: int, percent: int, block_values: int, block_rows: int) -> DataFrame:
+    """Links within long lists (value, doc, comp, n), found block against block.
+
+    Linked sets differ in size by the threshold at most, so a list is banded by
+    size and only neighbouring bands meet.  A block holds at most ``block_rows``
+    documents and about ``block_values`` set values.
+    """
+    sets = materialize(texts.join(rows.select("doc").distinct(), "doc", "left_semi").mapInArrow(_sets(words), "doc long, set binary").distinct(), "near-sets")
+    width = math.log(100 / percent)
+    rows = rows.withColumn("band", F.floor(F.log("n") / width).cast("int"))
+    bands = rows.groupBy("value", "band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_rows), F.ceil(F.sum("n") / block_values)).cast("int").alias("blocks"))
+    bands = materialize(bands, "near-bands")
+    own = rows.join(bands, ["value", "band"]).withColumn("mine", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    near = own.select("value", "doc", "comp", "band", "mine", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("other"))
+    near = near.join(bands.select("value", F.col("band").alias("other"), F.col("blocks").alias("others")), ["value", "other"])
+    near = near.withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    me, they = F.struct(F.col("band").alias("x"), F.col("mine").alias("y")), F.struct(F.col("other").alias("x"), F.col("theirs").alias("y"))
+    met = near.select("value", "doc", "comp", F.least(me, they).alias("p"), F.greatest(me, they).alias("q"))
+    return met.join(sets, "doc").select("value", "p.x", "p.y", F.col("q.x").alias("u"), F.col("q.y").alias("v"), "doc", "comp", "set").groupBy("value", "x", "y", "u", "v").applyInPandas(_block(percent), "a long, b long")
+
+
 def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, words: int, k: int, percent: int, broadcast_ids: int) -> DataFrame:
     """The pairs (a, b) that reach the threshold on their full sets."""
     side = reps.select("doc", "sketch", "n")
@@ -186,13 +266,17 @@ def near_classes(
     percent: int = 80,
     k: int = 32,
     salt_size: int = 4096,
+    short_list: int = 32,
+    block_rows: int = 1024,
+    block_values: int = 1_000_000,
     broadcast_ids: int = 500_000,
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     ``percent``: least similarity, as 100 * intersection >= percent * union.
     ``salt_size``: members of one list that share a task while neighbours are
-    paired.  ``broadcast_ids``: most ids (8 bytes each) that are broadcast to
+    paired.  ``short_list``: longest list whose members are paired row by row.
+    ``broadcast_ids``: most ids (8 bytes each) that are broadcast to
     fetch texts; more are joined by a shuffle.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
@@ -212,14 +296,16 @@ def near_classes(
     order = Window.partitionBy("value", "salt").orderBy(F.xxhash64("doc", F.lit(7)), "doc")
     beside = lists.withColumn("salt", salt).select(F.lag("doc").over(order).alias("a"), F.col("doc").alias("b"), F.lag("n").over(order).alias("na"), F.col("n").alias("nb"))
     first = stars.union(beside).filter(~far("na", "nb") & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    first = materialize(first, "near-first")
     links = _verified(first, reps, texts, words, k, percent, broadcast_ids)
     found = components(links)
 
     placed = lists.join(found.toDF("doc", "comp"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
     sizes = placed.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("members"))
-    main = sizes.groupBy("value").agg(F.max(F.struct("members", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
-    mixed = materialize(placed.join(main.select("value", F.col("top.comp").alias("main")), "value"), "near-mixed")
-    left, right = mixed.filter("comp <> main").alias("l"), mixed.alias("r")
+    main = sizes.groupBy("value").agg(F.max(F.struct("members", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"), F.sum("members").alias("length")).filter("comps > 1")
+    mixed = materialize(placed.join(main.select("value", F.col("top.comp").alias("main"), "length"), "value"), "near-mixed")
+    short = mixed.filter(F.col("length") <= short_list)
+    left, right = short.filter("comp <> main").alias("l"), short.alias("r")
     cross = (
         left.join(right, "value")
         .filter("l.comp <> r.comp")
@@ -229,6 +315,8 @@ def near_classes(
         .join(first, ["a", "b"], "left_anti")
     )
     more = _verified(cross, reps, texts, words, k, percent, broadcast_ids)
+    long = mixed.filter(F.col("length") > short_list).select("value", "doc", "comp", "n")
+    more = more.union(_long_list_links(long, texts, words, percent, block_values, block_rows))
     labels = components(links.union(more))
 
     classes = reps.join(labels.toDF("doc", "component"), "doc", "left").select("gid", F.coalesce("component", "doc").alias("component"))
