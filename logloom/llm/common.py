@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom.scratch import materialize, shared_dir
+
+__all__ = ["WS_CLASS", "crc_mod", "crc_of", "held_out", "labelled", "materialize", "shared_dir", "table"]
+
 #: Bytes that separate words everywhere in this subpackage: blank and TAB..CR.
 WS_CLASS = r"[\x20\x09-\x0D]"
 
@@ -17,40 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and every executor share.
-
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (local tests) a folder of our own is used, below the warehouse.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session is gone already; the folder is scratch
-        pass
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it back.
-
-    This cuts the lineage at a point that survives the loss of any executor.
-    Files go when the Python process ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/logloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def crc_mod(doc_id: Column, m: int) -> Column:
     """crc32 of the id's decimal text, modulo ``m``."""
     return F.crc32(doc_id.cast("string").cast("binary")) % m

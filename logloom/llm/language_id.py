@@ -139,7 +139,7 @@ class ContextTrees:
                     wider[i] = row
             row_of = wider
         self.row_of = row_of
-        self.cost = self.cost.reshape(-1, len(self.languages))
+        self.cost = self.cost.reshape(len(self.rows) * base, len(self.languages))
 
     def code_length(self, text: bytes) -> np.ndarray:
         """Bits of the whole text in each language."""

@@ -48,11 +48,15 @@ def cycle_weights(sources: Sequence[str | None]) -> dict[str | None, int]:
     return {s: 1 + i % 3 for i, s in enumerate(ordered)}
 
 
-def targets(sizes: dict, weights: dict, max_repeats: int) -> dict:
-    """Shares of the total by weight, none above ``max_repeats`` times its source."""
+def targets(sizes: dict, weights: dict, max_repeats: int, total: int | None = None) -> dict:
+    """Shares of the total by weight, none above ``max_repeats`` times its source.
+
+    ``total``: words of all documents; by default the sources do not overlap.
+    """
+    total = sum(sizes.values()) if total is None else total
     capped: set = set()
     while True:
-        left = sum(sizes.values()) - sum(max_repeats * sizes[s] for s in capped)
+        left = total - sum(max_repeats * sizes[s] for s in capped)
         open_w = sum(weights[s] for s in sizes if s not in capped)
         above = {s for s in sizes if s not in capped and left * weights[s] > max_repeats * sizes[s] * open_w}
         if not above:
@@ -143,7 +147,7 @@ def mix(docs: DataFrame, members: Column, id_col: str = "doc_id", text_col: str
         for s in dict.fromkeys(r["members"] or ()):
             sizes[s] = sizes.get(s, 0) + r["size"]
     weights = weights or cycle_weights(list(sizes))
-    goal = targets(sizes, weights, max_repeats)
+    goal = targets(sizes, weights, max_repeats, sum(r["size"] for r in found))
     sent = route([r["size"] for r in found], [r["members"] or [] for r in found], {s: int(t) for s, t in goal.items()}, max_repeats)
     plan = []
     for r, to in zip(found, sent, strict=True):
