@@ -39,6 +39,35 @@ def regex(a: Column, b: Column, patterns: Sequence[tuple[str, int, str]], param:
     return out
 
 
+def parameterize(a: Column, b: Column, param: str = "<*>", least_affix: int | None = None, patterns: Sequence[tuple[str, int, str, float]] = ()) -> Column:
+    """Struct (template_token, extracted, confidence, strategy) of two tokens.
+
+    Order: equal tokens, regular expressions, affixes (if asked for), wildcard.
+    """
+
+    def result(token: Column, extracted: Column, confidence: Column, strategy: str) -> Column:
+        return F.struct(token.alias("template_token"), extracted.cast("array<string>").alias("extracted"), confidence.cast("double").alias("confidence"), F.lit(strategy).alias("strategy"))
+
+    out = result(F.lit(param), F.array(a, b), F.lit(0.5), "full")
+    if least_affix is not None:
+        p = common_prefix(a, b)
+        s = common_prefix(F.reverse(F.substring(a, p + 1, F.length(a))), F.reverse(F.substring(b, p + 1, F.length(b))))
+        middle = lambda t: F.substring(t, p + 1, F.length(t) - p - s)
+        confidence = F.least(F.lit(0.6) + F.lit(0.3) * ((p + s) / ((F.length(a) + F.length(b)) / 2)), F.lit(0.95))
+        out = F.when(affix(a, b, param, least_affix).isNotNull(), result(affix(a, b, param, least_affix), F.array(middle(a), middle(b)), confidence, "affix")).otherwise(out)
+    for pattern, groups, form, sure in reversed(list(patterns)):
+        token = regex(a, b, [(pattern, groups, form)], param)
+        extracted = F.array(*[F.regexp_extract(t, pattern, g) for t in (a, b) for g in range(1, groups + 1)])
+        out = F.when(token.isNotNull(), result(token, extracted, F.lit(sure), "regex")).otherwise(out)
+    return F.when(a == b, result(b, F.array(), F.lit(1.0), "exact")).otherwise(out)
+
+
+def fits(template_token: Column, token: Column, param: str = "<*>") -> Column:
+    """Whether a token is an instance of a template token, wildcards standing for one or more characters."""
+    pattern = F.concat(F.lit("\\A\\Q"), F.replace(template_token, F.lit(param), F.lit("\\E.+?\\Q")), F.lit("\\E\\z"))
+    return F.rlike(token, pattern)
+
+
 def template(new: Column, old: Column, param: str = "<*>", masked_to_param: bool = False, use_affix: bool = False, least_affix: int = 2, patterns: Sequence[tuple[str, int, str]] = ()) -> Column:
     """Template of two token arrays of one length."""
 

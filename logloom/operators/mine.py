@@ -47,17 +47,25 @@ def prepared(line: Column, config: MinerConfig, stages: Sequence = ()) -> Column
     return tokens.tokenize(F.array_join(out, " "), config.extra_delimiters) if steps else out
 
 
-def _fold(rules: Rules):
-    """Rows (msg_id, grp, tokens) in order of grp and msg_id -> a result row each."""
+def _fold(rules: Rules, base: int = 0):
+    """Rows (msg_id, grp, tokens, size) in order of grp, stored clusters first, then msg_id -> a result row per line.
+
+    Rows with a size are stored clusters, msg_id being their id; new clusters
+    are numbered from ``base`` on within their group.
+    """
     columns = (("msg_id", pa.int64()), ("grp", pa.string()), ("local_id", pa.int64()), ("change_type", pa.string()), ("cluster_size", pa.int64()), ("template_mined", pa.string()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, tree = None, Tree(rules)
         for batch in batches:
             out: list[list] = [[] for _ in columns]
-            for msg_id, grp, joined in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for msg_id, grp, joined, size in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if grp != current:
                     current, tree = grp, Tree(rules)
+                    tree.counter = base
+                if size is not None:
+                    tree.load(msg_id, joined.split(SEP) if joined else (), size)
+                    continue
                 cluster, change = tree.add(joined.split(SEP) if joined else ())
                 found = tree.clusters.get(cluster)
                 for to, value in zip(out, (msg_id, grp, cluster, change, found[1], " ".join(found[0])), strict=True):
@@ -101,28 +109,41 @@ def _running(rows: DataFrame, by: Sequence[str], flag: Column, block: int = 65_5
     return cut.withColumn("inside", inside).join(before, [*by, "blk"]).withColumn("n", F.col("inside") + F.col("before")).drop("blk", "flag", "inside", "before")
 
 
-def mine(lines: DataFrame, config: MinerConfig | None = None, stages: Sequence = (), instances: int | None = None, hot_rows: int = 1_000_000) -> DataFrame:
+def mine(lines: DataFrame, config: MinerConfig | None = None, stages: Sequence = (), instances: int | None = None, hot_rows: int = 1_000_000, model: DataFrame | None = None) -> DataFrame:
     """One row per line (msg_id, line): what the miner answers for it.
 
+    ``model`` (cluster_id, template_tokens, size) is taken up where it stands.
+
     ``instances`` deals lines to that many independent models by
     ``msg_id % instances`` and adds the column ``instance``.
     """
     config = config or MinerConfig()
     t = prepared(F.col("line"), config, stages)
     rows = lines.filter("msg_id is not null and line is not null").select(F.col("msg_id").cast("long"), t.alias("t"))
-    if config.max_clusters is not None:
-        rows = rows.withColumn("grp", F.lit(""))
-    else:
-        rows = _dealt(rows.withColumn("key", tokens.root_key(F.col("t"), config.engine, config.param_binning)), config, hot_rows)
+    if instances and model is not None:
+        raise ValueError("a pool starts from empty models")
+
+    def key(t: Column) -> Column:
+        return F.lit("") if config.max_clusters is not None else tokens.root_key(t, config.engine, config.param_binning)
+
+    base = held = 0
+    rows = rows.withColumn("key", key(F.col("t")))
+    rows = rows.withColumn("grp", F.col("key")) if model is not None or config.max_clusters is not None else _dealt(rows, config, hot_rows)
     if instances:
         rows = rows.withColumn("grp", F.concat_ws(SEP, F.pmod("msg_id", F.lit(instances)).cast("string"), "grp"))
-    ordered = rows.select("msg_id", "grp", F.array_join("t", SEP).alias("joined")).repartition("grp").sortWithinPartitions("grp", "msg_id")
+    ordered = rows.select("msg_id", "grp", F.array_join("t", SEP).alias("joined"), F.lit(None).cast("long").alias("size"))
+    if model is not None:
+        top = model.agg(F.max("cluster_id"), F.count(F.lit(1))).first()
+        base, held = top[0] or 0, top[1]
+        stored = model.select(F.col("cluster_id").cast("long"), key(F.col("template_tokens")), F.array_join("template_tokens", SEP), F.col("size").cast("long"))
+        ordered = ordered.union(stored)
+    ordered = ordered.repartition("grp").sortWithinPartitions("grp", F.col("size").isNull(), "msg_id")
     schema = "msg_id long, grp string, local_id long, change_type string, cluster_size long, template_mined string"
-    out = materialize(ordered.mapInArrow(_fold(Rules.of(config)), schema), "mined").withColumn("instance", F.pmod("msg_id", F.lit(instances or 1)))
+    out = materialize(ordered.mapInArrow(_fold(Rules.of(config), base), schema), "mined").withColumn("instance", F.pmod("msg_id", F.lit(instances or 1)))
     counted = _running(out, ["instance"], F.col("change_type") == CREATED)
-    ids = counted.filter(F.col("change_type") == CREATED).select("instance", "grp", "local_id", F.col("n").alias("cluster_id"))
-    final = counted.join(ids, ["instance", "grp", "local_id"])
-    live = F.least(F.col("n"), F.lit(config.max_clusters)) if config.max_clusters is not None else F.col("n")
+    ids = counted.filter(F.col("change_type") == CREATED).select("instance", "grp", "local_id", (F.col("n") + base).alias("new_id"))
+    final = counted.join(ids, ["instance", "grp", "local_id"], "left").withColumn("cluster_id", F.coalesce("new_id", "local_id"))
+    live = F.least(F.col("n") + held, F.lit(config.max_clusters)) if config.max_clusters is not None else F.col("n") + held
     final = final.select("instance", "msg_id", "change_type", "cluster_id", "cluster_size", "template_mined", live.cast("long").alias("cluster_count"))
     return final if instances else final.drop("instance")
 
@@ -134,6 +155,22 @@ def clusters(mined: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return last.select(*by, "cluster_id", split.alias("template_tokens"), "size")
 
 
+def updated(model: DataFrame, mined: DataFrame) -> DataFrame:
+    """``model`` after ``mined``, a run that took it up: touched clusters replaced, new ones added."""
+    new = clusters(mined)
+    return model.join(new, "cluster_id", "left_anti").select("cluster_id", "template_tokens", "size").unionByName(new)
+
+
+def of_length(model: DataFrame, n: int) -> DataFrame:
+    """Clusters whose template has ``n`` tokens."""
+    return model.filter(F.size("template_tokens") == n)
+
+
+def of_first_token(model: DataFrame, token: str) -> DataFrame:
+    """Clusters whose template begins with a token ("" for empty templates)."""
+    return model.filter(F.coalesce(F.get("template_tokens", F.lit(0)), F.lit("")) == token)
+
+
 def pool_stats(mined: DataFrame) -> DataFrame:
     """Lines and clusters of each instance of a pool."""
     return mined.groupBy("instance").agg(F.count(F.lit(1)).alias("total_lines"), F.countDistinct("cluster_id").alias("cluster_count"))

@@ -86,6 +86,14 @@ def mine_clusters(spark, sf_dir):
     return _shown(mi.clusters(mi.mine(_event_lines(spark, sf_dir), DEEP)))
 
 
+@query(f"WITH {_RUNNING} SELECT msg_id, change_type, cluster_id, cluster_size, template_mined, cluster_count FROM m WHERE msg_id >= 500")
+def mine_resumed(spark, sf_dir):
+    """A model of the first 500 lines is stored, read again, and taken up for the others."""
+    rows = _event_lines(spark, sf_dir)
+    model = snapshots.from_json(spark, snapshots.to_json(mi.clusters(mi.mine(rows.filter("msg_id < 500"), DEEP))))
+    return mi.mine(rows.filter("msg_id >= 500"), DEEP, model=model)
+
+
 @query(f"WITH {_RUNNING} SELECT msg_id, change_type, cluster_id, cluster_size, template_mined, cluster_count FROM m")
 def mine_rows(spark, sf_dir):
     return mi.mine(_event_lines(spark, sf_dir), DEEP)
@@ -336,6 +344,26 @@ def template_affix(spark, sf_dir):
     return both.select("id", template.affix(F.col("a"), F.col("b")).alias("template"))
 
 
+@query("""WITH s AS (SELECT p_partkey AS id, p_brand AS a, lead(p_brand) OVER (ORDER BY p_partkey) AS b FROM part),
+  l AS (SELECT *, list_max(list_transform(range(0, least(length(a), length(b)) + 1), lambda k: CASE WHEN a[:k] = b[:k] THEN k ELSE 0 END)) AS p FROM s WHERE b IS NOT NULL),
+  m AS (SELECT *, list_max(list_transform(range(0, least(length(a), length(b)) - p + 1), lambda k: CASE WHEN right(a, k) = right(b, k) THEN k ELSE 0 END)) AS x FROM l)
+  SELECT id, CASE WHEN a = b THEN b ELSE a[:p] || '<*>' || right(a, x) END AS template_token,
+         CASE WHEN a = b THEN '' ELSE a[p + 1:length(a) - x] || '|' || b[p + 1:length(b) - x] END AS extracted,
+         round(CASE WHEN a = b THEN 1.0 ELSE least(0.6 + 0.3 * ((p + x) / ((length(a) + length(b)) / 2.0)), 0.95) END::DOUBLE, 9) AS confidence,
+         CASE WHEN a = b THEN 'exact' ELSE 'affix' END AS strategy FROM m""")
+def template_results(spark, sf_dir):
+    p = _t(spark, sf_dir, "part")
+    both = p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("a")).join(p.select((F.col("p_partkey") - 1).alias("id"), F.col("p_brand").alias("b")), "id")
+    r = both.withColumn("r", template.parameterize(F.col("a"), F.col("b"), least_affix=2))
+    return r.select("id", "r.template_token", F.array_join("r.extracted", "|").alias("extracted"), F.round("r.confidence", 9).alias("confidence"), "r.strategy")
+
+
+@query("SELECT count(*) AS fitting FROM part WHERE p_brand LIKE 'Brand#_%'")
+def template_validate(spark, sf_dir):
+    p = _t(spark, sf_dir, "part")
+    return p.filter(template.fits(F.lit("Brand#<*>"), F.col("p_brand"))).agg(F.count(F.lit(1)).alias("fitting"))
+
+
 @query("""SELECT a.o_orderkey AS id, CASE WHEN strftime(a.o_orderdate, '%Y-%m-%d') = strftime(b.o_orderdate, '%Y-%m-%d') THEN NULL ELSE '<*>-<*>-<*>' END AS template
   FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1""")
 def template_regex(spark, sf_dir):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
+import time
 import zlib
 from typing import Protocol
 
@@ -80,6 +81,27 @@ def from_json(spark: SparkSession, state: bytes | None) -> DataFrame:
     return spark.createDataFrame(rows, SCHEMA)
 
 
+class Snapshots:
+    """When to save: after any change, else once the interval is over."""
+
+    def __init__(self, store: Store, minutes: float = 1, compress: bool = False):
+        self.store, self.minutes, self.compress = store, minutes, compress
+        self._saved = time.monotonic()
+
+    def reason(self, changed: bool) -> str | None:
+        if changed:
+            return "changed"
+        return "periodic" if time.monotonic() - self._saved >= self.minutes * 60 else None
+
+    def offer(self, model: DataFrame, changed: bool) -> str | None:
+        """Save if there is a reason; the reason."""
+        why = self.reason(changed)
+        if why:
+            self.store.save(to_json(model, self.compress))
+            self._saved = time.monotonic()
+        return why
+
+
 def save(model: DataFrame, path: str) -> None:
     model.select("cluster_id", "template_tokens", "size").write.mode("overwrite").parquet(path)
 

@@ -237,3 +237,33 @@ def test_profiler():
             bad()
     with NullProfiler().section("x"):
         pass
+
+
+def test_miner_keeps_its_model(spark):
+    from logloom.miner import TemplateMiner
+
+    store = md.MemoryStore()
+    lines = [(i, f"{'user' if i % 2 else 'host'} n{i} logged in") for i in range(10)]
+    rows = spark.createDataFrame(lines, LINES)
+    config = MinerConfig(snapshot_compress=True)
+    first = TemplateMiner(spark, config, store)
+    first.mine(rows.filter("msg_id < 6"))
+    second = TemplateMiner(spark, config, store)
+    got = {r["msg_id"]: (r["change_type"], r["cluster_id"], r["cluster_size"], r["template_mined"], r["cluster_count"]) for r in second.mine(rows.filter("msg_id >= 6")).collect()}
+    whole = serial(lines, config)
+    assert got == {i: v for i, v in whole.items() if i >= 6} and second.total_size() == 10
+    assert {r["cluster_id"] for r in second.match(rows.filter("msg_id = 3")).collect()} == {whole[3][1]}
+    assert second.snapshots.reason(False) is None and second.snapshots.reason(True) == "changed"
+    assert {r["cluster_id"] for r in second.merge().collect()} == {1} and mi.of_length(second.model, 4).count() == 1
+    learned = second.learn(spark.createDataFrame([(1, "close bytes 1"), (2, "close bytes 2")], LINES))
+    assert learned.positions == (0,)
+
+
+def test_token_results(spark):
+    a, b = F.col("a"), F.col("b")
+    dates = [(r"^(\d{4})-(\d{2})-(\d{2})$", 3, "${paramStr}-${paramStr}-${paramStr}", 0.95)]
+    got = one(spark, T.parameterize(a, b, patterns=dates), a="2024-01-15", b="2024-12-31")
+    assert tuple(got) == ("<*>-<*>-<*>", ["2024", "01", "15", "2024", "12", "31"], 0.95, "regex")
+    assert one(spark, T.parameterize(a, b, least_affix=2), a="bytes0sent", b="bytes403sent")["extracted"] == ["0", "403"]
+    assert tuple(one(spark, T.parameterize(a, b), a="x", b="y")) == ("<*>", ["x", "y"], 0.5, "full")
+    assert one(spark, T.fits(a, b), a="f[<*>].log", b="f[12].log") and not one(spark, T.fits(a, b), a="f<*>", b="f")
