@@ -41,8 +41,8 @@ def family(rng, size, length, edits, vocabulary):
     return out
 
 
-@pytest.mark.parametrize("seed,params", [(0, {}), (1, {"short_list": 2, "block_rows": 5, "salt_size": 8}), (2, {"short_list": 3, "block_values": 800, "broadcast_ids": 0, "k": 16})])
-def test_matches_brute_force(spark, seed, params):
+@pytest.mark.parametrize("seed,words,params", [(0, 2, {}), (1, 2, {"short_list": 2, "block_rows": 5, "salt_size": 8}), (2, 5, {"short_list": 3, "block_values": 800, "broadcast_ids": 0, "k": 16})])
+def test_matches_brute_force(spark, seed, words, params):
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(300)]
     texts = []
@@ -53,9 +53,8 @@ def test_matches_brute_force(spark, seed, params):
     rng.shuffle(texts)
     rows = [(i * 3 + 1, t) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for words in (2, 5):
-        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.near_classes(df, words=words, **params).collect()}
-        assert got == brute(rows, words, 80)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.near_classes(df, words=words, **params).collect()}
+    assert got == brute(rows, words, 80)
 
 
 def test_edge_rows(spark):
