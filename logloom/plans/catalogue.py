@@ -14,6 +14,7 @@ from logloom.operators import extract as ex
 from logloom.operators import match as mt
 from logloom.operators import merge as mg
 from logloom.operators import mine as mi
+from logloom.operators import tree as tr
 from logloom.scratch import shared_dir
 from logloom.sources import lines as src
 from logloom.sources import model as snapshots
@@ -497,3 +498,29 @@ def csv_reconcile(spark, sf_dir):
     line = F.concat(F.col("o_orderkey").cast("string"), F.lit(',"a ""b""", '), "o_orderstatus", F.lit(", "), "o_orderpriority", F.lit(" ,"), F.col("o_custkey").cast("string"), F.lit(",T"))
     f = src.reconcile(src.csv_fields(line), 4, 2)
     return o.select(f.alias("f")).select(F.col("f")[0].cast("long").alias("id"), F.col("f")[1].alias("level"), F.col("f")[2].alias("content"), F.col("f")[3].alias("template"))
+
+
+@query(f"""WITH {_MODEL} SELECT '6' AS root_key, cluster_id - 1 AS rank, 'event ' || event_type AS path, cluster_id::VARCHAR AS cluster_ids FROM model""")
+def tree_nodes(spark, sf_dir):
+    out = tr.nodes(mi.clusters(mi.mine(_event_lines(spark, sf_dir), DEEP)), DEEP)
+    return out.select("root_key", "rank", F.array_join("path", " ").alias("path"), F.array_join(F.col("cluster_ids").cast("array<string>"), ",").alias("cluster_ids"))
+
+
+@query(f"WITH {_MODEL} SELECT count(*) AS clusters, sum(size)::BIGINT AS size FROM model WHERE length(template) > 0")
+def clusters_of_length(spark, sf_dir):
+    model = mi.clusters(mi.mine(_event_lines(spark, sf_dir), DEEP))
+    return mi.of_length(mi.of_first_token(model, "event"), 6).agg(F.count(F.lit(1)).alias("clusters"), F.sum("size").alias("size"))
+
+
+@query("""SELECT 'status ' || o_orderstatus || ' ' || o_orderpriority AS template, row_number() OVER (ORDER BY min(o_orderkey)) AS template_id
+  FROM orders GROUP BY o_orderstatus, o_orderpriority""")
+def dataset_template_ids(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_orderkey").alias("line_no"), F.concat(F.lit("status "), "o_orderstatus", F.lit(" "), "o_orderpriority").alias("template"))
+    return src.template_ids(rows).select("template", F.col("template_id").cast("long").alias("template_id"))
+
+
+@query("SELECT page_id, trim(line) AS line FROM (SELECT page_id, unnest(string_split(html, chr(10))) AS line FROM pages) WHERE trim(line) <> ''")
+def clean_lines(spark, sf_dir):
+    rows = _t(spark, sf_dir, "pages").select("page_id", F.explode(F.split("html", "\n")).alias("value"))
+    return src.clean(rows).select("page_id", "line")

@@ -267,3 +267,13 @@ def test_token_results(spark):
     assert one(spark, T.parameterize(a, b, least_affix=2), a="bytes0sent", b="bytes403sent")["extracted"] == ["0", "403"]
     assert tuple(one(spark, T.parameterize(a, b), a="x", b="y")) == ("<*>", ["x", "y"], 0.5, "full")
     assert one(spark, T.fits(a, b), a="f[<*>].log", b="f[12].log") and not one(spark, T.fits(a, b), a="f<*>", b="f")
+
+
+def test_tree_table(spark):
+    from logloom.operators import tree as tr
+
+    model = spark.createDataFrame([(1, ["a", "x"], 1), (2, ["b", "<*>"], 4), (3, ["a", "y"], 1), (4, ["solo"], 1)], md.SCHEMA)
+    got = {(r["root_key"], r["rank"]): (r["path"], r["cluster_ids"]) for r in tr.nodes(model).collect()}
+    assert got == {("2", 0): (["a"], [1, 3]), ("2", 1): (["b"], [2]), ("1", 0): ([], [4])}
+    text = {r["root_key"]: r["text"] for r in tr.rendered(model, most=1).collect()}
+    assert '"<L=2>"' in text["2"] and "ID=1" in text["2"] and "ID=3" not in text["2"]
