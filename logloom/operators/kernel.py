@@ -11,7 +11,9 @@ import re
 from collections import OrderedDict
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from operator import eq
 
+_DIGIT = re.compile("[0-9]")
 CREATED, CHANGED, NONE = "cluster_created", "cluster_template_changed", "none"
 
 
@@ -70,6 +72,8 @@ class Tree:
         self.roots: dict[str, Node] = {}
         self.clusters: OrderedDict[int, list] = OrderedDict()  # id -> [tokens, size]
         self.counter = 0
+        self._plain = rules.engine == "position" and rules.diff_ratio is None
+        self._simple = not rules.patterns and rules.affix is None and not rules.mask_generalization
         self._patterns = [(re.compile(p), t.replace("${paramStr}", rules.param)) for p, t in rules.patterns]
 
     # Routing -----------------------------------------------------------------
@@ -102,7 +106,7 @@ class Tree:
         for token in self._path(tokens):
             known = node.children
             if token not in known:
-                if r.numeric_to_param and any(c in "0123456789" for c in token):
+                if r.numeric_to_param and _DIGIT.search(token):
                     token = r.param
                 elif r.param in known:
                     token = token if len(known) < r.max_children else r.param
@@ -139,6 +143,23 @@ class Tree:
 
     def _best(self, ids, tokens: Sequence[str], least: float, with_params: bool) -> int | None:
         best, top = None, (-1.0, -1)
+        if self._plain and tokens:
+            # The common case, counted without a Python step per token.
+            param, n, known = self.rules.param, len(tokens), self.clusters
+            loose = param in tokens
+            for i in ids:
+                if (cluster := known.get(i)) is None:
+                    continue
+                template = cluster[0]
+                if len(template) != n:
+                    score, params = 0.0, 0
+                else:
+                    params = template.count(param)
+                    equal = sum(map(eq, template, tokens)) - (sum(a == param == b for a, b in zip(template, tokens, strict=True)) if loose else 0)
+                    score = (equal + params if with_params else equal) / n
+                if score > top[0] or (score == top[0] and params > top[1]):
+                    best, top = i, (score, params)
+            return best if best is not None and top[0] >= least else None
         for i in ids:
             if (cluster := self.clusters.get(i)) is not None and (score := self.similarity(cluster[0], tokens, with_params)) > top:
                 best, top = i, score
@@ -169,6 +190,9 @@ class Tree:
 
     def template(self, new: Sequence[str], old: Sequence[str]) -> tuple[str, ...]:
         if len(new) == len(old):
+            if self._simple:
+                param = self.rules.param
+                return tuple([b if a == b else param for a, b in zip(new, old, strict=True)])
             return tuple(map(self._token, new, old))
         if self.rules.engine == "position":
             raise ValueError("templates need token sequences of one length")
