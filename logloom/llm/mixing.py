@@ -111,8 +111,19 @@ def route(capacity: Sequence[int], members: Sequence[Sequence], quota: dict, max
     return sent
 
 
-def _selected(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """``rows`` (pattern, size, order, ...) with the words taken of each."""
+def _ordered(docs: DataFrame, members: Column, id_col: str, text_col: str, seed: int, *keep: Column) -> DataFrame:
+    """``keep``, doc_id, members, size, the seeded order and the pattern's number of each row."""
+    order = F.md5(F.concat(F.lit(f"mix-{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    rows = docs.select(*keep, F.col(id_col).alias("doc_id"), members.alias("members"), words(F.col(text_col)).alias("size"), order.alias("order"))
+    return rows.withColumn("pattern", F.xxhash64(F.to_json(F.struct("members")), F.size("members")))
+
+
+def _cuts(rows: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Where the last pass of each pattern ends.
+
+    (pattern, cut: the hash cell in which it ends), and the rows of those cells
+    with the words taken of each (``part``).
+    """
     own = rows.join(F.broadcast(plan), "pattern").withColumns({"c1": F.substring("order", 1, _CELL), "c2": F.substring("order", 1, 2 * _CELL)})
     cut = plan.select("pattern", F.col("extra").alias("left"))
     for cell in ("c1", "c2"):
@@ -124,21 +135,19 @@ def _selected(rows: DataFrame, plan: DataFrame) -> DataFrame:
         cut = materialize(found.select("pattern", cell, (F.col("left") - F.col("before")).alias("left")), "mix-cut")
     last = own.join(F.broadcast(cut), ["pattern", "c2"]).withColumn("before", F.expr("sum(size) over (partition by pattern order by order, doc_id, size rows between unbounded preceding and current row) - size"))
     last = last.withColumn("part", F.greatest(F.lit(0), F.least("size", F.col("left") - F.col("before"))))
-    rest = own.join(F.broadcast(cut.select("pattern", F.col("c2").alias("cut"))), "pattern", "left").filter("cut is null or c2 <> cut")
-    rest = rest.withColumn("part", F.when(F.col("c2") < F.col("cut"), F.col("size")).otherwise(0))
-    keep = [*rows.columns, F.col("part").cast("long").alias("part"), "passes"]
-    return rest.select(*keep).union(last.select(*keep)).withColumn("taken", F.col("passes") * F.col("size") + F.col("part")).drop("part", "passes")
+    return cut.select("pattern", F.col("c2").alias("cut")), materialize(last.select(*rows.columns, "passes", "part"), "mix-last")
 
 
-def mix(docs: DataFrame, members: Column, id_col: str = "doc_id", text_col: str = "text", weights: dict | None = None, max_repeats: int = 3, seed: int = 0, max_patterns: int = 20_000) -> tuple[DataFrame, DataFrame]:
-    """(documents, sources).
+def _below(rows: DataFrame, plan: DataFrame, cut: DataFrame) -> DataFrame:
+    """``rows`` with passes, cut, and ``part``: all of a row before the cut, nothing of one after it."""
+    own = rows.join(F.broadcast(plan.select("pattern", "passes")), "pattern").join(F.broadcast(cut), "pattern", "left")
+    return own.withColumn("part", F.when(F.substring("order", 1, 2 * _CELL) < F.col("cut"), F.col("size")).otherwise(0))
 
-    ``members`` is the array of sources of a row.  Documents: doc_id, members,
-    size, taken.  Sources: source, source_size, target.
-    """
+
+def _planned(docs: DataFrame, members: Column, id_col: str, text_col: str, weights: dict | None, max_repeats: int, seed: int, max_patterns: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, plan: passes and extra words of each pattern, sources)."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), members.alias("members"), words(F.col(text_col)).alias("size"), F.md5(F.concat(F.lit(f"mix-{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("order"))
-    rows = materialize(rows.withColumn("pattern", F.xxhash64(F.to_json(F.struct("members")), F.size("members"))), "mix-rows")
+    rows = materialize(_ordered(docs, members, id_col, text_col, seed), "mix-rows")
     found = rows.groupBy("pattern").agg(F.first("members").alias("members"), F.sum("size").alias("size")).orderBy("pattern").limit(max_patterns + 1).collect()
     if len(found) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns; group the sources first")
@@ -146,19 +155,26 @@ def mix(docs: DataFrame, members: Column, id_col: str = "doc_id", text_col: str
     for r in found:
         for s in dict.fromkeys(r["members"] or ()):
             sizes[s] = sizes.get(s, 0) + r["size"]
-    weights = weights or cycle_weights(list(sizes))
-    goal = targets(sizes, weights, max_repeats, sum(r["size"] for r in found))
+    goal = targets(sizes, weights or cycle_weights(list(sizes)), max_repeats, sum(r["size"] for r in found))
     sent = route([r["size"] for r in found], [r["members"] or [] for r in found], {s: int(t) for s, t in goal.items()}, max_repeats)
-    plan = []
-    for r, to in zip(found, sent, strict=True):
-        take = sum(to.values())
-        passes, extra = divmod(take, r["size"]) if r["size"] else (0, 0)
-        plan.append((r["pattern"], passes, extra))
-    plan = spark.createDataFrame(plan, "pattern long, passes long, extra long")
+    plan = [(r["pattern"], *(divmod(sum(to.values()), r["size"]) if r["size"] else (0, 0))) for r, to in zip(found, sent, strict=True)]
     kind = docs.select(members.alias("m")).schema["m"].dataType.elementType
     schema = T.StructType([T.StructField("source", kind), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
     sources = spark.createDataFrame([(s, n, goal[s]) for s, n in sizes.items()], schema)
-    return _selected(rows, plan).select("doc_id", "members", "size", "taken"), sources
+    return rows, spark.createDataFrame(plan, "pattern long, passes long, extra long"), sources
+
+
+def mix(docs: DataFrame, members: Column, id_col: str = "doc_id", text_col: str = "text", weights: dict | None = None, max_repeats: int = 3, seed: int = 0, max_patterns: int = 20_000) -> tuple[DataFrame, DataFrame]:
+    """(documents, sources).
+
+    ``members`` is the array of sources of a row.  Documents: doc_id, members,
+    size, taken.  Sources: source, source_size, target.
+    """
+    rows, plan, sources = _planned(docs, members, id_col, text_col, weights, max_repeats, seed, max_patterns)
+    cut, last = _cuts(rows, plan)
+    rest = _below(rows, plan, cut).filter(F.col("cut").isNull() | (F.substring("order", 1, 2 * _CELL) != F.col("cut")))
+    both = rest.select(*last.columns).union(last)
+    return both.select("doc_id", "members", "size", (F.col("passes") * F.col("size") + F.col("part")).cast("long").alias("taken")), sources
 
 
 def by_source(docs: DataFrame, source_col: str = "source", **params) -> DataFrame:
@@ -169,15 +185,23 @@ def by_source(docs: DataFrame, source_col: str = "source", **params) -> DataFram
     return taken.join(F.broadcast(own), F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
-def repeat_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **params) -> DataFrame:
+def repeat_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict | None = None, max_repeats: int = 3, seed: int = 0, max_patterns: int = 20_000, broadcast_rows: int = 200_000) -> DataFrame:
     """``docs`` as mixed: each row as often as the mix takes it.
 
     The document that a quota cuts stays whole if at least half of it is
-    taken; documents without words stay once.
+    taken; documents without words stay once.  Texts are not shuffled: rows
+    compare their place in the seeded order with the cut of their pattern, and
+    only the few rows of the cut cells look their part up (in a broadcast of at
+    most ``broadcast_rows``, else in a join).
     """
-    name, count = "_mix_id", "_mix_times"
-    taken = by_source(docs, source_col, id_col=id_col, **params)
-    times = F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size"))).cast("int")
-    times = taken.groupBy(F.col("doc_id").alias(name)).agg(F.max(times).alias(count))
-    joined = docs.join(times, docs[id_col].eqNullSafe(times[name])).filter(F.col(count) > 0)
-    return joined.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), F.col(count)))).select(*[docs[c] for c in docs.columns])
+    members = F.array(source_col)
+    rows, plan, _ = _planned(docs, members, id_col, text_col, weights, max_repeats, seed, max_patterns)
+    cut, last = _cuts(rows, plan)
+    own = _below(_ordered(docs, members, id_col, text_col, seed, F.struct(*docs.columns).alias("row")), plan, cut)
+    edge = last.groupBy("pattern", F.substring("order", 1, 2 * _CELL).alias("cut"), "order", "size").agg(F.max("part").alias("at_edge"))
+    if edge.count() <= broadcast_rows:
+        edge = F.broadcast(edge)
+    part = F.coalesce("at_edge", "part")
+    times = F.when(F.col("size") == 0, 1).otherwise(F.col("passes") + F.when(2 * part >= F.col("size"), 1).otherwise(0)).cast("int")
+    placed = own.join(edge, ["pattern", "cut", "order", "size"], "left").withColumn("times", times).filter("times > 0")
+    return placed.select("row", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select("row.*")

@@ -35,30 +35,34 @@ from .common import materialize
 _SPECIAL = "<|endoftext|>"
 
 
-@functools.lru_cache(maxsize=4)
-def _encoders(json_path: str, ranks_path: str):
+@functools.lru_cache(maxsize=2)
+def _exact(json_path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(json_path)
+
+
+@functools.lru_cache(maxsize=2)
+def _fast(ranks_path: str):
     import base64
 
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return Tokenizer.from_file(json_path), fast
+    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_ids(text: str | None, json_path: str, ranks_path: str, end_id: int) -> np.ndarray:
     """Ids of a text and the end token.
 
     Both files hold one vocabulary; the rank file's library gives the same ids
-    several times faster.
+    several times faster, so the other is loaded only where a text needs it.
     """
     if not text:
         return np.array([end_id], dtype="<u4")
-    exact, fast = _encoders(json_path, ranks_path)
-    ids = exact.encode(text, add_special_tokens=False).ids if _SPECIAL in text else fast.encode_ordinary(text)
+    ids = _exact(json_path).encode(text, add_special_tokens=False).ids if _SPECIAL in text else _fast(ranks_path).encode_ordinary(text)
     ids.append(end_id)
     return np.array(ids, dtype="<u4")
 

@@ -100,3 +100,16 @@ def test_keep_one_keeps_columns(spark):
     df = spark.createDataFrame([(1, "a b c d e f", "q"), (2, "a b c d e f", "q"), (None, "z", "q")], "doc_id long, text string, kept string")
     out = near_dedup.keep_one(df)
     assert out.columns == df.columns and sorted(str(r["doc_id"]) for r in out.collect()) == ["1", "None"]
+
+
+def test_stages_take_nulls_and_empty_tables(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(None, "no id at all", "en", "src0", 12), (10**6, None, None, None, None), (10**6 + 1, "", "en", None, 0), (10**6 + 2, "é " * 20_000, None, "src1", 1), (10**6 + 3, "twice the same row", "en", "src1", 1)] * 2, docs.schema)
+    for k, start in enumerate((docs.limit(40).unionByName(odd), docs.limit(0))):
+        now = start.withColumns({"_score": F.lit(1), "size": F.lit("s"), "pattern": F.lit(2)})
+        for name, stage in C.STAGES:
+            stage(spark, now, SF).write.parquet(str(tmp_path / f"{k}-{name}"))
+            now = spark.read.parquet(str(tmp_path / f"{k}-{name}"))
+            if name != "packing":
+                assert {"_score", "size", "pattern"} <= set(now.columns)
+        assert (now.count() > 0) == (k == 0)
