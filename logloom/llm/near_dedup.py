@@ -104,12 +104,12 @@ def _sketches(words: int, k: int, percent: int):
 
 
 def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(value, doc, rep, n, size, listed) for each value of each sketch."""
+    """(value, doc, rep) for each value of each sketch."""
     for batch in batches:
         sizes = np.array([len(s) // 8 for s in batch.column(2).to_pylist()], dtype=np.int64)
         values = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.int64)
-        doc, n, listed, rep = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), sizes) for i in (0, 1, 3, 4))
-        yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(doc), pa.array(rep), pa.array(n), pa.array(np.repeat(sizes, sizes).astype(np.int32)), pa.array(listed.astype(np.int32))], ["value", "doc", "rep", "n", "size", "listed"])
+        doc, rep = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), sizes) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(doc), pa.array(rep)], ["value", "doc", "rep"])
 
 
 def union_overlaps(x: list[bytes], y: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -209,14 +209,15 @@ def _block(percent: int):
     return run
 
 
-def _long_list_links(rows: DataFrame, texts: DataFrame, words: int, percent: int, block_values: int, block_rows: int) -> DataFrame:
+def _long_list_links(rows: DataFrame, texts: DataFrame, words: int, percent: int, block_values: int, block_rows: int, broadcast_ids: int) -> DataFrame:
     """Links within long lists (value, doc, comp, n), found block against block.
 
     Linked sets differ in size by the threshold at most, so a list is banded by
     size and only neighbouring bands meet.  A block holds at most ``block_rows``
     documents and about ``block_values`` set values.
     """
-    sets = materialize(texts.join(rows.select("doc").distinct(), "doc", "left_semi").mapInArrow(_sets(words), "doc long, set binary").distinct(), "near-sets")
+    ids = materialize(rows.select("doc").distinct(), "near-ids")
+    sets = materialize(_texts_of(texts, ids, broadcast_ids).mapInArrow(_sets(words), "doc long, set binary").distinct(), "near-sets")
     width = math.log(100 / percent)
     rows = rows.withColumn("band", F.floor(F.log("n") / width).cast("int"))
     bands = rows.groupBy("value", "band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_rows), F.ceil(F.sum("n") / block_values)).cast("int").alias("blocks"))
@@ -230,27 +231,32 @@ def _long_list_links(rows: DataFrame, texts: DataFrame, words: int, percent: int
     return met.join(sets, "doc").select("value", "p.x", "p.y", F.col("q.x").alias("u"), F.col("q.y").alias("v"), "doc", "comp", "set").groupBy("value", "x", "y", "u", "v").applyInPandas(_block(percent), "a long, b long")
 
 
+def _texts_of(texts: DataFrame, ids: DataFrame, broadcast_ids: int) -> DataFrame:
+    """The texts of some documents; few ids are broadcast, so that no text is shuffled to be left out."""
+    return texts.join(F.broadcast(ids) if ids.count() <= broadcast_ids else ids, "doc", "left_semi")
+
+
 def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, words: int, k: int, percent: int, broadcast_ids: int) -> DataFrame:
     """The pairs (a, b) that reach the threshold on their full sets."""
     side = reps.select("doc", "sketch", "n")
     met = pairs.join(side.toDF("a", "x", "nx"), "a").join(side.toDF("b", "y", "ny"), "b").select("a", "b", "x", "y", "nx", "ny")
     likely = materialize(met.mapInArrow(_estimated(k, percent), "a long, b long").distinct(), "near-likely")
     ids = materialize(likely.select(F.col("a").alias("doc")).union(likely.select("b")).distinct(), "near-ids")
-    if ids.count() <= broadcast_ids:
-        texts = texts.join(F.broadcast(ids), "doc", "left_semi")
-    else:
-        texts = texts.join(ids, "doc", "left_semi")
-    texts = texts.groupBy("doc").agg(F.collect_set("text").alias("texts"))  # one text but for repeated ids
+    texts = _texts_of(texts, ids, broadcast_ids)
+    # One text each but for repeated ids; written first, so that the rows of a document that
+    # heads a large list can be split over tasks in the joins below.
+    texts = materialize(texts.groupBy("doc").agg(F.collect_set("text").alias("texts")), "near-texts")
     both = likely.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
     return materialize(both.mapInArrow(_exact(words, percent), "a long, b long"), "near-links")
 
 
 def _listed(reps: DataFrame) -> DataFrame:
     """Inverted lists: (value, doc, n, df) of the rarest values of each sketch."""
-    entries = reps.select("doc", "n", "sketch", "listed", F.xxhash64("gid").alias("rep")).mapInArrow(_values, "value long, doc long, rep long, n long, size int, listed int")
+    own = reps.select("doc", F.xxhash64("gid").alias("rep"), "n", (F.length("sketch") / 8).cast("int").alias("size"), "listed", "sketch")
+    entries = own.select("doc", "rep", "sketch").mapInArrow(_values, "value long, doc long, rep long")
     # Written first, so that both sides of the join are plain shuffles and a hot value's rows can be split.
     shared = materialize(entries.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "near-shared")
-    mine = entries.join(shared, "value")
+    mine = entries.join(shared, "value").join(own.drop("sketch"), ["doc", "rep"])
     # Values of one document only come first in the order and take up its places.
     per_doc = Window.partitionBy("doc", "rep")
     rank = F.row_number().over(per_doc.orderBy("df", "value"))
@@ -316,7 +322,7 @@ def near_classes(
     )
     more = _verified(cross, reps, texts, words, k, percent, broadcast_ids)
     long = mixed.filter(F.col("length") > short_list).select("value", "doc", "comp", "n")
-    more = more.union(_long_list_links(long, texts, words, percent, block_values, block_rows))
+    more = more.union(_long_list_links(long, texts, words, percent, block_values, block_rows, broadcast_ids))
     labels = components(links.union(more))
 
     classes = reps.join(labels.toDF("doc", "component"), "doc", "left").select("gid", F.coalesce("component", "doc").alias("component"))
