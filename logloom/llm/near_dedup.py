@@ -191,6 +191,7 @@ def block_links(docs: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], per
         part = np.zeros((len(sets), 2048), np.float32)
         part[row[a:b], column[a:b] - low] = 1
         both += part @ part.T
+    both = both.astype(np.int64)  # counts of a block are exact in single precision, their multiples are not
     link = (both > 0) & (100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)) & ((comps[:, None] != comps[None, :]) | (docs[:, None] == docs[None, :]))
     np.fill_diagonal(link, True)
     label = np.arange(len(sets))
@@ -273,8 +274,8 @@ def near_classes(
     k: int = 32,
     salt_size: int = 4096,
     short_list: int = 32,
-    block_rows: int = 1024,
-    block_values: int = 1_000_000,
+    block_rows: int = 512,
+    block_values: int = 250_000,
     broadcast_ids: int = 500_000,
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
@@ -334,8 +335,15 @@ def near_classes(
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **params) -> DataFrame:
-    """``docs`` without the documents that a smaller doc_id of their group stands for."""
+def keep_one(docs: DataFrame, id_col: str = "doc_id", broadcast_ids: int = 500_000, **params) -> DataFrame:
+    """``docs`` without the documents that a smaller doc_id of their group stands for.
+
+    Up to ``broadcast_ids`` dropped ids (8 bytes each) are broadcast, so that
+    texts are not shuffled; more are met in a shuffled join.
+    """
     name = "_near_dropped_id"
-    dropped = near_classes(docs, id_col, **params).filter(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(dropped, docs[id_col] == dropped[name], "left_anti")
+    classes = near_classes(docs, id_col, broadcast_ids=broadcast_ids, **params)
+    dropped = materialize(classes.filter(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct(), "near-dropped")
+    if dropped.count() <= broadcast_ids:
+        dropped = F.broadcast(dropped)
+    return docs.join(dropped, docs[id_col] == F.col(name), "left_anti")
