@@ -19,9 +19,9 @@ scores.
 
 Defined results: rows whose vector is null, empty, zero, of another length than
 most, or holds null or non-finite components take no part; repeated rows of one
-vec_id count once for each different vector; a query never finds its own
-vec_id; with fewer candidates than ``k`` all are returned; other columns are
-ignored.
+vec_id count once for each different vector, and a vec_id is found by its best
+vector; a query never finds its own vec_id; with fewer candidates than ``k`` all
+are returned; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -105,7 +105,7 @@ def fit(vectors: DataFrame, dim: int, tables: int, projections: int, width: floa
     """Draw the hash functions and fit the expected distance on a seeded sample."""
     rng = np.random.default_rng(seed)
     lines, offsets = rng.standard_normal((tables, projections, dim)), rng.random((tables, projections)) * width
-    sample = vectors.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(fit_rows).toPandas()
+    sample = vectors.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id", "vector").limit(fit_rows).toPandas().drop_duplicates("vec_id")
     distance = 1.0
     if len(sample) > 1:
         unit = _unit(np.frombuffer(b"".join(sample["vector"]), np.float64).reshape(-1, dim))
@@ -127,7 +127,9 @@ def _indexed(model: Tables, dim: int):
     return run
 
 
-def _probes(model: Tables, dim: int, counts: np.ndarray, success: float, k: int):
+def _probes(model: Tables, dim: int, counts: np.ndarray, ids: np.ndarray, success: float, k: int):
+    """``counts``: rows of the buckets; ``ids``: vec_ids of the buckets, each counted in one of its buckets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, len(batch), 256):
@@ -137,7 +139,7 @@ def _probes(model: Tables, dim: int, counts: np.ndarray, success: float, k: int)
                     chance = model.chances(p[t])
                     order = np.argsort(-chance, axis=1, kind="stable")
                     done = np.cumsum(np.take_along_axis(chance, order, 1), axis=1)
-                    held = np.cumsum(counts[t][order], axis=1)
+                    held = np.cumsum(ids[t][order], axis=1)
                     before = lambda a: np.concatenate([np.zeros((len(a), 1)), a[:, :-1]], axis=1)
                     visit = ((before(done) < success) | (before(held) < k + 1)) & (counts[t][order] > 0)
                     row, at = np.nonzero(visit)
@@ -153,16 +155,21 @@ def _best(dim: int, k: int):
         if len(q) and len(x):
             a, b = (np.frombuffer(b"".join(s["vector"]), np.float64).reshape(-1, dim) for s in (q, x))
             na, nb = np.sqrt((a * a).sum(axis=1)), np.sqrt((b * b).sum(axis=1))
-            ids, own = x["vec_id"].to_numpy(), q["vec_id"].to_numpy()
+            # Rows by vec_id, so that the best of each id is a maximum over neighbouring columns.
+            by_id = np.argsort(x["vec_id"].to_numpy(), kind="stable")
+            b, nb, ids, own = b[by_id], nb[by_id], x["vec_id"].to_numpy()[by_id], q["vec_id"].to_numpy()
+            first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
             for low in range(0, len(a), 256):
                 near = (a[low : low + 256] / na[low : low + 256, None]) @ (b / nb[:, None]).T
                 near[own[low : low + 256, None] == ids[None, :]] = -9
-                at = min(k, len(b)) - 1
-                least = -np.partition(-near, at, axis=1)[:, at] - 1e-9
+                best = near if len(first) == len(ids) else np.maximum.reduceat(near, first, axis=1)
+                at = min(k, len(first)) - 1
+                least = -np.partition(-best, at, axis=1)[:, at] - 1e-9
                 for i, (row, cut) in enumerate(zip(near, least, strict=True), low):
                     c = np.flatnonzero(row >= max(cut, -2))
                     score = (b[c] * a[i]).sum(axis=1) / (nb[c] * na[i])
-                    top = np.lexsort((ids[c], -score))[: 2 * k]
+                    top = np.lexsort((ids[c], -score))
+                    top = top[np.sort(np.unique(ids[c[top]], return_index=True)[1])][: 2 * k]
                     out += [(own[i], ids[c[j]], score[j]) for j in top]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
@@ -184,18 +191,21 @@ def search(
     seed: int = 0,
 ) -> DataFrame:
     """The ``k`` nearest found of each query: query_id, rank, vec_id, score."""
-    vectors = materialize(valid_vectors(rows, id_col, vector_col), "ann-vectors")
-    asked = valid_vectors(queries, id_col, vector_col)
-    common = vectors.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
+    vectors = materialize(valid_vectors(rows, id_col, vector_col).groupBy("vec_id", "vector", "dim").count(), "ann-vectors")
+    asked = valid_vectors(queries, id_col, vector_col).distinct()
+    common = vectors.groupBy("dim").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "dim").first()
     dim = common["dim"] if common else 1
     vectors, asked = (v.filter(F.col("dim") == dim).select("vec_id", "vector") for v in (vectors, asked))
     model = fit(vectors, dim, tables, projections, width, fit_rows, seed, k)
     columns = "t int, cell long, vec_id long, vector binary"
     index = materialize(vectors.mapInArrow(_indexed(model, dim), columns), "ann-index")
-    counts = np.zeros((tables, _CELLS**projections))
-    for r in index.groupBy("t", "cell").count().collect():  # at most tables * 5 ** projections rows
-        counts[r["t"], r["cell"]] = r["count"]
-    probes = materialize(asked.mapInArrow(_probes(model, dim, counts, success, k), columns), "ann-probes")
+    counts, ids = np.zeros((2, tables, _CELLS**projections))
+    # An id with vectors in several buckets counts in one of them, so no set of buckets seems to hold more ids than it does.
+    once = index.groupBy("t", "vec_id").agg(F.min("cell").alias("cell"))
+    for out, of in ((counts, index), (ids, once)):
+        for r in of.groupBy("t", "cell").count().collect():  # at most tables * 5 ** projections rows
+            out[r["t"], r["cell"]] = r["count"]
+    probes = materialize(asked.mapInArrow(_probes(model, dim, counts, ids, success, k), columns), "ann-probes")
     sizes = index.groupBy("t", "cell").count().select("t", "cell", F.ceil(F.col("count") / block_rows).cast("int").alias("xs"))
     sizes = sizes.join(probes.groupBy("t", "cell").count().select("t", "cell", F.ceil(F.col("count") / block_rows).cast("int").alias("qs")), ["t", "cell"])
     sizes = F.broadcast(materialize(sizes, "ann-sizes"))

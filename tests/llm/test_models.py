@@ -237,3 +237,23 @@ def test_few_vectors(spark):
     out = A.search(df, df.filter("vec_id = 0")).orderBy("rank").collect()
     assert [(r["vec_id"], r["score"]) for r in out] == [(1, 0.0), (2, -1.0)]
     assert A.search(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_neighbours_of_repeated_ids(spark):
+    """Copies and further vectors of one vec_id leave room for the other neighbours."""
+    rng = np.random.default_rng(3)
+    x = np.ones((40, 8)) + 0.1 * rng.standard_normal((40, 8))
+    near = x[0] + 0.001 * rng.standard_normal((60, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[0].tolist())] * 6 + [(9, v.tolist()) for v in near]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    out = A.search(df, df.filter("vec_id = 0")).orderBy("rank").collect()
+    v = np.array([r[1] for r in rows])
+    score = v @ x[0] / np.linalg.norm(v, axis=1) / np.linalg.norm(x[0])
+    best: dict = {}
+    for (i, _), s in zip(rows, score.tolist(), strict=True):
+        if i:
+            best[i] = max(s, best.get(i, -9))
+    assert [r["vec_id"] for r in out] == sorted(best, key=best.get, reverse=True)[:5]
+    # Ids whose rows fill the nearest buckets do not end the search.
+    few = spark.createDataFrame([(1, [1.0, 0.001 * i]) for i in range(30)] + [(0, [1.0, 0.0])] + [(i, [-1.0, 0.1 * i]) for i in range(2, 6)], "vec_id long, embedding array<double>")
+    assert {r["vec_id"] for r in A.search(few, few.filter("vec_id = 0")).collect()} == {1, 2, 3, 4, 5}
