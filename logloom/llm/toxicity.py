@@ -1,13 +1,15 @@
 """Toxicity by a subsequence-kernel SVM with Nystroem landmarks.
 
 A text is a set of units: its words, in lower case, without punctuation at the
-ends, also without separators inside, and runs of single letters joined.  A
-unit and a landmark are compared by the gap-weighted subsequence kernel of
-length ``P`` over the word's beginning (as long as the landmark and ``SLACK``
-more, so that endings do not count): common subsequences of ``P`` characters
-count, the word's start being a character, and each gap character costs a
-factor ``DECAY``.  The kernel is normalised, and counts as 0 where the longest
-common subsequence is shorter than ``SUPPORT`` of the landmark.  So "i-d-i0ot"
+ends, also without separators inside, the parts between separators, alone and
+with all that follows, and runs of single letters joined; a long word counts
+from each of its characters on.  A unit and a landmark are compared by the
+gap-weighted subsequence kernel of length ``P`` over the word's beginning (as
+long as the landmark and ``SLACK`` more, so that endings do not count): common
+subsequences of ``P`` characters count, the word's start being a character, and
+each gap character costs a factor ``DECAY``.  The kernel is normalised, and
+counts as 0 where the longest common subsequence is shorter than ``SUPPORT`` of
+the landmark.  So "i-d-i0ot"
 stays close to "idiot", while most words of a corpus are screened out by a
 bit-parallel test.
 
@@ -47,12 +49,14 @@ from .common import held_out, labelled
 
 P = 4
 DECAY = 0.8
+LEAST = P - 1  # letters of the shortest units, which have P characters with the start mark
 SUPPORT = 0.7
 SLACK = 2
 TOP = 3
 SURE = 0.6  # decision value from which one unit is close to certain
-WIDTH = 24  # longer units are cut into overlapping windows of this many characters
+WIDTH = 24  # longer units are cut into windows of this many characters with the mark, one from each character on
 _LETTERS = re.compile(r"(?<!\S)(?:\w[\s.*_-]+){3,}\w(?!\S)")
+_INNER = re.compile(r"[\W_]+")
 _ENDS = ".,;:!?\"'()[]{}<>«»“”‘’…|#$%&*-_/\\=+~^`@"
 
 
@@ -64,11 +68,20 @@ def units(text: str | None) -> set[str]:
     out = {w.strip(_ENDS) for w in set(text.split())}
     if _single_letters(text):
         out.update(re.sub(r"[\s.*_-]+", "", m.group()) for m in _LETTERS.finditer(text))
-    out.update([re.sub(r"[\W_]+", "", w) for w in out if not w.isalnum()])  # without separators inside
+    for w in [w for w in out if not w.isalnum()]:
+        parts = [p for p in _INNER.split(w) if p]
+        joined = "".join(parts)  # without separators inside
+        out.update(parts)
+        out.add(joined)
+        if len(joined) < WIDTH:  # else the windows begin there too
+            at = 0
+            for p in parts:
+                out.add(joined[at:])
+                at += len(p)
     for w in [w for w in out if len(w) >= WIDTH]:
         out.discard(w)
-        out.update(w[i : i + WIDTH - 1] for i in range(0, len(w) - WIDTH // 2, WIDTH // 2))
-    return {w for w in out if len(w) >= P}
+        out.update(w[i : i + WIDTH - 1] for i in range(len(w) - LEAST + 1))
+    return {w for w in out if len(w) >= LEAST}
 
 
 def _single_letters(text: str) -> bool:
@@ -181,9 +194,9 @@ class Model:
     def decide(self, words: Sequence[str]) -> np.ndarray:
         """Decision values of units; the intercept where no landmark is near."""
         out = np.full(len(words), self.intercept)
-        if self.words and len(words):
-            rows, k = kernel(coded(words), self.landmarks, self.own)
-            out[rows] += k @ self.weights
+        for low in range(0, len(words) if self.words else 0, 20_000):
+            rows, k = kernel(coded(words[low : low + 20_000]), self.landmarks, self.own)
+            out[low + rows] += k @ self.weights
         return out
 
     def probability(self, top: np.ndarray) -> np.ndarray:

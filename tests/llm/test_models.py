@@ -82,6 +82,18 @@ def test_toxicity(spark):
     assert {round(r["score"], 6) for r in X.score(df, none).collect()} == {0.5} and X.score(df.limit(0), none).count() == 0
 
 
+def test_toxic_parts_of_words():
+    model = X.Model(["idiot"], np.ones(1), -0.5, np.zeros(X.TOP + 1), 0.0)
+    highest = lambda text: model.decide(sorted(X.units(text))).max()
+    bare = highest("idiot")
+    for text in ["great,idiot", "really/idiot", "kind\u2014idiot", "what...idiot", "a_idiot_b", "idiot,great", "https://example.com/some/longer/path/idiot/page", "great,id-iot"]:
+        assert highest(f"so {text} there") == pytest.approx(bare), text
+    for at in range(56):  # at every offset of a word of 60 characters
+        word = "q" * at + "idiot" + "q" * (55 - at)
+        assert highest(word) >= highest("idiot" + "q" * min(10, 55 - at)) - 1e-9 > model.intercept, at
+    assert "fck" in X.units("oh fck, no") and X.units("ab, c d") == set()
+
+
 def brute_kernel(s, t):
     """Sum over all common subsequences of P characters, by definition."""
     import itertools
