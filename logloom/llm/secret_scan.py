@@ -1,15 +1,19 @@
 """Secret scan: fixed patterns, and a battery of randomness tests.
 
 Patterns give the base spans (``assign``, ``access``, ``hex``).  The method
-adds ``random`` spans: maximal runs of key characters that no base span touches
-and that look random.  For each run
+adds ``random`` spans: stretches of key characters outside the base spans that
+look random.  Maximal runs are cut at the edges of base spans and at ``=``
+(padding aside); of each piece the whole, what remains without the plain words
+and numbers at its ends, and the segments between ``/``, ``_`` and ``-`` are
+candidates.  Where found candidates overlap, the one without plain ends goes
+first, then the whole.  For each candidate
 
 1. the encoding is inferred (the smallest alphabet that holds it),
 2. three tests ask whether it fits a uniform draw from that alphabet: chi-squared
    over symbols, runs of character classes, and lag-one serial correlation of
    symbol numbers; all must pass at ``battery``,
 3. a p-value asks whether ordinary text could look that random: the place of
-   its chi-squared value among the letters-only runs of the same length class
+   its chi-squared value among the letters-only candidates of the same length class
    in the whole corpus.  Discoveries are controlled by Benjamini-Hochberg at
    ``rate`` within each length class, so short runs, for which chance fits are
    common, need better values than long ones.
@@ -23,6 +27,7 @@ repeated rows are rows of their own; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -42,6 +47,10 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "random")
 
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST = 20
+_VALUE = re.compile(r"[^=]+(?:={1,2}\Z)?")  # what stands between signs, with padding at the end
+_SEGMENT = re.compile(r"[^/_-]+")
+_PLAIN = re.compile(r"[A-Z]?[a-z]+[0-9]*|[A-Z]+[0-9]*|[0-9]+")
 _ALPHABETS = [
     ("digits", "0123456789"),
     ("hex", "0123456789abcdef"),
@@ -125,6 +134,61 @@ def tests(run: str) -> tuple[str, float, float]:
     return name, z, min(upper_tail(z), class_runs(body), serial(codes))
 
 
+def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Spans to test, from left to right by piece; within a piece the preferred first."""
+    edges, reach = [], 0  # the base spans as disjoint stretches
+    for s, _, e in base:
+        if e > reach:
+            edges.append((max(s, reach), e))
+            reach = e
+    out, k = [], 0
+    for m in RUN.finditer(text):
+        at, end = m.span()
+        while k < len(edges) and edges[k][1] <= at:
+            k += 1
+        free, i = [], k
+        while i < len(edges) and edges[i][0] < end:
+            free.append((at, edges[i][0]))
+            at = edges[i][1]
+            i += 1
+        for a, b in [*free, (at, end)]:
+            if b - a < LEAST:
+                continue
+            after_base = a > m.start()
+            for v in _VALUE.finditer(text[a:b]):
+                low, high = a + v.start(), a + v.end()
+                if after_base and low == a and text[low] in "/_-":
+                    low += 1
+                if high - low >= LEAST:
+                    out += _pieces(text, low, high)
+    return out
+
+
+def _pieces(text: str, low: int, high: int) -> list[tuple[int, int]]:
+    """The piece without plain ends, the whole, and its segments, each once."""
+    segments = [(low + m.start(), low + m.end()) for m in _SEGMENT.finditer(text[low:high])]
+    plain = lambda s: _PLAIN.fullmatch(text, *s)
+    i, j = 0, len(segments)
+    while i < j and plain(segments[i]):
+        i += 1
+    while i < j and plain(segments[j - 1]):
+        j -= 1
+    spans = [(low, high), *segments]
+    if 0 < j - i < len(segments):
+        spans.insert(0, (segments[i][0] if i else low, segments[j - 1][1] if j < len(segments) else high))
+    return [s for s in dict.fromkeys(spans) if s[1] - s[0] >= LEAST]
+
+
+def disjoint(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of spans in the order of ``candidates``, those that meet none before them, sorted."""
+    out: list[tuple[int, int]] = []
+    for a, b in found:
+        k = bisect.bisect(out, (a, b))
+        if not (k and out[k - 1][1] > a) and not (k < len(out) and out[k][0] < b):
+            out.insert(k, (a, b))
+    return out
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("encoding", pa.string()), ("z", pa.float64()), ("fit", pa.float64()), ("text", pa.bool_())]))
     for batch in batches:
@@ -138,11 +202,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans.append(shown(base))
             digest.append(hashlib.sha256(spans[-1].encode()).hexdigest())
             own = []
-            for m in RUN.finditer(text):
-                a, b = m.span()
-                if not any(s < b and a < e for s, _, e in base):
-                    name, z, fit = tests(m.group())
-                    own.append({"a": a, "b": b, "encoding": name, "z": z, "fit": fit, "text": m.group().isalpha()})
+            for a, b in candidates(text, base):
+                name, z, fit = tests(text[a:b])
+                own.append({"a": a, "b": b, "encoding": name, "z": z, "fit": fit, "text": text[a:b].isalpha()})
             runs.append(own)
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digest), pa.array(spans), pa.array(runs, kind)], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "base", "runs"])
 
@@ -226,11 +288,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batter
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = []
+            spans, n = [], []
             for base, found in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True):
                 own = [(int(a), KINDS.index(k), int(b)) for k, a, b in (s.split(":") for s in base.split(",") if s)]
-                spans.append(shown(sorted(own + [(r["a"], 3, r["b"]) for r in found])))
-            n = [len(x) for x in batch.column(6).to_pylist()]
+                random = disjoint([(r["a"], r["b"]) for r in found])
+                spans.append(shown(sorted(own + [(a, 3, b) for a, b in random])))
+                n.append(len(random))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(spans), pa.array(n, pa.int64())], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random"])
 
     out = scanned.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "base", extra.alias("extra"))

@@ -208,6 +208,33 @@ def test_secrets(spark):
     assert S.scan(df.limit(0)).count() == 0
 
 
+def test_secrets_beside_names_and_paths(spark):
+    rng = random.Random(11)
+    key = lambda n, a: "".join(rng.choice(a) for _ in range(n))
+    base62 = string.ascii_letters + string.digits
+    before = ["aws_secret_access_key=", "AWS_SECRET_ACCESS_KEY=", "storage_account_connection_key=", "config/keys/production/", "stripe_live_", "AKIA" + "Q7" * 8 + "/"]
+    plain = ["storage_account_connection_string", "path/to/some/ordinary/folder", "internationalization", "thoughtful_considerations"]
+    rows = [(i, prose(rng, 20) + " " + " ".join(plain)) for i in range(200)]
+    planted = {300 + i: (before[i % 6], key(40, base62)) for i in range(60)}
+    rows += [(i, f"{prose(rng, 5)} {p}{k} {prose(rng, 5)}") for i, (p, k) in planted.items()]
+    out = {r["doc_id"]: r for r in S.scan(frame(spark, rows)).collect()}
+    hit = dict.fromkeys(before, 0)
+    for i, t in rows:
+        if i in planted:
+            p, k = planted[i]
+            hit[p] += f"random:{t.index(k)}:{t.index(k) + 40}" in out[i]["spans"]
+    assert all(n >= 8 for n in hit.values()), hit
+    assert sum(out[i]["n_random"] for i in range(200)) == 0
+
+
+def test_secret_candidates():
+    got = lambda t: [t[a:b] for a, b in S.candidates(t, S.base_spans(t))]
+    k = "Xy7" * 8
+    assert got(f"NAME={k}==") == [k + "=="] and got(f"a={k}=b") == [k]
+    assert got(f"a/b/{k}/c") == [k, f"a/b/{k}/c"] and got(f"AKIA{'A1' * 8}/{k}") == [k]
+    assert got("secret=" + k) == [] and S.disjoint([(5, 9), (0, 12), (9, 12)]) == [(5, 9), (9, 12)]
+
+
 def test_discoveries_follow_the_definition():
     assert S.discoveries({}, 0.01) == S.P_BINS + 1 and S.discoveries({0: 100}, 0.01) == S.P_BINS + 1
     assert S.discoveries({0: 90, 40: 10}, 0.01) <= 40
