@@ -1,14 +1,19 @@
 """Mining of unbounded input: one tree per root key as keyed state.
 
 Rows of a micro-batch are folded in the order of their msg_id; across batches
-arrival order counts.  A key has no view of the others, so clusters are named
+arrival order counts.  Runs of a key's rows are sorted, put into a temporary file
+and merged, so a task holds neither all rows of a key nor all its results.  A key has no view of the others, so clusters are named
 by (root_key, local_id); numbering them over all keys is a later batch step.
 """
 
 from __future__ import annotations
 
+import heapq
 import pickle
+import tempfile
 from collections.abc import Iterator
+from itertools import batched
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,17 +28,50 @@ from logloom.operators.mine import SEP, prepared
 OUTPUT = "msg_id long, root_key string, local_id long, change_type string, cluster_size long, template_mined string"
 
 
+RUN_ROWS = 200_000  # rows sorted at a time
+BLOCK_ROWS = 1_000  # rows of each run in memory while runs are merged
+OUT_ROWS = 10_000  # rows of a frame of results
+
+
+def _ordered(parts: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """(msg_id, joined) of all parts by msg_id, equal ones as they came."""
+
+    def rows(held: list[pd.DataFrame]) -> Iterator[tuple]:
+        run = pd.concat(held).sort_values("msg_id", kind="stable")
+        return zip(run["msg_id"], run["joined"], strict=True)
+
+    with tempfile.TemporaryFile() as file:
+
+        def read(blocks: list[int]) -> Iterator[tuple]:
+            for at in blocks:
+                file.seek(at)
+                yield from pickle.load(file)
+
+        runs: list[list[int]] = []
+        held: list[pd.DataFrame] = []
+        for part in parts:
+            held.append(part)
+            if sum(map(len, held)) >= RUN_ROWS:
+                runs.append([])
+                for block in batched(rows(held), BLOCK_ROWS):
+                    runs[-1].append(file.tell())
+                    pickle.dump(block, file)
+                held = []
+        last = [rows(held)] if held else []
+        yield from heapq.merge(*map(read, runs), *last, key=itemgetter(0))
+
+
 def _step(rules: Rules):
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         tree: Tree = pickle.loads(state.get[0]) if state.exists else Tree(rules)
-        rows = pd.concat(list(parts)).sort_values("msg_id", kind="stable")
-        out = []
-        for msg_id, joined in zip(rows["msg_id"], rows["joined"], strict=True):
-            cluster, change = tree.add(joined.split(SEP) if joined else ())
-            template, size = tree.clusters[cluster]
-            out.append((int(msg_id), key[0], cluster, change, size, " ".join(template)))
+        for block in batched(_ordered(parts), OUT_ROWS):
+            out = []
+            for msg_id, joined in block:
+                cluster, change = tree.add(joined.split(SEP) if joined else ())
+                template, size = tree.clusters[cluster]
+                out.append((int(msg_id), key[0], cluster, change, size, " ".join(template)))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
         state.update((pickle.dumps(tree),))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
 
     return run
 

@@ -1,7 +1,9 @@
 """Spark operators against goldens and against a serial run of the fold."""
 
 import random
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,6 +221,23 @@ def test_stream_and_lines(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "o")).count() == 3
 
 
+def test_stream_step_in_runs(monkeypatch):
+    """Results come in frames of bounded length, in msg_id order over all parts, as from a single fold."""
+    n = 700
+    rows = [(i * 37 % n, ms.SEP.join(["a", "bc"[i % 2], str(i % 5)])) for i in range(n)]
+    parts = [pd.DataFrame(rows[i : i + 30], columns=["msg_id", "joined"]) for i in range(0, n, 30)]
+    state = SimpleNamespace(exists=False, update=lambda v: None)
+    sizes = {"RUN_ROWS": 100, "BLOCK_ROWS": 7, "OUT_ROWS": 50}
+    for name, value in sizes.items():
+        monkeypatch.setattr(ms, name, value, raising=False)
+    out = list(ms._step(ms.Rules.of(MinerConfig()))(("k",), iter(parts), state))
+    assert max(map(len, out)) == 50
+    tree = ms.Tree(ms.Rules.of(MinerConfig()))
+    expected = [(i, *tree.add(t.split(ms.SEP))) for i, t in sorted(rows)]
+    got = pd.concat(out)
+    assert list(zip(got["msg_id"], got["local_id"], got["change_type"], strict=True)) == expected
+
+
 def test_pool(spark):
     df = spark.createDataFrame([(i, f"line type {'abcd'[i % 4]}") for i in range(8)], LINES)
     stats = mi.pool_stats(mi.mine(df, MinerConfig(), instances=2)).collect()
