@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import zlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.scratch import materialize, shared_dir
 
-__all__ = ["WS_CLASS", "crc_mod", "crc_of", "held_out", "labelled", "materialize", "shared_dir", "table"]
+__all__ = ["WS_CLASS", "crc_mod", "crc_of", "held_out", "labelled", "materialize", "shared_dir", "slices", "table", "trimmed"]
 
 #: Bytes that separate words everywhere in this subpackage: blank and TAB..CR.
 WS_CLASS = r"[\x20\x09-\x0D]"
@@ -39,3 +44,36 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, id_c
     ids = ids.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id", F.lit(3)), "id").limit(max_rows)
     # At most max_rows rows of 12 bytes.
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")
+
+
+def slices(batch: pa.RecordBatch, column: int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose strings or bytes in ``column`` add up to ``limit`` or are one row."""
+    start = held = 0
+    for i, n in enumerate(pa.compute.binary_length(batch.column(column)).to_pylist()):
+        if held and held + (n or 0) > limit:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n or 0
+    yield batch.slice(start)
+
+
+@functools.cache
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library: its allocator keeps freed memory as it likes
+        return None
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow; workers live on between tasks, so freed memory goes back to the system after each."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(_libc(), "malloc_trim"):
+                _libc().malloc_trim(0)
+
+    return whole

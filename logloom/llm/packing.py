@@ -8,9 +8,11 @@
    dominate every other way to fill a sequence with their largest piece; what
    is left is packed best-fit in order of falling length.
 3. The plan is a list of runs "the next n pieces of this length go to these
-   sequences at this offset".  Pieces are ranked within their length from
-   counts per hash bucket (a length that a third of all pieces have is spread
-   over all buckets) and look up their run in a binary search.
+   sequences at this offset".  Tokenising tasks number their pieces of each
+   length as they write them, so a piece's rank among all pieces of its length
+   is that number and the counts of the tasks before its own: a table of
+   (task, length) that is broadcast where it is small.  Pieces look up their
+   run in a binary search; neither ids nor texts are shuffled for it.
 
 Defined results: a null or empty text is one piece that holds the end token;
 repeated rows are documents of their own; an empty table gives an empty result;
@@ -20,19 +22,25 @@ other columns are ignored.
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, slices, trimmed
 
 #: The one special token of the vocabulary; texts that hold it go to the slower library.
 _SPECIAL = "<|endoftext|>"
+#: So do texts with white space of that length in a row, on which the faster library's pattern search overflows its stack.
+_LONG_BLANK = 10_000
+_BLANKS = re.compile(r"\s{%d}" % _LONG_BLANK)
 
 
 @functools.lru_cache(maxsize=2)
@@ -62,7 +70,8 @@ def token_ids(text: str | None, json_path: str, ranks_path: str, end_id: int) ->
     """
     if not text:
         return np.array([end_id], dtype="<u4")
-    ids = _exact(json_path).encode(text, add_special_tokens=False).ids if _SPECIAL in text else _fast(ranks_path).encode_ordinary(text)
+    slow = _SPECIAL in text or (len(text) >= _LONG_BLANK and _BLANKS.search(text))
+    ids = _exact(json_path).encode(text, add_special_tokens=False).ids if slow else _fast(ranks_path).encode_ordinary(text)
     ids.append(end_id)
     return np.array(ids, dtype="<u4")
 
@@ -73,11 +82,27 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, capacity) for s in range(first, n, capacity)]
 
 
+class _Numbers:
+    """Running numbers of pieces within their length."""
+
+    def __init__(self) -> None:
+        self.seen: Counter = Counter()
+
+    def __call__(self, lengths: list[int]) -> list[int]:
+        out = []
+        for x in lengths:
+            out.append(self.seen[x])
+            self.seen[x] += 1
+        return out
+
+
 def _pieces(capacity: int, json_path: str, ranks_path: str, end_id: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
-        for batch in batches:
-            rows: list[list] = [[] for _ in range(5)]
+        names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids + ["part", "nth"]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        number, part = _Numbers(), TaskContext.get().partitionId()
+        for batch in (x for whole in batches for x in slices(whole, 1)):
+            rows: list[list] = [[] for _ in kinds]
             kept: list = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = token_ids(text, json_path, ranks_path, end_id)
@@ -86,23 +111,33 @@ def _pieces(capacity: int, json_path: str, ranks_path: str, end_id: int, keep_id
                     for to, value in zip(rows, (doc_id, piece, start, length, zlib.crc32(own.tobytes())), strict=True):
                         to.append(value)
                     if keep_ids:
-                        kept.append(own.astype(np.int32))
-            arrays = [pa.array(v, t) for v, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+                        kept.append(own)
+            arrays = [pa.array(v, t) for v, t in zip(rows, kinds, strict=True)]
             if keep_ids:
-                arrays.append(pa.array(kept, pa.list_(pa.int32())))
+                ends = np.concatenate([[0], np.cumsum(rows[3])]).astype(np.int32)
+                arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kept).astype(np.int32) if kept else np.zeros(0, np.int32))))
+            arrays += [pa.array([part] * len(rows[0]), pa.int32()), pa.array(number(rows[3]), pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     return run
 
 
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    number, part = _Numbers(), TaskContext.get().partitionId()
+    for batch in batches:
+        nth = number(batch.column(batch.schema.names.index("length")).to_pylist())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * len(nth), pa.int32()), pa.array(nth, pa.int64())], [*batch.schema.names, "part", "nth"])
+
+
 def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, json_path: str | None = None, ranks_path: str | None = None, end_id: int = 2, keep_ids: bool = False) -> DataFrame:
-    """Pieces: doc_id, piece, start, length, ids_crc32 and, if asked for, ids."""
+    """Pieces: doc_id, piece, start, length, ids_crc32 and, if asked for, ids; part and nth number them by task and length."""
     if json_path is None or ranks_path is None:
         import public_tokenizers as public
 
         json_path, ranks_path = json_path or public.path("byte_bpe_50k.json"), ranks_path or public.path("byte_bpe_50k.tiktoken")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_pieces(capacity, str(json_path), str(ranks_path), end_id, keep_ids), "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else ""))
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else "") + ", part int, nth long"
+    return rows.mapInArrow(trimmed(_pieces(capacity, str(json_path), str(ranks_path), end_id, keep_ids)), schema)
 
 
 def reduce_instance(counts: Counter, capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -196,38 +231,44 @@ def _runs(sequences: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.nd
     return {x: tuple(np.array(c, dtype=np.int64) for c in zip(*runs, strict=True)) for x, runs in out.items()}
 
 
-def _placed(runs):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = batch.schema.names
-            length, rank = (batch.column(names.index(c)).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
-            sequence, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
-            for x in np.unique(length).tolist():
-                first, base, off = runs.value[x]
-                own = np.flatnonzero(length == x)
-                i = np.searchsorted(first, rank[own], side="right") - 1
-                sequence[own], offset[own] = base[i] + rank[own] - first[i], off[i]
-            keep = [i for i, c in enumerate(names) if c != "rank"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(sequence), pa.array(offset)], [*(names[i] for i in keep), "sequence_id", "offset"])
+def _place(runs):
+    """Column function: (sequence_id, offset) of pieces from length and rank."""
+
+    @F.pandas_udf("sequence_id long, offset long")
+    def run(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        length, rank = length.to_numpy(), rank.to_numpy()
+        sequence, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
+        for x in np.unique(length).tolist():
+            first, base, off = runs.value[x]
+            own = np.flatnonzero(length == x)
+            i = np.searchsorted(first, rank[own], side="right") - 1
+            sequence[own], offset[own] = base[i] + rank[own] - first[i], off[i]
+        return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = 1024, bucket_rows: int = 20_000) -> DataFrame:
-    """``pieces`` (doc_id, piece, length, ids_crc32, ...; written, so that reruns agree) with sequence_id and offset."""
+def pack(pieces: DataFrame, capacity: int = 1024, broadcast_rows: int = 4_000_000) -> DataFrame:
+    """``pieces`` (length, ...) with sequence_id and offset.
+
+    Pieces without the numbers of ``tokenized`` are numbered and written first;
+    else they are a written table already.  ``broadcast_rows``: most rows (24
+    bytes each) of the table of counts by task and length that are broadcast;
+    more are met in a shuffled join.
+    """
     spark = pieces.sparkSession
-    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    columns = [c for c in pieces.columns if c not in ("part", "nth")]
+    if "nth" not in pieces.columns:
+        schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in pieces.schema.fields) + "part int, nth long"
+        pieces = materialize(pieces.mapInArrow(_numbered, schema), "pack-numbered")
+    counts = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
+    cells = materialize(counts.select("length", "part", "n", before.alias("before")), "pack-cells")
+    histogram = {r["length"]: r["n"] for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     runs = spark.sparkContext.broadcast(_runs(plan(histogram, capacity)))
-    buckets = max(1, min(65_536, sum(histogram.values()) // bucket_rows))
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
-    cells = dealt.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")
-    cells = materialize(cells.select("length", "bucket", before.alias("before")), "pack-cells")
-    order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32", *(["start"] if "start" in pieces.columns else []))
-    ranked = dealt.withColumn("row", F.row_number().over(order)).join(cells, ["length", "bucket"])
-    ranked = ranked.select(*pieces.columns, (F.col("before") + F.col("row") - 1).alias("rank"))
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
-    return ranked.mapInArrow(_placed(runs), schema)
+    ends = cells.select("length", "part", "before")
+    placed = pieces.join(F.broadcast(ends) if cells.count() <= broadcast_rows else ends, ["length", "part"])
+    return placed.withColumn("at", _place(runs)("length", F.col("before") + F.col("nth"))).select(*columns, "at.sequence_id", "at.offset")
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, **tokens) -> DataFrame:

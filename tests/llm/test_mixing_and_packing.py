@@ -127,6 +127,35 @@ def test_reduction_keeps_the_optimum():
         assert fixed + optimum(sorted(left.elements(), reverse=True), 20) == optimum(items, 20), items
 
 
+def test_plan_against_the_optimum():
+    rng = random.Random(4)
+    extra = []
+    for _ in range(150):
+        items = sorted((rng.randint(1, 20) for _ in range(rng.randint(1, 9))), reverse=True)
+        extra.append(sum(t for _, t in P.plan(Counter(items), 20)) - optimum(items, 20))
+    assert min(extra) == 0 and max(extra) <= 1 and extra.count(0) >= 140
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000, "a" * 1_000_000, "x" + " " * 1_000_000 + "y", "\t \n" * 400_000])
+def test_very_long_runs(text):
+    import public_tokenizers as public
+    from tokenizers import Tokenizer
+
+    got = P.token_ids(text, str(public.path("byte_bpe_50k.json")), str(public.path("byte_bpe_50k.tiktoken")), 2)
+    assert got.tolist() == Tokenizer.from_file(str(public.path("byte_bpe_50k.json"))).encode(text, add_special_tokens=False).ids + [2]
+
+
+def test_pack_numbers_plain_pieces(spark):
+    pieces = spark.range(500).selectExpr("id as doc_id", "id % 7 + 1 as length").repartition(5)
+    for broadcast_rows in (100, 0):
+        out = P.pack(pieces, 8, broadcast_rows).collect()
+        assert sorted(r["doc_id"] for r in out) == list(range(500)) and len({(r["sequence_id"], r["offset"]) for r in out}) == 500
+        places = defaultdict(list)
+        for r in out:
+            places[r["sequence_id"]].append((r["offset"], r["length"]))
+        assert all(o == sum(n for _, n in sorted(own)[:i]) for own in places.values() for i, (o, _) in enumerate(sorted(own)))
+
+
 def test_cuts():
     assert P.cuts(5, 4) == [(0, 1), (1, 4)] and P.cuts(4, 4) == [(0, 4)] and P.cuts(8, 4) == [(0, 4), (4, 4)] and P.cuts(1, 4) == [(0, 1)]
 
