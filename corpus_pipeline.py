@@ -41,8 +41,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the mixed documents and their places in sequences of 1024 tokens."""
-    return packing.pack_documents(docs)
+    """Pieces of the mixed documents, their token ids and their places in sequences of 1024 tokens."""
+    return packing.pack_documents(docs, keep_ids=True)
 
 
 STAGES = [
