@@ -17,7 +17,7 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, "k", "n", 1, "h") for i, t in rows], DOCS).repartition(3)
 
 
-@pytest.mark.parametrize("params", [{}, {"bucket_capacity": 3, "broadcast_keys": 0}])
+@pytest.mark.parametrize("params", [{}, {"bucket_capacity": 3, "broadcast_keys": 0, "broadcast_slots": 0}, {"hot_rows": 2}])
 def test_exact(spark, params):
     rng = random.Random(1)
     rows = [(i, rng.choice(["a b", "a\t b", "a  b ", " a b", "x", "", None, "é\n\nz", "é z", "long " * 3000])) for i in range(80)]
@@ -33,12 +33,20 @@ def test_exact(spark, params):
     assert E.exact_dedup(frame(spark, rows).limit(0)).count() == 0
 
 
-def test_directory_doubles(spark):
-    keys = spark.range(1000).selectExpr("xxhash64(id) as key")
-    depth = E.directory_depth(keys, 20)
-    assert depth >= 6
-    cells = keys.groupBy(E._prefix(keys["key"], depth).alias("c")).count()
-    assert cells.agg({"count": "max"}).first()[0] <= 20 and E.directory_depth(keys.limit(0), 20) == 0
+def test_directory_splits_overfull_cells_only(spark):
+    # 40 keys share their first five bits, the rest are spread.
+    keys = spark.range(40).selectExpr("shiftright(xxhash64(id), 5) & 576460752303423487L as key").union(spark.range(1000, 1030).selectExpr("xxhash64(id)"))
+    keys = E.materialize(keys.distinct(), "test-keys")
+    buckets = E.directory(keys, 20)
+    rows = sorted((r["slot"] << (64 - r["depth"]), r["depth"]) for r in buckets.collect())
+    assert len({d for _, d in rows}) > 1 and rows[0][0] == 0
+    # Ranges of keys, without gaps: each begins where the one before it ends.
+    assert all(a + (1 << (64 - d)) == b for (a, d), (b, _) in zip(rows, rows[1:]))
+    placed = E.with_bucket(keys, buckets, 10**6).groupBy("bucket").count().collect()
+    assert sum(r["count"] for r in placed) == keys.count() and max(r["count"] for r in placed) <= 20
+    again = E.with_bucket(keys, buckets, 0).groupBy("bucket").count().collect()
+    assert sorted(map(tuple, placed)) == sorted(map(tuple, again))
+    assert E.directory(keys.limit(0), 20).count() == 1
 
 
 def brute_lines(rows, min_chars=40, min_docs=5):
@@ -48,7 +56,7 @@ def brute_lines(rows, min_chars=40, min_docs=5):
         for line in (t or "").split("\n"):
             if len(key(line)) >= min_chars:
                 keys[key(line)].add((n, i))
-    last = {k: max((-(2**63) if i is None else i) for _, i in own) for k, own in keys.items() if len(own) >= min_docs}
+    last = {k: max((-(2**63) if i is None else i) for _, i in own) for k, own in keys.items() if len({i for _, i in own}) >= min_docs}
     out = []
     for i, t in rows:
         lines = (t or "").split("\n")
@@ -64,10 +72,10 @@ def line_rows():
     for i in range(60):
         lines = [rng.choice(pool) for _ in range(rng.randint(0, 6))] + [f"own line {i} that nobody else has, long enough to count"]
         rows.append((i, "\n".join(f" {s.upper()}\t" if rng.random() < 0.2 and s.isascii() else s for s in lines)))
-    return rows + [(100, None), (101, ""), (None, pool[0]), (102, "w" * 200_000), (5, rows[5][1])]
+    return rows + [(100, None), (101, ""), (None, pool[0]), (102, "w" * 200_000), (5, rows[5][1])] + [(i, "a line of three documents in five rows, and long enough") for i in (201, 201, 201, 202, 203)]
 
 
-@pytest.mark.parametrize("params", [{}, {"broadcast_bytes": 0}, {"shard_keys": 2}])
+@pytest.mark.parametrize("params", [{}, {"broadcast_bytes": 0, "task_keys": 9}, {"shard_keys": 2}, {"shard_keys": 2, "broadcast_bytes": 0}])
 def test_lines(spark, params):
     rows = line_rows()
     got = sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in L.line_dedup(frame(spark, rows), **params).collect()), key=str)
