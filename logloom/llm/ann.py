@@ -1,21 +1,26 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
-Cosine order on unit vectors is Euclidean order, so ``tables`` hash tables of
-``projections`` Gaussian (2-stable) projections with cells of width ``width``
-index every row; the outermost cells of a projection are open, so a table has
-at most ``5 ** projections`` buckets, whatever the data.
-
-A query visits buckets in order of estimated success: the chance that a
-neighbour at distance ``r`` projects into the bucket, a product of normal
-probabilities around the query's own projections.  It goes on until the chances
-add up to ``success`` and the buckets hold enough rows, so there is no cap on
-probes.  ``r`` is fitted on a bounded sample (``fit_rows`` rows).
-
-Tasks get one block of a bucket's rows and one block of the queries that visit
-it (``block_rows`` at most of each, so a vector that a third of all rows repeat
-is spread over many tasks), take the best from one matrix product and score
-them exactly in double precision; the tables' candidates are merged by the best
-scores.
+Cosine order on unit vectors is Euclidean order.  Each of ``tables`` hash tables
+has Gaussian (2-stable) projections with cells open to both sides, so a bucket
+is one bit a projection, and as many projections as make buckets of about
+``bucket_rows`` rows: buckets grow in number with the rows.
+
+A query visits the buckets of a table in order of estimated success.  A
+neighbour with cosine ``c`` projects normally around ``c`` times the query's own
+projection, which gives the chance of every bucket; visited are the likeliest
+ones that together hold such a neighbour with probability ``s``, where ``tables``
+tries of ``s`` give ``recall``.  The least chance that is visited, a number for
+each query and table, stands for the whole list of buckets.  ``c`` is fitted on
+a bounded sample (``fit_rows`` rows) and is the k-th best cosine among its different
+vectors that 60 % of them reach.
+
+Rows are dealt by the leading bits of their bucket (a region of about
+``block_rows`` rows).  A query goes to the regions that hold a bucket it visits;
+there it is compared, exactly and in double precision, with the rows of those
+buckets alone.  A region's rows and queries come in blocks, so a vector that a
+third of all rows repeat is spread over many tasks.  The tables' candidates are
+merged by the best scores; a query that met fewer than ``k`` is compared with
+all rows in a second pass.
 
 Defined results: rows whose vector is null, empty, zero, of another length than
 most, or holds null or non-finite components take no part; repeated rows of one
@@ -36,42 +41,51 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
-
-_CELLS = 5
-
+from .common import materialize, slices
 
 @dataclass(frozen=True)
 class Tables:
-    """The hash functions and the distance that probing expects."""
+    """The hash functions and the cosine that probing expects."""
 
     lines: np.ndarray  # tables x projections x dimensions
-    offsets: np.ndarray  # tables x projections
-    width: float
-    distance: float
-
-    def cells(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(bucket number, projections) of rows, by table."""
-        p = np.einsum("nd,tkd->tnk", unit, self.lines) + self.offsets[:, None, :]
-        c = np.clip(np.floor(p / self.width), -(_CELLS // 2), _CELLS // 2).astype(np.int64) + _CELLS // 2
-        return c @ (_CELLS ** np.arange(c.shape[2])), p
-
-    def chances(self, p: np.ndarray) -> np.ndarray:
-        """Estimated success of every bucket of one table for rows with projections ``p``."""
-        edges = np.concatenate([[-np.inf], (np.arange(_CELLS - 1) - _CELLS // 2 + 1) * self.width, [np.inf]])
-        z = (edges[None, None, :] - p[:, :, None]) / self.distance
-        each = np.diff(_normal(z), axis=2)  # rows x projections x cells
-        out = np.ones((len(p), 1))
-        for k in range(p.shape[1]):  # bucket numbers count the first projection fastest
-            out = (each[:, k][:, :, None] * out[:, None, :]).reshape(len(p), -1)
-        return out
+    cosine: float
+    success: float  # wanted of one table
+    leading: int  # bits that name the region
+
+    def bits(self, t: int, unit: np.ndarray) -> np.ndarray:
+        return unit @ self.lines[t].T > 0
+
+    def logs(self, t: int, unit: np.ndarray) -> np.ndarray:
+        """Log chance of each side of each projection (rows x projections x 2) for a neighbour of the rows."""
+        z = self.cosine * (unit @ self.lines[t].T) / math.sqrt(1 - self.cosine**2)
+        return np.log(np.maximum(np.stack([_normal(-z), _normal(z)], axis=2), 1e-12))
+
+    def least(self, logs: np.ndarray) -> np.ndarray:
+        """Log chance of the last bucket that rows visit: drawn neighbours fall below it with probability 1 - success."""
+        drawn = np.random.default_rng(1).random((400, logs.shape[1]))
+        out = np.empty(len(logs))
+        for i, own in enumerate(logs):
+            out[i] = np.sort(np.where(drawn < np.exp(own[:, 1]), own[:, 1], own[:, 0]).sum(axis=1))[int(400 * (1 - self.success))]
+        return out - 1e-9
+
+
+def sums(logs: np.ndarray) -> np.ndarray:
+    """Log chance of all buckets over some projections; the first is the highest bit."""
+    out = np.zeros(1)
+    for own in logs:
+        out = (out[:, None] + own[None, :]).ravel()
+    return out
+
+
+def numbers(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits as integers, the first bit the highest."""
+    return bits.astype(np.int64) @ (1 << np.arange(bits.shape[1] - 1, -1, -1, dtype=np.int64))
 
 
 def _normal(z: np.ndarray) -> np.ndarray:
     """Standard normal distribution function (logistic-cubic approximation, good to 1e-3)."""
-    with np.errstate(over="ignore", invalid="ignore"):
-        x = np.clip(z, -9, 9)
-        return 1 / (1 + np.exp(-(1.5976 * x + 0.070566 * x**3)))
+    x = np.clip(z, -9, 9)
+    return 1 / (1 + np.exp(-(1.5976 * x + 0.070566 * x**3)))
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -101,128 +115,147 @@ def valid_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>")).mapInArrow(run, "vec_id long, vector binary, dim int")
 
 
-def fit(vectors: DataFrame, dim: int, tables: int, projections: int, width: float, fit_rows: int, seed: int, k: int) -> Tables:
-    """Draw the hash functions and fit the expected distance on a seeded sample."""
-    rng = np.random.default_rng(seed)
-    lines, offsets = rng.standard_normal((tables, projections, dim)), rng.random((tables, projections)) * width
-    sample = vectors.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id", "vector").limit(fit_rows).toPandas().drop_duplicates("vec_id")
-    distance = 1.0
+def fit(vectors: DataFrame, dim: int, n: int, tables: int, recall: float, bucket_rows: int, block_rows: int, fit_rows: int, seed: int, k: int) -> Tables:
+    """Draw the hash functions for ``n`` rows and fit the expected cosine on a seeded sample."""
+    bits = min(48, max(0, round(math.log2(max(1, n) / bucket_rows))))
+    lines = np.random.default_rng(seed).standard_normal((tables, bits, dim))
+    sample = vectors.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id", "vector").limit(fit_rows).toPandas().drop_duplicates("vec_id").drop_duplicates("vector")
+    cosine = 0.0
     if len(sample) > 1:
         unit = _unit(np.frombuffer(b"".join(sample["vector"]), np.float64).reshape(-1, dim))
         near = unit[:256] @ unit.T
         near[np.arange(len(near)), np.arange(len(near))] = -2
         at = min(k, len(unit) - 1) - 1
-        best = -np.partition(-near, at, axis=1)[:, at]
-        distance = float(max(0.05, np.quantile(np.sqrt(np.maximum(0, 2 - 2 * best)), 0.75)))
-    return Tables(lines, offsets, width, distance)
+        cosine = float(np.clip(np.quantile(-np.partition(-near, at, axis=1)[:, at], 0.4), 0.0, 0.999))
+    leading = min(bits, max(0, math.ceil(math.log2(max(1, n) / block_rows))), 40)
+    return Tables(lines, cosine, 1 - (1 - recall) ** (1 / tables), leading)
+
+
+_COLUMNS = "t int, region long, vec_id long, vector binary"
+
+
+def _part(t: int, region: np.ndarray, batch: pa.RecordBatch, row: np.ndarray | None = None) -> pa.RecordBatch:
+    own = [batch.column(i) if row is None else batch.column(i).take(pa.array(row)) for i in (0, 1)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(region), t, np.int32)), pa.array(region.astype(np.int64)), *own], ["t", "region", "vec_id", "vector"])
 
 
 def _indexed(model: Tables, dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cells, _ = model.cells(_unit(_rows(batch, dim))) if len(batch) else (np.zeros((len(model.lines), 0), np.int64), None)
-            for t, own in enumerate(cells):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), t, np.int32)), pa.array(own), batch.column(0), batch.column(1)], ["t", "cell", "vec_id", "vector"])
+        for batch in (x for whole in batches for x in slices(whole, 1)):
+            unit = _unit(_rows(batch, dim))
+            for t in range(len(model.lines)):
+                yield _part(t, numbers(model.bits(t, unit)[:, : model.leading]), batch)
 
     return run
 
 
-def _probes(model: Tables, dim: int, counts: np.ndarray, ids: np.ndarray, success: float, k: int):
-    """``counts``: rows of the buckets; ``ids``: vec_ids of the buckets, each counted in one of its buckets."""
+def _probes(model: Tables, dim: int, everything: bool):
+    """Queries in the regions that hold a bucket they visit (in all regions of one table, if ``everything``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, len(batch), 256):
-                part = batch.slice(low, 256)
-                _, p = model.cells(_unit(_rows(part, dim)))
-                for t in range(len(p)):
-                    chance = model.chances(p[t])
-                    order = np.argsort(-chance, axis=1, kind="stable")
-                    done = np.cumsum(np.take_along_axis(chance, order, 1), axis=1)
-                    held = np.cumsum(ids[t][order], axis=1)
-                    before = lambda a: np.concatenate([np.zeros((len(a), 1)), a[:, :-1]], axis=1)
-                    visit = ((before(done) < success) | (before(held) < k + 1)) & (counts[t][order] > 0)
-                    row, at = np.nonzero(visit)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), t, np.int32)), pa.array(order[row, at].astype(np.int64)), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row))], ["t", "cell", "vec_id", "vector"])
+        for batch in (x for whole in batches for x in slices(whole, 1, 1 << 18)):
+            unit = _unit(_rows(batch, dim))
+            for t in range(1 if everything else len(model.lines)):
+                logs = model.logs(t, unit)
+                least = np.full(len(unit), -np.inf) if everything else model.least(logs)
+                rows, regions = [], []
+                for i, own in enumerate(logs):
+                    beyond = np.r_[np.cumsum(own.max(axis=1)[::-1])[::-1], 0.0]  # best of the projections from here on
+                    chance, name = np.zeros(1), np.zeros(1, np.int64)
+                    for j in range(model.leading):  # one more bit, unlikely prefixes left out
+                        chance, name = (chance[:, None] + own[j][None, :]).ravel(), (2 * name[:, None] + np.arange(2)[None, :]).ravel()
+                        keep = chance + beyond[j + 1] >= least[i]
+                        chance, name = chance[keep], name[keep]
+                    rows.append(np.full(len(name), i))
+                    regions.append(name)
+                if rows:
+                    yield _part(t, np.concatenate(regions), batch, np.concatenate(rows))
 
     return run
 
 
-def _best(dim: int, k: int):
+def _best(model: Tables, dim: int, k: int, everything: bool):
+    """The best rows of each query of a block, and how many it was compared with (``met``)."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         q, x = pdf[pdf["query"]], pdf[~pdf["query"]]
         out: list[tuple] = []
         if len(q) and len(x):
+            t, region = int(pdf["t"].iloc[0]), int(pdf["region"].iloc[0])
             a, b = (np.frombuffer(b"".join(s["vector"]), np.float64).reshape(-1, dim) for s in (q, x))
             na, nb = np.sqrt((a * a).sum(axis=1)), np.sqrt((b * b).sum(axis=1))
-            # Rows by vec_id, so that the best of each id is a maximum over neighbouring columns.
-            by_id = np.argsort(x["vec_id"].to_numpy(), kind="stable")
-            b, nb, ids, own = b[by_id], nb[by_id], x["vec_id"].to_numpy()[by_id], q["vec_id"].to_numpy()
-            first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-            for low in range(0, len(a), 256):
-                near = (a[low : low + 256] / na[low : low + 256, None]) @ (b / nb[:, None]).T
-                near[own[low : low + 256, None] == ids[None, :]] = -9
-                best = near if len(first) == len(ids) else np.maximum.reduceat(near, first, axis=1)
-                at = min(k, len(first)) - 1
-                least = -np.partition(-best, at, axis=1)[:, at] - 1e-9
-                for i, (row, cut) in enumerate(zip(near, least, strict=True), low):
-                    c = np.flatnonzero(row >= max(cut, -2))
-                    score = (b[c] * a[i]).sum(axis=1) / (nb[c] * na[i])
-                    top = np.lexsort((ids[c], -score))
-                    top = top[np.sort(np.unique(ids[c[top]], return_index=True)[1])][: 2 * k]
-                    out += [(own[i], ids[c[j]], score[j]) for j in top]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+            ids, own = x["vec_id"].to_numpy(), q["vec_id"].to_numpy()
+            fine = numbers(model.bits(t, b / nb[:, None])[:, model.leading :])
+            logs = model.logs(t, a / na[:, None])
+            least = np.full(len(a), -np.inf) if everything else model.least(logs)
+            first = [(region >> (model.leading - 1 - j)) & 1 for j in range(model.leading)]
+            for i in range(len(a)):
+                inside = logs[i, np.arange(model.leading), first].sum() + sums(logs[i, model.leading :]) >= least[i]
+                c = np.flatnonzero(inside[fine] & (ids != own[i]))
+                if not len(c):
+                    continue
+                score = (b[c] * a[i]).sum(axis=1) / (nb[c] * na[i])
+                top = np.lexsort((ids[c], -score))
+                top = top[np.sort(np.unique(ids[c[top]], return_index=True)[1])[:k]]
+                out += [(own[i], ids[c[j]], score[j], len(c) if r == 0 else 0) for r, j in enumerate(top)]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score", "met"])
 
     return run
 
 
+def _found(index: DataFrame, asked: DataFrame, model: Tables, dim: int, k: int, block_rows: int, everything: bool) -> DataFrame:
+    """(query_id, vec_id, score, met) of the visited buckets, block by block."""
+    probes = materialize(asked.mapInArrow(_probes(model, dim, everything), _COLUMNS), "ann-probes")
+    size = lambda df, name: df.groupBy("t", "region").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
+    sizes = materialize(size(index, "xs").join(size(probes, "qs"), ["t", "region"]), "ann-sizes")
+
+    def block(df: DataFrame, own: str, other: str, query: bool) -> DataFrame:
+        """Each row in its own block, once for every block of the other side."""
+        dealt = df.join(sizes, ["t", "region"]).withColumn(own[0], F.pmod(F.xxhash64("vec_id", "vector"), F.col(own)))
+        return dealt.withColumn(other[0], F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select("t", "region", F.col("x").cast("long"), F.col("q").cast("long"), "vec_id", "vector", F.lit(query).alias("query"))
+
+    met = block(index, "xs", "qs", False).unionByName(block(probes, "qs", "xs", True))
+    return met.groupBy("t", "region", "x", "q").applyInPandas(_best(model, dim, k, everything), "query_id long, vec_id long, score double, met long")
+
+
 def search(
     rows: DataFrame,
     queries: DataFrame,
     k: int = 5,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
-    tables: int = 4,
-    projections: int = 3,
-    width: float = 1.0,
-    success: float = 0.75,
+    tables: int = 8,
+    recall: float = 0.94,
+    bucket_rows: int = 2,
     fit_rows: int = 4096,
     block_rows: int = 4096,
     seed: int = 0,
 ) -> DataFrame:
-    """The ``k`` nearest found of each query: query_id, rank, vec_id, score."""
+    """The ``k`` nearest found of each query: query_id, rank, vec_id, score, compared (its exact comparisons)."""
     vectors = materialize(valid_vectors(rows, id_col, vector_col).groupBy("vec_id", "vector", "dim").count(), "ann-vectors")
     asked = valid_vectors(queries, id_col, vector_col).distinct()
-    common = vectors.groupBy("dim").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "dim").first()
-    dim = common["dim"] if common else 1
+    common = vectors.groupBy("dim").agg(F.sum("count").alias("count"), F.count(F.lit(1)).alias("n"), F.countDistinct("vec_id").alias("ids")).orderBy(F.desc("count"), "dim").first()
+    dim, n, ids = (common["dim"], common["n"], common["ids"]) if common else (1, 0, 0)
     vectors, asked = (v.filter(F.col("dim") == dim).select("vec_id", "vector") for v in (vectors, asked))
-    model = fit(vectors, dim, tables, projections, width, fit_rows, seed, k)
-    columns = "t int, cell long, vec_id long, vector binary"
-    index = materialize(vectors.mapInArrow(_indexed(model, dim), columns), "ann-index")
-    counts, ids = np.zeros((2, tables, _CELLS**projections))
-    # An id with vectors in several buckets counts in one of them, so no set of buckets seems to hold more ids than it does.
-    once = index.groupBy("t", "vec_id").agg(F.min("cell").alias("cell"))
-    for out, of in ((counts, index), (ids, once)):
-        for r in of.groupBy("t", "cell").count().collect():  # at most tables * 5 ** projections rows
-            out[r["t"], r["cell"]] = r["count"]
-    probes = materialize(asked.mapInArrow(_probes(model, dim, counts, ids, success, k), columns), "ann-probes")
-    sizes = index.groupBy("t", "cell").count().select("t", "cell", F.ceil(F.col("count") / block_rows).cast("int").alias("xs"))
-    sizes = sizes.join(probes.groupBy("t", "cell").count().select("t", "cell", F.ceil(F.col("count") / block_rows).cast("int").alias("qs")), ["t", "cell"])
-    sizes = F.broadcast(materialize(sizes, "ann-sizes"))
-
-    def block(df: DataFrame, own: str, other: str, query: bool) -> DataFrame:
-        """Each row in its own block, once for every block of the other side."""
-        dealt = df.join(sizes, ["t", "cell"]).withColumn(own[0], F.pmod(F.xxhash64("vec_id", "vector"), F.col(own)))
-        return dealt.withColumn(other[0], F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select("t", "cell", F.col("x").cast("long"), F.col("q").cast("long"), "vec_id", "vector", F.lit(query).alias("query"))
-
-    met = block(index, "xs", "qs", False).unionByName(block(probes, "qs", "xs", True))
-    found = met.groupBy("t", "cell", "x", "q").applyInPandas(_best(dim, k), "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    model = fit(vectors, dim, n, tables, recall, bucket_rows, block_rows, fit_rows, seed, k)
+    index = materialize(vectors.mapInArrow(_indexed(model, dim), _COLUMNS), "ann-index")
+
+    def merged(found: DataFrame) -> DataFrame:
+        best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), F.sum("met").alias("met"))
+        query = Window.partitionBy("query_id")
+        ranked = best.withColumns({"rank": F.row_number().over(query.orderBy(F.desc("score"), "vec_id")), "compared": F.sum("met").over(query)})
+        return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "compared")
+
+    out = materialize(merged(_found(index, asked, model, dim, k, block_rows, False)), "ann-found")
+    full = out.groupBy("query_id").count().filter(F.col("count") >= min(k, ids - 1)).select("query_id")
+    short = materialize(asked.join(full, asked["vec_id"] == full["query_id"], "left_anti"), "ann-short")
+    if short.isEmpty():
+        return out
+    again = merged(_found(index.filter("t = 0"), short, model, dim, k, block_rows, True))
+    return out.join(full, "query_id", "left_semi").unionByName(again)
 
 
-def recall(found: DataFrame, exact: DataFrame) -> float:
+def recall_of(found: DataFrame, exact: DataFrame) -> float:
     """Share of the exact neighbours (query_id, vec_id) that were found."""
     total = exact.count()
     return exact.join(found, ["query_id", "vec_id"], "left_semi").count() / total if total else math.nan

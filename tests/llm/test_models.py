@@ -271,6 +271,36 @@ def test_neighbours(spark, params):
     assert [i for i, _ in got[150]] == [100, 101, 102, 103, 104]  # ties go to the smaller id
 
 
+def test_comparisons_fall_behind_exact_search(spark):
+    share = []
+    for n in (400, 4000):
+        x = np.random.default_rng(1).standard_normal((n, 32))
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        out = A.search(df, df.filter("vec_id % 50 = 0")).cache()
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        near = u[::50] @ u.T
+        near[np.arange(len(near)), np.arange(0, n, 50)] = -9
+        exact = {(50 * i, int(j)) for i, row in enumerate(near) for j in np.argsort(-row)[:5]}
+        assert len(exact & {(r["query_id"], r["vec_id"]) for r in out.collect()}) >= 0.88 * len(exact)
+        share.append(out.select("query_id", "compared").distinct().agg(F.avg("compared")).first()[0] / n)
+    assert share[1] < 0.8 * share[0] and share[1] < 0.5, share
+
+
+def test_bucket_chances_and_cut():
+    model = A.Tables(np.random.default_rng(2).standard_normal((1, 8, 16)), 0.6, 0.8, 3)
+    x = np.random.default_rng(3).standard_normal((1, 16))
+    x /= np.linalg.norm(x)
+    logs = model.logs(0, x)
+    chance = np.exp(A.sums(logs[0]))
+    assert abs(chance.sum() - 1) < 1e-9 and abs(chance[chance >= np.exp(model.least(logs)[0])].sum() - 0.8) < 0.06
+    # Neighbours at that cosine fall into the visited buckets as often as promised.
+    u = np.random.default_rng(4).standard_normal((4000, 16))
+    u -= (u @ x.T) * x
+    y = 0.6 * x + 0.8 * u / np.linalg.norm(u, axis=1, keepdims=True)
+    hit = A.sums(logs[0])[A.numbers(model.bits(0, y))] >= model.least(logs)[0]
+    assert abs(hit.mean() - 0.8) < 0.08
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [-1.0, 0.0])], "vec_id long, embedding array<double>")
     out = A.search(df, df.filter("vec_id = 0")).orderBy("rank").collect()
