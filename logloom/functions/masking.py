@@ -50,9 +50,11 @@ HOST_PORT = Mask(
     search=r"(?:(?<![\w.-])|\G)((?:(?<=[A-Za-z0-9])_)?+[.-]*+)(?<![A-Za-z0-9])\w[\w-]*+\.[\w.-]++:\d++(?![A-Za-z0-9])",
     needs=":",
 )
-BLOCK_ID = Mask(r"\b(blk_[-\d]+)\b", "BLOCK_ID")
-PATH = Mask(r"\b(/[\w.\-~%+/]+)+/?\b", "PATH", search=r"\b()/[\w.\-~%+/]+\b", needs="/")
-SYSLOG_NUM = Mask(r"(?<=_)\d+\b", "SYSLOG_NUM")
+# Where a word ends or begins, words being of ASCII letters, digits and "_".
+_EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+BLOCK_ID = Mask(r"\b(blk_[-\d]+)\b", "BLOCK_ID", search=rf"()(?<!\w)blk_[-\d]+{_EDGE}", needs="blk_")
+PATH = Mask(r"\b(/[\w.\-~%+/]+)+/?\b", "PATH", search=rf"()(?<=\w)/[\w.\-~%+/]+{_EDGE}", needs="/")
+SYSLOG_NUM = Mask(r"(?<=_)\d+\b", "SYSLOG_NUM", search=r"()(?<=_)\d+(?!\w)", needs="_")
 DEFAULT = (IP, NUM)
 EXTENDED = (IP, HOST_PORT, NUM, HEX, UUID, EMAIL, PATH, BLOCK_ID, SYSLOG_NUM)
 
