@@ -6,9 +6,10 @@ within it, and streamed through the fold with one tree at a time in memory.
 Ids are numbered afterwards by the first line of each cluster, which gives the
 ids that a serial run over all lines gives.
 
-A root key that holds a large part of all lines is dealt further by first
-token where that provably changes nothing (``_dealt``).  With ``max_clusters``
-eviction depends on the order of all lines, so that mode is one serial group.
+A root key that holds a large part of all lines is dealt further along the
+tree's path where that provably changes nothing (``_dealt``), also when a model
+is taken up.  With ``max_clusters`` eviction depends on the order of all lines,
+so that mode is one serial group.
 
 Null lines give no result row.
 """
@@ -75,26 +76,43 @@ def _fold(rules: Rules, base: int = 0):
     return run
 
 
-def _dealt(rows: DataFrame, config: MinerConfig, hot_rows: int) -> DataFrame:
-    """``rows`` with ``grp``: the root key, and for large keys the first token.
+def _path(t: Column, config: MinerConfig) -> Column:
+    """The tokens that lead from a root of the tree to a leaf."""
+    deepest, n = F.lit(config.depth - 2), F.size(t)
+    if config.engine == "jaccard":
+        return F.slice(t, F.lit(2), F.greatest(F.lit(1), F.least(deepest, n - 1)) - 1)
+    return F.slice(t, F.lit(1), F.greatest(F.lit(0), F.least(deepest, n) - 1))
 
-    A first token owns a tree node of its own, so dealing by it is exact, if
-    the tree has a level for it, no first token of the key is sent to the
+
+def _dealt(rows: DataFrame, config: MinerConfig, hot_rows: int, most: int = 2000) -> DataFrame:
+    """``rows`` (key, t) with ``grp``: the root key, and for large ones as much of the path as is safe.
+
+    A token on the path owns a tree node of its own, so dealing by it is exact,
+    if all lines of the group reach that level, no token there is sent to the
     wildcard node (digits, the wildcard itself), and their number stays below
-    ``max_children``.
+    ``max_children``.  One aggregation a level proves that; rows of a stored
+    model count as well.  Groups of up to ``hot_rows`` rows, or of a share of
+    all rows below 1 / ``most``, stay whole.
     """
-    first = F.get("t", F.lit(0))
-    if config.engine != "position" or config.depth < 4:
-        return rows.withColumn("grp", F.col("key"))
-    digit = tokens.has_digit(first) if config.parametrize_numeric_tokens else F.lit(False)
-    keys = rows.groupBy("key").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.max(F.coalesce(digit | (first == config.param), F.lit(False))).alias("wild"),
-        F.approx_count_distinct(first, 0.01).alias("kinds"),
-        F.min(F.size("t")).alias("least"),
-    )
-    split = [r["key"] for r in keys.filter((F.col("rows") > hot_rows) & ~F.col("wild") & (F.col("kinds") < config.max_children * 0.9) & (F.col("least") >= 2)).collect()]
-    return rows.withColumn("grp", F.when(F.col("key").isin(split), F.concat_ws(SEP, "key", first)).otherwise(F.col("key")) if split else F.col("key"))
+    path = _path(F.col("t"), config)
+    rows = rows.withColumns({"grp": F.col("key"), "open": F.lit(True)})
+    for level in range(config.depth - 3):
+        step = F.get(path, F.lit(level))
+        digit = tokens.has_digit(step) if config.parametrize_numeric_tokens else F.lit(False)
+        groups = rows.groupBy("grp", "open").agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.max(F.coalesce(digit | (step == config.param), F.lit(False))).alias("wild"),
+            F.approx_count_distinct(step, 0.01).alias("kinds"),
+            F.min(F.size(path)).alias("least"),
+        )
+        groups = groups.withColumn("share", F.col("rows") / F.expr("sum(rows) over ()"))
+        safe = F.col("open") & ~F.col("wild") & (F.col("kinds") < config.max_children * 0.9) & (F.col("least") > level)
+        split = [r["grp"] for r in groups.filter(safe & (F.col("rows") > hot_rows) & (F.col("share") >= 1 / most)).select("grp").collect()]
+        if not split:
+            break
+        chosen = F.col("open") & F.col("grp").isin(split)
+        rows = rows.select(*[c for c in rows.columns if c not in ("grp", "open")], F.when(chosen, F.concat_ws(SEP, "grp", step)).otherwise(F.col("grp")).alias("grp"), chosen.alias("open"))
+    return rows.drop("open")
 
 
 def _running(rows: DataFrame, by: Sequence[str], flag: Column, block: int = 65_536) -> DataFrame:
@@ -109,7 +127,7 @@ def _running(rows: DataFrame, by: Sequence[str], flag: Column, block: int = 65_5
     return cut.withColumn("inside", inside).join(before, [*by, "blk"]).withColumn("n", F.col("inside") + F.col("before")).drop("blk", "flag", "inside", "before")
 
 
-def mine(lines: DataFrame, config: MinerConfig | None = None, stages: Sequence = (), instances: int | None = None, hot_rows: int = 1_000_000, model: DataFrame | None = None) -> DataFrame:
+def mine(lines: DataFrame, config: MinerConfig | None = None, stages: Sequence = (), instances: int | None = None, hot_rows: int = 20_000, model: DataFrame | None = None) -> DataFrame:
     """One row per line (msg_id, line): what the miner answers for it.
 
     ``model`` (cluster_id, template_tokens, size) is taken up where it stands.
@@ -118,25 +136,22 @@ def mine(lines: DataFrame, config: MinerConfig | None = None, stages: Sequence =
     ``msg_id % instances`` and adds the column ``instance``.
     """
     config = config or MinerConfig()
-    t = prepared(F.col("line"), config, stages)
-    rows = lines.filter("msg_id is not null and line is not null").select(F.col("msg_id").cast("long"), t.alias("t"))
     if instances and model is not None:
         raise ValueError("a pool starts from empty models")
-
-    def key(t: Column) -> Column:
-        return F.lit("") if config.max_clusters is not None else tokens.root_key(t, config.engine, config.param_binning)
-
+    t = prepared(F.col("line"), config, stages)
+    rows = lines.filter("msg_id is not null and line is not null").select(F.col("msg_id").cast("long"), t.alias("t"), F.lit(None).cast("long").alias("size"))
     base = held = 0
-    rows = rows.withColumn("key", key(F.col("t")))
-    rows = rows.withColumn("grp", F.col("key")) if model is not None or config.max_clusters is not None else _dealt(rows, config, hot_rows)
-    if instances:
-        rows = rows.withColumn("grp", F.concat_ws(SEP, F.pmod("msg_id", F.lit(instances)).cast("string"), "grp"))
-    ordered = rows.select("msg_id", "grp", F.array_join("t", SEP).alias("joined"), F.lit(None).cast("long").alias("size"))
     if model is not None:
         top = model.agg(F.max("cluster_id"), F.count(F.lit(1))).first()
         base, held = top[0] or 0, top[1]
-        stored = model.select(F.col("cluster_id").cast("long"), key(F.col("template_tokens")), F.array_join("template_tokens", SEP), F.col("size").cast("long"))
-        ordered = ordered.union(stored)
+        rows = rows.union(model.select(F.col("cluster_id").cast("long"), "template_tokens", F.col("size").cast("long")))
+    serial = config.max_clusters is not None
+    rows = rows.withColumn("key", F.lit("") if serial else tokens.root_key(F.col("t"), config.engine, config.param_binning))
+    if instances:
+        rows = rows.withColumn("key", F.concat_ws(SEP, F.pmod("msg_id", F.lit(instances)).cast("string"), "key"))
+    # Tokens are written once, so that looking at groups does not repeat masks and normalizers.
+    rows = rows.withColumn("grp", F.col("key")) if serial else _dealt(materialize(rows, "mine-tokens"), config, hot_rows)
+    ordered = rows.select("msg_id", "grp", F.array_join("t", SEP).alias("joined"), "size")
     ordered = ordered.repartition("grp").sortWithinPartitions("grp", F.col("size").isNull(), "msg_id")
     schema = "msg_id long, grp string, local_id long, change_type string, cluster_size long, template_mined string"
     out = materialize(ordered.mapInArrow(_fold(Rules.of(config), base), schema), "mined").withColumn("instance", F.pmod("msg_id", F.lit(instances or 1)))
