@@ -40,6 +40,10 @@ class MinerConfig:
     profiling: bool = False
     profiling_seconds: float = 60
     preprocessor: Callable[[Column], Column] | None = field(default=None, compare=False)
+    #: Own similarity in the fold: (template, tokens, param, with_params) -> (similarity, wildcards).
+    score: Callable | None = field(default=None, compare=False)
+    #: Own template tokens, tried in order for tokens that differ: (new, old, param) -> token or None.
+    token_rules: tuple[Callable, ...] = field(default=(), compare=False)
 
     def __post_init__(self) -> None:
         if self.depth < 3:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import OrderedDict
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from operator import eq
 
@@ -35,12 +35,14 @@ class Rules:
     affix: int | None = None  # least affix length; None: off
     patterns: tuple[tuple[str, str], ...] = ()
     binning: bool = False
+    score: Callable | None = None  # (template, tokens, param, with_params) -> (similarity, wildcards)
+    token_rules: tuple[Callable, ...] = ()  # (new, old, param) -> template token or None
 
     @classmethod
     def of(cls, config) -> Rules:
         return cls(
             config.engine, config.sim_th, config.depth, config.max_children, config.max_clusters, config.parametrize_numeric_tokens, config.param, config.mask_prefix, config.mask_suffix,
-            config.mask_generalization, config.diff_ratio if config.engine == "position" else None, config.min_affix_length if config.affix_preserving else None, config.regex_patterns, config.param_binning,
+            config.mask_generalization, config.diff_ratio if config.engine == "position" else None, config.min_affix_length if config.affix_preserving else None, config.regex_patterns, config.param_binning, config.score, config.token_rules,
         )
 
 
@@ -72,8 +74,8 @@ class Tree:
         self.roots: dict[str, Node] = {}
         self.clusters: OrderedDict[int, list] = OrderedDict()  # id -> [tokens, size]
         self.counter = 0
-        self._plain = rules.engine == "position" and rules.diff_ratio is None
-        self._simple = not rules.patterns and rules.affix is None and not rules.mask_generalization
+        self._plain = rules.engine == "position" and rules.diff_ratio is None and rules.score is None
+        self._simple = not rules.patterns and rules.affix is None and not rules.mask_generalization and not rules.token_rules
         self._patterns = [(re.compile(p), t.replace("${paramStr}", rules.param)) for p, t in rules.patterns]
 
     # Routing -----------------------------------------------------------------
@@ -119,6 +121,8 @@ class Tree:
 
     def similarity(self, template: Sequence[str], tokens: Sequence[str], with_params: bool) -> tuple[float, int]:
         param = self.rules.param
+        if self.rules.score is not None:
+            return self.rules.score(template, tokens, param, with_params)
         if not template:
             return 1.0, 0
         params = sum(t == param for t in template)
@@ -180,6 +184,9 @@ class Tree:
             return r.param
         if new == old:
             return old
+        for rule in r.token_rules:
+            if (found := rule(new, old, r.param)) is not None:
+                return found
         for pattern, template in self._patterns:
             a, b = pattern.search(new), pattern.search(old)
             if a and b and a.groups() != b.groups():

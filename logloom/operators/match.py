@@ -53,7 +53,7 @@ def match(lines: DataFrame, model: DataFrame, config: MinerConfig | None = None,
     rows = lines.filter("msg_id is not null and line is not null").select(F.col("msg_id").cast("long"), prepared(F.col("line"), config, stages).alias("t"))
     rows = rows.withColumn("key", tokens.root_key(F.col("t"), config.engine, config.param_binning))
     known = model.select("cluster_id", F.col("template_tokens").alias("tpl"), "size", tokens.root_key(F.col("template_tokens"), config.engine, config.param_binning).alias("key"))
-    if strategy == "always" and config.engine == "position" and config.diff_ratio is None:
+    if strategy == "always" and config.engine == "position" and config.diff_ratio is None and config.score is None:
         score = similarity.position(F.col("tpl"), F.col("t"), config.param, True)
         met = rows.join(known, "key").withColumn("s", score).filter("s.similarity >= 1.0")
         rank = F.row_number().over(Window.partitionBy("msg_id").orderBy(F.desc("s.similarity"), F.desc("s.param_count"), "cluster_id"))
