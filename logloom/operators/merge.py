@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .kernel import Rules, Tree
+
 Strategy = Callable[[Sequence[str], Sequence[str]], "list[str] | None"]
 
 
@@ -29,20 +31,42 @@ def position_diff(percent: float = 0.4, param: str = "<*>") -> Strategy:
     return pair
 
 
-def similar(least: float = 0.7, param: str = "<*>") -> Strategy:
-    """Merge where the position-wise similarity, wildcards counted, reaches ``least``."""
+def _loosened(a: Sequence[str], b: Sequence[str], param: str, ignore: Sequence[str] = ()) -> list[str]:
+    """The longer one, with the wildcard where positions of both differ and none is in ``ignore``."""
+    long = a if len(a) >= len(b) else b
+    met = [param if x != y and x not in ignore and y not in ignore else t for t, x, y in zip(long, a, b, strict=False)]
+    return met + list(long[len(met) :])
+
+
+def similar(least: float = 0.7, param: str = "<*>", score: Callable | None = None, template: Callable | None = None) -> Strategy:
+    """Merge where the similarity of two templates, wildcards counted, reaches ``least``.
+
+    ``score``: (template, tokens, param, with_params) -> (similarity, wildcards);
+    by default position-wise, which is 0 for unequal lengths.  ``template``
+    makes the merged template; where it raises ValueError, and by default, the
+    longer one is taken with the wildcard where both differ.
+    """
+    score = score or (lambda a, b, param, _: Tree(Rules(param=param)).similarity(a, b, True))
 
     def pair(a: Sequence[str], b: Sequence[str]) -> list[str] | None:
-        if len(a) != len(b):
+        if score(a, b, param, True)[0] < least:
             return None
-        score = sum(x == y or x == param for x, y in zip(a, b, strict=True)) / len(a) if a else 1.0
-        return [x if x == y else param for x, y in zip(a, b, strict=True)] if score >= least else None
+        if template is not None:
+            try:
+                return list(template(a, b))
+            except ValueError:  # a template function for one length only
+                pass
+        return _loosened(a, b, param)
 
     return pair
 
 
 def shared_affix(least: int = 3, param: str = "<*>") -> Strategy:
-    """Merge where a run of ``least`` tokens at either end agrees."""
+    """Merge where ``least`` tokens in a row agree at the beginning, or at the end, wildcards agreeing with all.
+
+    The longer template stays; only positions (from the left) where both have
+    different constants become wildcards.
+    """
 
     def run(pairs) -> int:
         n = 0
@@ -53,13 +77,8 @@ def shared_affix(least: int = 3, param: str = "<*>") -> Strategy:
         return n
 
     def pair(a: Sequence[str], b: Sequence[str]) -> list[str] | None:
-        p = run(zip(a, b, strict=False))
-        s = min(run(zip(reversed(a), reversed(b), strict=False)), min(len(a), len(b)) - p)
-        if max(p, s) < least:
-            return None
-        long, short = (a, b) if len(a) >= len(b) else (b, a)
-        tail = len(long) - s
-        return [t if (i < p and short[i] == t) or (i >= tail and short[i - len(long)] == t) else param for i, t in enumerate(long)]
+        ends = run(zip(a, b, strict=False)), run(zip(reversed(a), reversed(b), strict=False))
+        return _loosened(a, b, param, (param,)) if max(ends) >= least else None
 
     return pair
 
@@ -96,7 +115,12 @@ def _sweeps(strategies: Sequence[Strategy], rounds: int):
 
 
 def merge(model: DataFrame, strategies: Sequence[Strategy] | None = None, by_length: bool = True, rounds: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(merged model, (old_id, cluster_id) of every cluster)."""
+    """(merged model, (old_id, cluster_id) of every cluster).
+
+    Sweeps depend on the order of clusters, so each length is one group, and
+    with ``by_length=False`` (for strategies that merge unequal lengths) the
+    whole model is: clusters, not lines, are what a task holds.
+    """
     strategies = strategies or [position_diff()]
     key = F.size("template_tokens") if by_length else F.lit(0)
     done = model.withColumn("grp", key).groupBy("grp").applyInPandas(_sweeps(strategies, rounds), "cluster_id long, template_tokens array<string>, size long, old_id long")
