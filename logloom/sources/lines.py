@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.tokens import trim
+from logloom.scratch import materialize
 
 
 def clean(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -17,11 +20,30 @@ def clean(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    return clean(spark.read.text(path)).select("line")
+    """(msg_id, line) of text files: lines that are not blank, numbered from 1 by file name and place.
+
+    Lines are counted by file block first, so no task orders all of them.
+    """
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")]
+    rows = clean(spark.read.text(path).select("value", *place)).select("file", "block", "at", "line")
+    counts = rows.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
+    # One row a block: the only window over all of them.
+    before = materialize(counts.select("file", "block", (F.sum("n").over(Window.orderBy("file", "block")) - F.col("n")).alias("before")), "line-blocks")
+    inside = F.row_number().over(Window.partitionBy("file", "block").orderBy("at"))
+    return rows.withColumn("inside", inside).join(before, ["file", "block"]).select((F.col("before") + F.col("inside")).alias("msg_id"), "line")
+
+
+def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = TaskContext.get().partitionId() << 40
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(range(n, n + len(batch)), pa.int64()), *batch.columns], ["msg_id", *batch.schema.names])
+        n += len(batch)
 
 
 def read_line_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    return clean(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)).select("line")
+    """A stream of (msg_id, file, line); ids rise within a micro-batch and name a line together with its file."""
+    raw = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
+    return clean(raw.select("value", F.col("_metadata.file_path").alias("file"))).select("file", "line").mapInArrow(_number, "msg_id long, file string, line string")
 
 
 def split_csv_line(line: str) -> list[str]:
@@ -79,6 +101,11 @@ def read_structured(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(line_no.alias("line_no"), F.get("f", F.lit(header.index("Content"))).alias("content"), F.get("f", F.lit(len(header) - 1)).alias("template"))
 
 
+def read_structured_dir(spark: SparkSession, folder: str) -> DataFrame:
+    """``read_structured`` of the log that a folder holds as ``*_structured.csv``."""
+    return read_structured(spark, folder.rstrip("/") + "/*_structured.csv")
+
+
 def template_ids(rows: DataFrame, by: Sequence[str] = ("template",)) -> DataFrame:
     """Templates numbered from 1 by their first line."""
     first = rows.groupBy(*by).agg(F.min("line_no").alias("first"))

@@ -18,11 +18,12 @@ from operator import itemgetter
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from logloom.config import MinerConfig
 from logloom.functions import tokens
-from logloom.operators.kernel import Rules, Tree
+from logloom.operators.kernel import CREATED, Rules, Tree
 from logloom.operators.mine import SEP, prepared
 
 OUTPUT = "msg_id long, root_key string, local_id long, change_type string, cluster_size long, template_mined string"
@@ -82,3 +83,29 @@ def mine_stream(lines: DataFrame, config: MinerConfig | None = None) -> DataFram
     rows = lines.filter("line is not null").select(F.col("msg_id").cast("long"), prepared(F.col("line"), config).alias("t"))
     keyed = rows.select("msg_id", tokens.root_key(F.col("t"), config.engine, config.param_binning).alias("root_key"), F.array_join("t", SEP).alias("joined"))
     return keyed.groupBy("root_key").applyInPandasWithState(_step(Rules.of(config)), OUTPUT, "state binary", "append", GroupStateTimeout.NoTimeout)
+
+
+def counted(results: DataFrame, name: str = "mined") -> DataFrame:
+    """``results`` of ``mine_stream`` with lines and new clusters counted as they pass, for ``RunningCounts``."""
+    return results.observe(name, F.count(F.lit(1)).alias("lines"), F.count_if(F.col("change_type") == CREATED).alias("clusters"))
+
+
+class RunningCounts(StreamingQueryListener):
+    """Lines and clusters of the streams made by ``counted``; add it with ``spark.streams.addListener``."""
+
+    def __init__(self, name: str = "mined"):
+        self.name, self.lines, self.clusters = name, 0, 0
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        if (row := event.progress.observedMetrics.get(self.name)) is not None:
+            self.lines += row["lines"]
+            self.clusters += row["clusters"]
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
