@@ -106,3 +106,14 @@ class Pipeline:
             marks.append(F.when(after != tokens, F.lit(f"[{name}]")))
             tokens = after
         return F.filter(F.array(*marks), lambda m: m.isNotNull()) if marks else F.array().cast("array<string>")
+
+
+def plain() -> Pipeline:
+    """A pipeline without stages."""
+    return Pipeline()
+
+
+def fusing(lines: DataFrame, min_length: int = 2, insert_param: bool = True, param: str = "<*>") -> Pipeline:
+    """A pipeline that fuses what ``learn_fusion`` finds in ``lines``."""
+    fusion = learn_fusion(lines, min_length, insert_param)
+    return Pipeline().register("fusion", lambda t: fusion(t, param))

@@ -87,3 +87,13 @@ def chain(*results: Column) -> Column:
     for r in reversed(results):
         out = F.when((r["similarity"] > 0) | (r["param_count"] > 0), r).otherwise(out)
     return out
+
+
+def by_position(template: Column, message: Column, param: str = "<*>", include_params: bool = False) -> Column:
+    """The default chain: equal positions alone."""
+    return chain(position(template, message, param, include_params))
+
+
+def by_ratio(template: Column, message: Column, param: str = "<*>", max_ratio: float = 0.3, include_params: bool = False) -> Column:
+    """The share of differing constants first, then equal positions."""
+    return chain(diff_ratio(template, message, param, max_ratio, include_params), position(template, message, param, include_params))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -90,3 +90,18 @@ def template_of_sets(new: Column, old: Column, param: str = "<*>") -> Column:
     shared = F.array_intersect(new, old)
     loose = F.transform(base, lambda t: F.when(F.array_contains(shared, t), t).otherwise(F.lit(param)))
     return F.when(F.size(new) == F.size(old), template(new, old, param)).otherwise(loose)
+
+
+def plain(a: Column, b: Column, param: str = "<*>") -> Column:
+    """The default chain: equal tokens, else the wildcard."""
+    return parameterize(a, b, param)
+
+
+def extended(a: Column, b: Column, param: str = "<*>", least_affix: int = 2) -> Column:
+    """The chain that also keeps common beginnings and ends."""
+    return parameterize(a, b, param, least_affix)
+
+
+def custom(a: Column, b: Column, *rules: Callable[[Column, Column], Column], param: str = "<*>") -> Column:
+    """Template token by own rules (null: not this one), tried in order, then the default chain."""
+    return F.when(a == b, b).otherwise(F.coalesce(*[rule(a, b) for rule in rules], F.lit(param)))

@@ -90,3 +90,11 @@ def evaluate_compact(truth: DataFrame, parsed: DataFrame) -> DataFrame:
         F.coalesce(F.col("hit") / F.col("longest"), F.lit(1.0)).alias("template_accuracy"),
         F.when(F.col("hit").isNull(), 1.0).otherwise(_harmonic(F.col("hit") / F.col("nb"), F.col("hit") / F.col("na"))).alias("f1_template_accuracy"),
     )
+
+
+SCORES = ("group_accuracy", "f1_group_accuracy", "template_accuracy", "f1_template_accuracy")
+
+
+def macro(runs: DataFrame) -> DataFrame:
+    """One row: the plain averages of the four scores over runs (one row a data set) and their number."""
+    return runs.agg(*[F.avg(c).alias(c) for c in SCORES], F.count(F.lit(1)).alias("data_sets"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +13,7 @@ from logloom.operators import match as mt
 from logloom.operators import merge as mg
 from logloom.operators import mine as mi
 from logloom.operators import tree as tr
-from logloom.scratch import shared_dir
+from logloom.scratch import fresh_path
 from logloom.sources import lines as src
 from logloom.sources import model as snapshots
 from logloom.streaming import mine_stream as ms
@@ -165,7 +163,7 @@ def stream_mine(spark, sf_dir):
     e = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     line = F.concat(F.lit("event "), "event_type", F.lit(" user "), F.col("user_id").cast("string"), F.lit(" value "), F.get_json_object("props", "$.k"))
     out = ms.mine_stream(e.select(F.col("event_id").alias("msg_id"), line.alias("line")), DEEP)
-    base = f"{shared_dir(spark)}/logloom/stream-{uuid.uuid4().hex}"
+    base = fresh_path(spark, "stream")
     started = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     started.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{base}/out").select("msg_id", "change_type", "local_id", "cluster_size", "template_mined")
@@ -439,10 +437,33 @@ def merge_position_diff(spark, sf_dir):
     return _shown(mg.merge(mi.clusters(mi.mine(_event_lines(spark, sf_dir), DEEP)))[0])
 
 
-@query(f"""WITH {_MODEL} SELECT cluster_id AS old_id, 1::BIGINT AS cluster_id FROM model""")
+@query(f"""WITH {_MODEL} SELECT cluster_id AS old_id, 1::BIGINT AS cluster_id, CASE WHEN count(*) OVER () > 1 THEN 'event <*> user <*> value <*>' ELSE template END AS template FROM model""")
 def merge_shared_affix(spark, sf_dir):
     model = mi.clusters(mi.mine(_event_lines(spark, sf_dir), DEEP))
-    return mg.merge(model, [mg.shared_affix(3)], by_length=False)[1]
+    merged, moved = mg.merge(model, [mg.shared_affix(3)], by_length=False)
+    return moved.join(_shown(merged), "cluster_id").select("old_id", "cluster_id", "template")
+
+
+@query("""WITH o AS (SELECT *, string_split('order ' || o_orderstatus || ' ' || o_orderpriority, ' ') AS t FROM orders), n AS (
+  SELECT len(t) AS n, CASE WHEN count(DISTINCT t[2]) > 1 THEN '<*>' ELSE min(t[2]) END AS s, CASE WHEN count(DISTINCT t[3]) > 1 THEN '<*>' ELSE min(t[3]) END AS p, min(t[4]) AS e FROM o GROUP BY len(t))
+  SELECT 1::BIGINT AS cluster_id, 'order ' || CASE WHEN a.s <> b.s AND a.s <> '<*>' AND b.s <> '<*>' THEN '<*>' ELSE b.s END || ' '
+    || CASE WHEN a.p <> b.p AND a.p <> '<*>' AND b.p <> '<*>' THEN '<*>' ELSE b.p END || ' ' || b.e AS template, (SELECT count(*) FROM orders) AS size
+  FROM n a, n b WHERE a.n = 3 AND b.n = 4""")
+def merge_affix_lengths(spark, sf_dir):
+    """Templates of unequal length: the longer one stays, its constants beside wildcards of the other too."""
+    o = _t(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_orderkey").alias("msg_id"), F.concat(F.lit("order "), "o_orderstatus", F.lit(" "), "o_orderpriority").alias("line"))
+    model = mi.clusters(mi.mine(rows, MinerConfig(sim_th=0.0, depth=3)))
+    return _shown(mg.merge(model, [mg.shared_affix(1)], by_length=False)[0])
+
+
+@query(f"""WITH {_EV}, g AS (SELECT event_type, row_number() OVER (ORDER BY min(msg_id)) AS cluster_id FROM e GROUP BY event_type)
+  SELECT e.msg_id, g.cluster_id FROM e JOIN g USING (event_type)""")
+def match_jaccard(spark, sf_dir):
+    """Every line is found in the model of all lines by the set engine (root keys: event types)."""
+    rows = _event_lines(spark, sf_dir).withColumn("line", F.expr("substring(line, 7)"))
+    config = MinerConfig(engine="jaccard")
+    return mt.match(rows, mi.clusters(mi.mine(rows, config)), config, "fallback")
 
 
 def _truth_and_parsed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:

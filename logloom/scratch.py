@@ -22,9 +22,15 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; what is there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/logloom/{label}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet and read it back: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/logloom/{label}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    atexit.register(_remove, df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
