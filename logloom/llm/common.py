@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from logloom.scratch import materialize, shared_dir
 
-__all__ = ["WS_CLASS", "crc_mod", "crc_of", "held_out", "labelled", "materialize", "shared_dir", "slices", "table", "trimmed"]
+__all__ = ["WS_CLASS", "crc_mod", "crc_of", "held_out", "labelled", "materialize", "shared_dir", "slices", "small_batches", "table", "trimmed"]
 
 #: Bytes that separate words everywhere in this subpackage: blank and TAB..CR.
 WS_CLASS = r"[\x20\x09-\x0D]"
@@ -39,11 +39,15 @@ def crc_of(doc_id: int) -> int:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, y, text) of a bounded sample: the ``max_rows`` labelled ids first in a seeded order."""
+    """(id, y, text) of a bounded sample: the ``max_rows`` labelled ids first in a seeded order.
+
+    Rows that repeat an id enter once, with the text that comes first.
+    """
     ids = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("y")).filter("id is not null and y is not null").filter(~held_out(F.col("id")))
     ids = ids.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id", F.lit(3)), "id").limit(max_rows)
     # At most max_rows rows of 12 bytes.
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")
+    return rows.groupBy("id").agg(F.first("y").alias("y"), F.min("text").alias("text")).select("id", "y", "text")
 
 
 def slices(batch: pa.RecordBatch, column: int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -57,6 +61,13 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = 8 << 20) -> Iterator
     yield batch.slice(start)
 
 
+def small_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
+    """Arrow batches of the session hold ``limit`` bytes at most: texts vary from a word to megabytes."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":  # the default; what a user has set stays
+        spark.conf.set(key, str(limit))
+
+
 @functools.cache
 def _libc():
     try:

@@ -14,18 +14,22 @@ A document's set holds the 64-bit hashes of its distinct word shingles; the
    exact; else ``m`` is such that a pair right at the threshold is missed with
    probability below 1e-8.
 3. *Overlaps.*  Rows of lists become candidate pairs in two passes.  First every
-   member meets the list's smallest member and its neighbours in a seeded
-   order.  The links found merge most of a group of near copies.  Then, for
-   lists that still hold more than one component, members outside the list's
-   largest component meet all members of other components: as pairs where the
-   list is short (``short_list``), else in blocks.  A block task holds the full
-   sets of two bounded blocks of one long list and gets all their intersections
-   from one matrix product, so thousands of near copies that do not reach the
-   threshold with each other yield no rows at all, and those that do yield one
-   row a document.
+   member meets the list's most central member (the one with the fewest values
+   of its own) and, on its longest list, its neighbour in a seeded order.  The links found merge most
+   of a group of near copies.  Then, for lists that still hold more than one
+   component, members outside the list's largest component meet the members of
+   other components.  Where such a list is long, its documents are first listed
+   anew by their full sets, each entry with its place in the order.  The first
+   value that two sets share bounds how much they can share after it, so an
+   entry states the largest partner it can still be linked with, and members
+   meet through classes of size that both bounds admit (``_refined``).  Thousands
+   of near copies that miss the threshold with each other differ in more values
+   than those bounds allow, hence hardly meet.
 4. *Filter.*  The union of two sketches estimates the similarity; pairs far
    below the threshold (again below 1e-8) go.
-5. *Exact check* of the rest on the full sets, then components.
+5. *Exact check* of the rest on the full sets, hashed once a document and sent
+   once a pair, then components.  Shingles are compared by 64-bit hashes; two
+   different ones of a pair of documents agree with probability below 1e-13.
 
 Defined results: null and empty texts have an empty set and are linked with
 nothing; fewer words than a shingle make one shingle of all words; rows that
@@ -39,13 +43,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, slices, small_batches, trimmed
 from .components import components
 
 _P = np.uint64(0x9DDFEA08EB382D69)
@@ -92,20 +95,21 @@ def _sketches(words: int, k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, gid, sketch, listed = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                s = shingle_set(text, words)
-                n.append(len(s))
-                gid.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                sketch.append(s[:k].tobytes())
-                listed.append(prefix_length(len(s), k, percent) if len(s) else 0)
+            for part in slices(batch, 1):
+                for text in part.column(1).to_pylist():
+                    s = shingle_set(text, words)
+                    n.append(len(s))
+                    gid.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                    sketch.append(s[:k].tobytes())
+                    listed.append(prefix_length(len(s), k, percent) if len(s) else 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gid, pa.binary()), pa.array(sketch, pa.binary()), pa.array(listed, pa.int32())], ["doc_id", "n", "gid", "sketch", "listed"])
 
     return run
 
 
 def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(value, doc, rep) for each value of each sketch."""
-    for batch in batches:
+    """(value, doc, rep) for each value of each sketch or set."""
+    for batch in (part for whole in batches for part in slices(whole, 2)):
         sizes = np.array([len(s) // 8 for s in batch.column(2).to_pylist()], dtype=np.int64)
         values = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.int64)
         doc, rep = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), sizes) for i in (0, 1))
@@ -145,91 +149,44 @@ def _estimated(k: int, percent: int):
     return run
 
 
-def _exact(words: int, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def linked(x: np.ndarray, y: np.ndarray) -> bool:
-            shared = len(np.intersect1d(x, y, assume_unique=True))
-            return shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared)
+def _exact(percent: int):
+    """Rows (a, salt, b, set) sorted by these: the sets of ``a`` have no b and come before those to compare."""
 
-        last, own = None, []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, []
         for batch in batches:
-            keep = []
-            for a, xs, ys in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if a != last:
-                    last, own = a, [shingle_set(x, words) for x in xs]
-                others = [shingle_set(y, words) for y in ys]
-                keep.append(any(linked(x, y) for x in own for y in others))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            out: list[tuple[int, int]] = []
+            for part in slices(batch, 3):
+                for a, salt, b, packed in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
+                    x = np.frombuffer(packed, np.uint64)
+                    if (a, salt) != at:
+                        at, own = (a, salt), []
+                    if b is None:
+                        own.append(x)
+                    elif any(100 * (shared := len(np.intersect1d(x, y, assume_unique=True))) >= percent * (len(x) + len(y) - shared) for y in own):
+                        out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(2)], ["a", "b"])
 
     return run
 
 
 def _sets(words: int):
-    """(doc, shingle set as bytes) of texts."""
+    """(doc, rep, n, shingle set as bytes) of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, words).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc", "set"])
+            for part in slices(batch, 1):
+                sets = [shingle_set(t, words).tobytes() for t in part.column(1).to_pylist()]
+                reps, n = [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in sets], [len(x) // 8 for x in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(reps, pa.int64()), pa.array(n, pa.int64()), pa.array(sets, pa.binary())], ["doc", "rep", "n", "set"])
 
     return run
 
 
-def block_links(docs: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Rows that join the documents connected by links between different components."""
-    sizes = np.array([len(s) for s in sets])
-    value, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row, column = np.repeat(np.arange(len(sets)), sizes), inverse
-    shared = count[column] > 1
-    kept = np.cumsum(count > 1) - 1
-    row, column = row[shared], kept[column[shared]]
-    both = np.zeros((len(sets), len(sets)), np.float32)
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    for low in range(0, int(kept[-1]) + 1 if len(kept) else 0, 2048):
-        a, b = np.searchsorted(column, [low, low + 2048])
-        part = np.zeros((len(sets), 2048), np.float32)
-        part[row[a:b], column[a:b] - low] = 1
-        both += part @ part.T
-    both = both.astype(np.int64)  # counts of a block are exact in single precision, their multiples are not
-    link = (both > 0) & (100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)) & ((comps[:, None] != comps[None, :]) | (docs[:, None] == docs[None, :]))
-    np.fill_diagonal(link, True)
-    label = np.arange(len(sets))
-    while True:
-        lowest = np.where(link, label[None, :], len(sets)).min(axis=1)
-        if (lowest == label).all():
-            return [(int(docs[j]), int(docs[i])) for i, j in enumerate(label) if docs[i] != docs[j]]
-        label = lowest
-
-
-def _block(percent: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.frombuffer(s, np.uint64) for s in pdf["set"]]
-        return pd.DataFrame(block_links(pdf["doc"].to_numpy(), pdf["comp"].to_numpy(), sets, percent), columns=["a", "b"])
-
-    return run
-
-
-def _long_list_links(rows: DataFrame, texts: DataFrame, words: int, percent: int, block_values: int, block_rows: int, broadcast_ids: int) -> DataFrame:
-    """Links within long lists (value, doc, comp, n), found block against block.
-
-    Linked sets differ in size by the threshold at most, so a list is banded by
-    size and only neighbouring bands meet.  A block holds at most ``block_rows``
-    documents and about ``block_values`` set values.
-    """
-    ids = materialize(rows.select("doc").distinct(), "near-ids")
-    sets = materialize(_texts_of(texts, ids, broadcast_ids).mapInArrow(_sets(words), "doc long, set binary").distinct(), "near-sets")
-    width = math.log(100 / percent)
-    rows = rows.withColumn("band", F.floor(F.log("n") / width).cast("int"))
-    bands = rows.groupBy("value", "band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_rows), F.ceil(F.sum("n") / block_values)).cast("int").alias("blocks"))
-    bands = materialize(bands, "near-bands")
-    own = rows.join(bands, ["value", "band"]).withColumn("mine", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    near = own.select("value", "doc", "comp", "band", "mine", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("other"))
-    near = near.join(bands.select("value", F.col("band").alias("other"), F.col("blocks").alias("others")), ["value", "other"])
-    near = near.withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
-    me, they = F.struct(F.col("band").alias("x"), F.col("mine").alias("y")), F.struct(F.col("other").alias("x"), F.col("theirs").alias("y"))
-    met = near.select("value", "doc", "comp", F.least(me, they).alias("p"), F.greatest(me, they).alias("q"))
-    return met.join(sets, "doc").select("value", "p.x", "p.y", F.col("q.x").alias("u"), F.col("q.y").alias("v"), "doc", "comp", "set").groupBy("value", "x", "y", "u", "v").applyInPandas(_block(percent), "a long, b long")
+def _sets_of(texts: DataFrame, ids: DataFrame, words: int, broadcast_ids: int) -> DataFrame:
+    """The distinct sets of some documents, written; one each but for repeated ids."""
+    own = _texts_of(texts, ids, broadcast_ids).mapInArrow(trimmed(_sets(words)), "doc long, rep long, n long, set binary")
+    return materialize(own.filter("n > 0").dropDuplicates(["doc", "rep"]), "near-sets")
 
 
 def _texts_of(texts: DataFrame, ids: DataFrame, broadcast_ids: int) -> DataFrame:
@@ -237,32 +194,78 @@ def _texts_of(texts: DataFrame, ids: DataFrame, broadcast_ids: int) -> DataFrame
     return texts.join(F.broadcast(ids) if ids.count() <= broadcast_ids else ids, "doc", "left_semi")
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, words: int, k: int, percent: int, broadcast_ids: int) -> DataFrame:
-    """The pairs (a, b) that reach the threshold on their full sets."""
+def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, words: int, k: int, percent: int, broadcast_ids: int, head_rows: int = 4096) -> DataFrame:
+    """The pairs (a, b) that reach the threshold on their full sets.
+
+    A task compares the set of one document with up to ``head_rows`` others.
+    """
     side = reps.select("doc", "sketch", "n")
     met = pairs.join(side.toDF("a", "x", "nx"), "a").join(side.toDF("b", "y", "ny"), "b").select("a", "b", "x", "y", "nx", "ny")
-    likely = materialize(met.mapInArrow(_estimated(k, percent), "a long, b long").distinct(), "near-likely")
+    likely = materialize(met.mapInArrow(trimmed(_estimated(k, percent)), "a long, b long").distinct(), "near-likely")
     ids = materialize(likely.select(F.col("a").alias("doc")).union(likely.select("b")).distinct(), "near-ids")
-    texts = _texts_of(texts, ids, broadcast_ids)
-    # One text each but for repeated ids; written first, so that the rows of a document that
-    # heads a large list can be split over tasks in the joins below.
-    texts = materialize(texts.groupBy("doc").agg(F.collect_set("text").alias("texts")), "near-texts")
-    both = likely.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return materialize(both.mapInArrow(_exact(words, percent), "a long, b long"), "near-links")
+    sets = _sets_of(texts, ids, words, broadcast_ids).select("doc", "set")
+    heads = materialize(likely.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / head_rows).cast("int").alias("salts")), "near-heads")
+    own = heads.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(sets.toDF("a", "set"), "a")
+    others = likely.join(heads, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b").join(sets.toDF("b", "set"), "b")
+    both = own.select("a", "salt", F.lit(None).cast("long").alias("b"), "set").union(others.select("a", "salt", "b", "set"))
+    dealt = both.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    return materialize(dealt.mapInArrow(trimmed(_exact(percent)), "a long, b long"), "near-links")
 
 
-def _listed(reps: DataFrame) -> DataFrame:
-    """Inverted lists: (value, doc, n, df) of the rarest values of each sketch."""
-    own = reps.select("doc", F.xxhash64("gid").alias("rep"), "n", (F.length("sketch") / 8).cast("int").alias("size"), "listed", "sketch")
-    entries = own.select("doc", "rep", "sketch").mapInArrow(_values, "value long, doc long, rep long")
+def _ranked(entries: DataFrame, own: DataFrame) -> DataFrame:
+    """Shared values of ``entries`` (value, doc, rep) with their place in the order of their set.
+
+    ``own`` has one row a set: doc, rep, size (values it entered), and more.
+    Adds df, alone (values that only this set has; they come first) and place.
+    """
     # Written first, so that both sides of the join are plain shuffles and a hot value's rows can be split.
     shared = materialize(entries.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "near-shared")
-    mine = entries.join(shared, "value").join(own.drop("sketch"), ["doc", "rep"])
-    # Values of one document only come first in the order and take up its places.
+    mine = entries.join(shared, "value").join(own, ["doc", "rep"])
     per_doc = Window.partitionBy("doc", "rep")
-    rank = F.row_number().over(per_doc.orderBy("df", "value"))
     alone = F.col("size") - F.count(F.lit(1)).over(per_doc)
-    return mine.withColumns({"rank": rank, "alone": alone}).filter("rank + alone <= listed").select("value", "doc", "n", "df")
+    rank = F.row_number().over(per_doc.orderBy("df", "value"))
+    return mine.withColumns({"alone": alone, "rank": rank}).withColumn("place", F.col("rank") + F.col("alone"))
+
+
+def _listed(reps: DataFrame) -> DataFrame:
+    """Inverted lists: (value, doc, n, df, alone, last) of the rarest values of each sketch; last: the doc's most frequent one."""
+    own = reps.select("doc", F.xxhash64("gid").alias("rep"), "n", (F.length("sketch") / 8).cast("int").alias("size"), "listed", "sketch")
+    entries = own.select("doc", "rep", "sketch").mapInArrow(trimmed(_values), "value long, doc long, rep long")
+    return _ranked(entries, own.drop("sketch")).filter("place <= listed").select("value", "doc", "n", "df", "alone", (F.col("place") == F.least("listed", "size")).alias("last"))
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """Entries (value, comp, ...) of lists that hold several components, with the largest one (main) and the list's length."""
+    sizes = placed.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("members"))
+    main = sizes.groupBy("value").agg(F.max(F.struct("members", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"), F.sum("members").alias("length"))
+    return materialize(placed.join(main.filter("comps > 1").select("value", F.col("top.comp").alias("main"), "length"), "value"), "near-mixed")
+
+
+def _far(a: str, b: str, percent: int):
+    """Set sizes alone rule the pair out."""
+    return F.least(F.col(a), F.col(b)) * 100 < F.greatest(F.col(a), F.col(b)) * percent
+
+
+def _refined(hot: DataFrame, texts: DataFrame, words: int, percent: int, broadcast_ids: int) -> DataFrame:
+    """Pairs (a, b) of different components among documents (doc, comp) that full sets allow to be linked.
+
+    Sets of ``a`` and ``b`` values reach the threshold if they share
+    ``percent * (a + b) / (100 + percent)`` values.  If the first one they share,
+    in the order of all values, is at place i of the set of ``a`` values, they
+    share ``1 + a - i`` at most, so ``b`` is at most ``reach``.
+    """
+    sets = _sets_of(texts, hot.select("doc"), words, broadcast_ids)
+    entries = sets.select("doc", "rep", "set").mapInArrow(trimmed(_values), "value long, doc long, rep long")
+    ranked = _ranked(entries, sets.select("doc", "rep", "n", F.col("n").alias("size")))
+    reach = F.floor((1 + F.col("n") - F.col("place")) * (100 + percent) / percent + 1e-9).cast("long") - F.col("n")
+    placed = ranked.withColumn("reach", reach).filter(F.col("reach") * 100 >= F.col("n") * percent)
+    mixed = _mixed(placed.select("value", "doc", "n", "reach").join(hot, "doc")).withColumn("band", F.floor(F.log("n") * 50).cast("int"))
+    bands = mixed.groupBy("value", "band").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("reach").alias("furthest"))
+    left, right = mixed.filter("comp <> main").drop("band").alias("l"), mixed.alias("r")
+    asked = left.join(bands, "value").filter(f"low <= l.reach and high * 100 >= l.n * {percent} and l.n <= furthest")
+    asked = asked.select("value", "band", *[F.col(f"l.{c}").alias(f"l_{c}") for c in ("doc", "comp", "n", "reach")])
+    met = asked.join(right, ["value", "band"]).filter("l_comp <> r.comp and r.n <= l_reach and l_n <= r.reach").filter(~_far("l_n", "r.n", percent))
+    return met.select(F.least("l_doc", "r.doc").alias("a"), F.greatest("l_doc", "r.doc").alias("b")).distinct()
 
 
 def near_classes(
@@ -274,57 +277,44 @@ def near_classes(
     k: int = 32,
     salt_size: int = 4096,
     short_list: int = 32,
-    block_rows: int = 512,
-    block_values: int = 250_000,
     broadcast_ids: int = 500_000,
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     ``percent``: least similarity, as 100 * intersection >= percent * union.
     ``salt_size``: members of one list that share a task while neighbours are
-    paired.  ``short_list``: longest list whose members are paired row by row.
+    paired.  ``short_list``: longest list of sketch values whose members are
+    paired at once; those of longer ones are listed by their full sets first.
     ``broadcast_ids``: most ids (8 bytes each) that are broadcast to
     fetch texts; more are joined by a shuffle.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    signed = materialize(rows.mapInArrow(_sketches(words, k, percent), "doc_id long, n long, gid binary, sketch binary, listed int"), "near-sketches")
+    signed = materialize(rows.mapInArrow(trimmed(_sketches(words, k, percent)), "doc_id long, n long, gid binary, sketch binary, listed int"), "near-sketches")
     usable = signed.filter("doc_id is not null and n > 0")
     reps = materialize(usable.groupBy("gid").agg(F.min(F.struct("doc_id", "n", "sketch", "listed")).alias("r")).select("gid", F.col("r.doc_id").alias("doc"), "r.n", "r.sketch", "r.listed"), "near-reps")
     texts = rows.select(F.col("doc_id").alias("doc"), "text")
     lists = materialize(_listed(reps), "near-lists")
 
-    def far(a: str, b: str):
-        """Set sizes alone rule the pair out."""
-        return F.least(F.col(a), F.col(b)) * 100 < F.greatest(F.col(a), F.col(b)) * percent
-
-    heads = lists.groupBy("value").agg(F.min(F.struct("doc", "n")).alias("head"))
+    heads = lists.groupBy("value").agg(F.min(F.struct("alone", "doc", "n")).alias("head"))
     stars = lists.join(heads, "value").select(F.col("head.doc").alias("a"), F.col("doc").alias("b"), F.col("head.n").alias("na"), F.col("n").alias("nb"))
     salt = F.pmod(F.xxhash64("doc"), F.ceil(F.col("df") / salt_size)).alias("salt")
     order = Window.partitionBy("value", "salt").orderBy(F.xxhash64("doc", F.lit(7)), "doc")
-    beside = lists.withColumn("salt", salt).select(F.lag("doc").over(order).alias("a"), F.col("doc").alias("b"), F.lag("n").over(order).alias("na"), F.col("n").alias("nb"))
-    first = stars.union(beside).filter(~far("na", "nb") & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    beside = lists.withColumn("salt", salt).select(F.lag("doc").over(order).alias("a"), F.col("doc").alias("b"), F.lag("n").over(order).alias("na"), F.col("n").alias("nb"), "last").filter("last").drop("last")
+    first = stars.union(beside).filter(~_far("na", "nb", percent) & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     first = materialize(first, "near-first")
     links = _verified(first, reps, texts, words, k, percent, broadcast_ids)
     found = components(links)
 
-    placed = lists.join(found.toDF("doc", "comp"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-    sizes = placed.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("members"))
-    main = sizes.groupBy("value").agg(F.max(F.struct("members", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"), F.sum("members").alias("length")).filter("comps > 1")
-    mixed = materialize(placed.join(main.select("value", F.col("top.comp").alias("main"), "length"), "value"), "near-mixed")
-    short = mixed.filter(F.col("length") <= short_list)
+    mixed = _mixed(lists.select("value", "doc", "n").join(found.toDF("doc", "comp"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc")))
+    hot = materialize(mixed.filter(F.col("length") > short_list).select("doc", "comp").distinct(), "near-hot")
+    # Pairs of two documents on long lists are found by their full sets, whatever lists they share.
+    short = mixed.filter(F.col("length") <= short_list).join(hot.select("doc", F.lit(True).alias("hot")), "doc", "left")
+    short = materialize(short.withColumn("hot", F.coalesce("hot", F.lit(False))), "near-short")
     left, right = short.filter("comp <> main").alias("l"), short.alias("r")
-    cross = (
-        left.join(right, "value")
-        .filter("l.comp <> r.comp")
-        .filter(~far("l.n", "r.n"))
-        .select(F.least("l.doc", "r.doc").alias("a"), F.greatest("l.doc", "r.doc").alias("b"))
-        .distinct()
-        .join(first, ["a", "b"], "left_anti")
-    )
-    more = _verified(cross, reps, texts, words, k, percent, broadcast_ids)
-    long = mixed.filter(F.col("length") > short_list).select("value", "doc", "comp", "n")
-    more = more.union(_long_list_links(long, texts, words, percent, block_values, block_rows, broadcast_ids))
-    labels = components(links.union(more))
+    cross = left.join(right, "value").filter("l.comp <> r.comp and not (l.hot and r.hot)").filter(~_far("l.n", "r.n", percent)).select(F.least("l.doc", "r.doc").alias("a"), F.greatest("l.doc", "r.doc").alias("b"))
+    more = cross.union(_refined(hot, texts, words, percent, broadcast_ids)).distinct().join(first, ["a", "b"], "left_anti")
+    labels = components(links.union(_verified(more, reps, texts, words, k, percent, broadcast_ids)))
 
     classes = reps.join(labels.toDF("doc", "component"), "doc", "left").select("gid", F.coalesce("component", "doc").alias("component"))
     return signed.join(classes, "gid", "left").select(
@@ -341,9 +331,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", broadcast_ids: int = 500_0
     Up to ``broadcast_ids`` dropped ids (8 bytes each) are broadcast, so that
     texts are not shuffled; more are met in a shuffled join.
     """
-    name = "_near_dropped_id"
     classes = near_classes(docs, id_col, broadcast_ids=broadcast_ids, **params)
-    dropped = materialize(classes.filter(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct(), "near-dropped")
+    dropped = materialize(classes.filter(~F.col("kept")).select("doc_id").distinct(), "near-dropped")
     if dropped.count() <= broadcast_ids:
         dropped = F.broadcast(dropped)
-    return docs.join(dropped, docs[id_col] == F.col(name), "left_anti")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"))
+    return rows.join(dropped, "doc_id", "left_anti").select("row.*")

@@ -41,7 +41,7 @@ def family(rng, size, length, edits, vocabulary):
     return out
 
 
-@pytest.mark.parametrize("seed,words,params", [(0, 2, {}), (1, 2, {"short_list": 2, "block_rows": 5, "salt_size": 8}), (2, 5, {"short_list": 3, "block_values": 800, "broadcast_ids": 0, "k": 16})])
+@pytest.mark.parametrize("seed,words,params", [(0, 2, {}), (1, 2, {"short_list": 2, "salt_size": 8}), (2, 5, {"short_list": 0, "broadcast_ids": 0, "k": 16})])
 def test_matches_brute_force(spark, seed, words, params):
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(300)]
@@ -81,6 +81,42 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_rounds_on_a_sorted_chain(spark, monkeypatch):
+    import logloom.llm.components as module
+
+    written = []
+    monkeypatch.setattr(module, "materialize", lambda df, label: (written.append(label), N.materialize(df, label))[1])
+    edges = spark.range(1000).selectExpr("id as a", "id + 1 as b")
+    assert {r["component"] for r in components(edges).select("component").distinct().collect()} == {0}
+    assert written.count("cc-points") <= 20
+
+
+def test_large_group_below_the_threshold(spark):
+    """Copies of a text that all differ too much from each other meet in few pairs."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(120)]
+    rows = [(1, " ".join(base))]
+    for i in range(2, 302):
+        words = list(base)
+        for at in rng.sample(range(120), 2 if i % 3 else 9):
+            words[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.near_classes(df, words=2).collect()}
+    assert got == brute(rows, 2, 80) and sum(i == c for i, (_, c) in got.items()) > 90
+    texts = df.select(N.F.col("doc_id").alias("doc"), N.F.col("text").cast("binary").alias("text"))
+    hot = df.select(N.F.col("doc_id").alias("doc"), N.F.when(N.F.col("doc_id") % 3 == 0, N.F.col("doc_id")).otherwise(1).alias("comp"))
+    assert N._refined(hot, texts, 2, 80, 1000).count() < 1000  # of 25,000
+
+
+def test_exact_check_in_parts(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range(60) if j != i)) for i in range(40)]
+    texts = spark.createDataFrame(rows, "doc long, text string").withColumn("text", N.F.col("text").cast("binary"))
+    reps = texts.withColumnRenamed("doc", "doc_id").mapInArrow(N._sketches(2, 32, 80), "doc_id long, n long, gid binary, sketch binary, listed int").withColumnRenamed("doc_id", "doc")
+    pairs = spark.range(1, 40).selectExpr("0L as a", "id as b")
+    assert {tuple(r) for r in N._verified(pairs, reps, texts, 2, 32, 80, 0, head_rows=7).collect()} == {(0, i) for i in range(1, 40)}
+
+
 def test_bounds_and_union():
     assert N.tail_bound(32, 0.8) >= 8
     assert N.prefix_length(10, 32, 80) == 3 and N.prefix_length(1, 32, 80) == 1
