@@ -1,32 +1,36 @@
 """Toxicity by a subsequence-kernel SVM with Nystroem landmarks.
 
-A text is a set of units: its words, in lower case, without punctuation at the
-ends, also without separators inside, the parts between separators, alone and
-with all that follows, and runs of single letters joined; a long word counts
-from each of its characters on.  A unit and a landmark are compared by the
-gap-weighted subsequence kernel of length ``P`` over the word's beginning (as
-long as the landmark and ``SLACK`` more, so that endings do not count): common
-subsequences of ``P`` characters count, the word's start being a character, and
-each gap character costs a factor ``DECAY``.  The kernel is normalised, and
-counts as 0 where the longest common subsequence is shorter than ``SUPPORT`` of
-the landmark.  So "i-d-i0ot"
-stays close to "idiot", while most words of a corpus are screened out by a
-bit-parallel test.
-
-Training needs labels of texts only.  Word beginnings of 4 to 10 letters whose
-documents are toxic more often than chance explains (a binomial tail, corrected
-for their number), and of these the ones that between them explain most toxic
-texts, become positive landmarks; the words of toxic texts that begin so, with
-interrupted and stretched forms, are the positive units, words of clean texts
-the negative ones.  Clean words near the positive landmarks join as hard
-negatives and negative landmarks.  A squared-hinge linear SVM is fitted on the
-Nystroem features on the driver.  A sentence scores as its highest unit, a text
-as its highest sentence, mapped to a probability by Platt
-scaling of its three highest units.
+A text is a list of sentences and a sentence a set of parts: its words, in lower
+case, without punctuation at the ends, also without separators inside, what
+stands between separators, alone and with all that follows, and runs of single
+letters joined; a long word counts from each of its characters on.
+
+A part and a landmark are compared by the gap-weighted subsequence kernel of
+length ``P``: common subsequences of ``P`` characters count, the word's start
+being a character, and each gap character costs a factor ``DECAY``.  The kernel
+is normalised over a stretch of the part as long as the landmark and ``SLACK``
+more, so that what surrounds an insult does not count, and the best stretch of
+the whole part is taken: the one from its start, and those from each of the
+landmark's first letters on (``INNER`` times).  It counts as 0 where the longest common
+subsequence is shorter than ``SUPPORT`` of the landmark.  So "i-d-i0ot" stays
+close to "idiot", while most words of a corpus are screened out by a
+bit-parallel test.  A sentence's value at a landmark is the best of its parts.
+
+Labels are of texts, and training is on sentences: those of clean texts are
+negative, and of each toxic text the sentence that scores highest so far is
+positive (the rest of it stays open), over a few rounds.  Landmarks are parts of
+labelled sentences: word beginnings whose documents are toxic more often than
+chance explains (a binomial tail, corrected for their number) and which between
+them explain most toxic texts, then parts of the clean sentences that score
+highest.  Interrupted and stretched forms of the toxic parts join as sentences
+of one part.  A squared-hinge linear SVM is fitted on the Nystroem features of
+the sentences on the driver.  A text scores by its highest sentences, mapped to
+a probability by Platt scaling of the three highest.
 
 Bounds: ``max_rows`` labelled documents (a seeded sample; whole texts), of them
-``max_texts`` on the driver, ``max_stems`` and ``max_negative`` units.  All of
-this is only the fit; scoring covers every unit of every whole text.
+``max_texts`` on the driver, ``max_stems`` landmarks of toxic parts and
+``max_forms`` parts with their forms.  All of this is only the fit; scoring
+covers every part of every whole text.
 
 Defined results: null texts, empty texts and texts without units get the score
 of a text far from all landmarks; without labels of both kinds every score is
@@ -45,13 +49,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled
+from .common import held_out, labelled, materialize, slices, small_batches, trimmed
 
 P = 4
 DECAY = 0.8
 LEAST = P - 1  # letters of the shortest units, which have P characters with the start mark
 SUPPORT = 0.7
 SLACK = 2
+INNER = 0.7  # worth of a stretch inside a word next to one from its start
 TOP = 3
 SURE = 0.6  # decision value from which one unit is close to certain
 WIDTH = 24  # longer units are cut into windows of this many characters with the mark, one from each character on
@@ -134,13 +139,14 @@ def common_lengths(x: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
 
 def raw_kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Gap-weighted subsequence kernel of aligned rows of two code arrays."""
+    x, y = (a[:, : max(1, int((a > 0).sum(axis=1).max(initial=0)))] for a in (x, y))
     b, s, t = len(x), x.shape[1], y.shape[1]
     decay = np.triu(DECAY ** np.maximum(0, np.arange(t)[None, :] - np.arange(t)[:, None])).astype(np.float64)
     # ends[i][:, j]: weight of common subsequences of i+1 characters in the part of x read so
     # far and y[:j+1], gaps counted up to both ends.
     ends = [np.zeros((b, t)) for _ in range(P - 1)]
     total = np.zeros(b)
-    for k in range(s):
+    for k in range(s):  # no array is wider than its longest row
         match = ((y == x[:, k : k + 1]) & (y > 0)).astype(np.float64) * DECAY**2
         for i in range(P - 1, -1, -1):
             if i == 0:
@@ -152,14 +158,13 @@ def raw_kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
                 total += now.sum(axis=1)
             else:
                 ends[i] = ends[i] * DECAY + now @ decay
-        if not x[:, k].any():
-            break
     return total
 
 
 def kernel(x: np.ndarray, landmarks: np.ndarray, self_landmarks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(rows near any landmark, their normalised kernel values with all landmarks)."""
-    least = np.maximum(P, np.ceil(SUPPORT * (landmarks > 0).sum(axis=1)))
+    lengths = (landmarks > 0).sum(axis=1)
+    least = np.maximum(P, np.ceil(SUPPORT * lengths))
     sizes = (x > 0).sum(axis=1)
     near = np.zeros((len(x), len(landmarks)), bool)
     for low, high in ((0, 8), (8, 12), (12, WIDTH)):  # short words need few steps
@@ -167,12 +172,21 @@ def kernel(x: np.ndarray, landmarks: np.ndarray, self_landmarks: np.ndarray) ->
         near[own] = common_lengths(x[own], landmarks) >= least
     rows = np.flatnonzero(near.any(axis=1))
     out = np.zeros((len(rows), len(landmarks)))
-    if len(rows):
-        i, j = np.nonzero(near[rows])
-        begin = x[rows[i]]
-        begin[np.arange(WIDTH)[None, :] >= ((landmarks > 0).sum(axis=1) + SLACK)[j][:, None]] = 0
-        value, own = raw_kernel(begin, landmarks[j]), raw_kernel(begin, begin)
-        out[i, j] = value / np.sqrt(np.maximum(own * self_landmarks[j], 1e-300))
+    pair_row, pair_mark = np.nonzero(near[rows])
+    by_length = np.argsort(lengths[pair_mark], kind="stable")
+    pair_row, pair_mark = pair_row[by_length], pair_mark[by_length]
+    at = np.arange(WIDTH)
+    for low in range(0, len(pair_row), 10_000):
+        i, j = pair_row[low : low + 10_000], pair_mark[low : low + 10_000]
+        part = x[rows[i]]
+        # The first letter lies in the stretch from the start already.
+        starts = (part[:, :, None] == landmarks[j][:, None, 1:4]).any(axis=2) & (part > 0) & (sizes[rows[i]][:, None] - at >= P) & (at > 1)
+        starts[:, 0] = True
+        p, o = np.nonzero(starts)
+        where = o[:, None] + at
+        stretch = np.where((where < WIDTH) & (at < (lengths[j] + SLACK)[p][:, None]), part[p[:, None], np.minimum(where, WIDTH - 1)], 0)
+        value = raw_kernel(stretch, landmarks[j[p]]) / np.sqrt(np.maximum(raw_kernel(stretch, stretch) * self_landmarks[j[p]], 1e-300))
+        np.maximum.at(out, (i[p], j[p]), np.where(o > 0, INNER, 1.0) * value)
     return rows, out
 
 
@@ -191,42 +205,66 @@ class Model:
         self.landmarks = coded(self.words) if self.words else np.zeros((0, WIDTH), np.uint8)
         self.own = raw_kernel(self.landmarks, self.landmarks) if self.words else np.zeros(0)
 
-    def decide(self, words: Sequence[str]) -> np.ndarray:
-        """Decision values of units; the intercept where no landmark is near."""
-        out = np.full(len(words), self.intercept)
-        for low in range(0, len(words) if self.words else 0, 20_000):
-            rows, k = kernel(coded(words[low : low + 20_000]), self.landmarks, self.own)
-            out[low + rows] += k @ self.weights
+    def near(self, parts: Sequence[str]) -> dict[str, np.ndarray]:
+        """Kernel values with all landmarks of the parts near any."""
+        out: dict[str, np.ndarray] = {}
+        for low in range(0, len(parts) if self.words else 0, 20_000):
+            block = parts[low : low + 20_000]
+            rows, k = kernel(coded(block), self.landmarks, self.own)
+            out.update(zip((block[r] for r in rows.tolist()), k, strict=True))
         return out
 
+    def decide(self, values: np.ndarray) -> np.ndarray:
+        """Decision values of sentences from their values at the landmarks."""
+        return self.intercept + values @ self.weights
+
     def probability(self, top: np.ndarray) -> np.ndarray:
         """From the highest decision values of texts, one row each."""
         return 1 / (1 + np.exp(-np.clip(_evidence(top) @ self.slope + self.shift, -50, 50)))
 
-    def texts(self, texts: Sequence[str | None], known: set[str]) -> np.ndarray:
-        """The ``TOP`` highest decision values of each text's units.
+    def texts(self, texts: Sequence[str | None], far: set[str]) -> np.ndarray:
+        """The ``TOP`` highest decision values of each text's sentences.
 
-        ``known``: units without a near landmark, kept between calls.
+        ``far``: parts without a near landmark, kept between calls.
         """
-        own = [units(t) - known for t in texts]
+        own = [units(t) - far for t in texts]
         fresh = sorted(set().union(*own)) if own else []
-        best = dict(zip(fresh, self.decide(fresh).tolist(), strict=True))
-        if len(known) + len(fresh) > 400_000:
-            known.clear()
-        known.update(w for w, v in best.items() if v == self.intercept)
-        out = np.full((len(own), TOP), self.intercept)
-        for i, s in enumerate(own):
-            for k, v in enumerate(heapq.nlargest(TOP, (best[w] for w in s))):
-                out[i, k] = max(v, self.intercept) if k else v
+        near = self.near(fresh)
+        if len(far) + len(fresh) > 400_000:
+            far.clear()
+        far.update(w for w in fresh if w not in near)
+        return np.array([self.highest(bags(t, found) if (found := {w: near[w] for w in p if w in near}) else []) for t, p in zip(texts, own, strict=True)])
+
+    def highest(self, held: Sequence[np.ndarray]) -> np.ndarray:
+        """The ``TOP`` highest decision values of a text from those of its sentences that hold near parts."""
+        out = np.full(TOP, self.intercept)
+        for k, v in enumerate(heapq.nlargest(TOP, self.decide(np.array(held)).tolist()) if held else []):
+            out[k] = max(v, self.intercept) if k else v
         return out
 
     def words_probability(self, words: Sequence[str]) -> np.ndarray:
-        """Probability of texts that hold one unit each."""
+        """Probability of texts of one sentence with one part each."""
         top = np.full((len(words), TOP), self.intercept)
-        top[:, 0] = self.decide(words)
+        near = self.near(list(words))
+        for i, w in enumerate(words):
+            if w in near:
+                top[i, 0] = self.decide(near[w])
         return self.probability(top)
 
 
+def bags(text: str, near: dict[str, np.ndarray]) -> list[np.ndarray]:
+    """Values at the landmarks of each sentence that holds a part of ``near``.
+
+    Parts that cross the end of a sentence (letters spelt over several lines) stand alone.
+    """
+    out, left = [], set(near)
+    for sentence in sentences(text):
+        if own := units(sentence) & near.keys():
+            out.append(np.maximum.reduce([near[w] for w in own]))
+            left -= own
+    return out + [near[w] for w in sorted(left)]
+
+
 def variants(word: str, rng: np.random.Generator) -> list[str]:
     """Spaced, interrupted and stretched forms of a word."""
     i, j = (int(v) for v in rng.integers(1, len(word), 2))
@@ -286,7 +324,7 @@ def _covering(candidates: Sequence[str], toxic: Sequence[set[str]], times: int =
     return out
 
 
-def fit_units(stems: Sequence[str], toxic: np.ndarray, n: np.ndarray, rate: float, documents: Sequence[tuple[str | None, int]], max_stems: int = 60, max_negative: int = 4000, n_landmarks: int = 60, seed: int = 0) -> Model:
+def fit_sentences(stems: Sequence[str], toxic: np.ndarray, n: np.ndarray, rate: float, documents: Sequence[tuple[str | None, int]], max_stems: int = 60, max_forms: int = 1000, n_landmarks: int = 60, rounds: int = 3, seed: int = 0) -> Model:
     """Model from counts of stems (documents and toxic documents of each) and labelled texts."""
     rng = np.random.default_rng(seed)
     stems = np.array(stems, dtype=object)
@@ -296,15 +334,16 @@ def fit_units(stems: Sequence[str], toxic: np.ndarray, n: np.ndarray, rate: floa
     tail = _log_choose_tail(toxic, n, rate)
     sure = np.flatnonzero((tail < np.log(0.2 / len(stems))) & (toxic >= 0.8 * n))
     sure = sorted(stems[sure].tolist(), key=dict(zip(stems.tolist(), zip(tail.tolist(), [-len(s) for s in stems], stems.tolist(), strict=True), strict=True)).get)
-    own = [(units(t), y) for t, y in documents]
-    found = _covering(sure, [{w[:k] for w in u for k in STEMS if len(w) >= k} for u, y in own if y])[:max_stems]
+    parts = [units(t) for t, _ in documents]
+    label = np.array([y for _, y in documents], float)
+    found = _covering(sure, [{w[:k] for w in own for k in STEMS if len(w) >= k} for own, y in zip(parts, label, strict=True) if y])[:max_stems]
     if not found:
         return base
-    clean = np.array(sorted(set().union(*(u for u, y in own if not y))), dtype=str)
-    clean_set = set(clean.tolist())
-    positive = sorted(w for w in set().union(*(u for u, y in own if y)) - clean_set if w.startswith(tuple(found)))
-    positive = sorted(set(rng.permutation(positive)[: max_negative // 4].tolist()) | set(found))
-    negative = rng.permutation(clean)[:max_negative].tolist()
+    clean = set().union(*(own for own, y in zip(parts, label, strict=True) if not y))
+    insults = sorted(w for w in set().union(*(own for own, y in zip(parts, label, strict=True) if y)) - clean if w.startswith(tuple(found)))
+    insults = sorted(set(rng.permutation(insults)[:max_forms].tolist()) | set(found))
+    forms = insults + [v for w in insults for v in variants(w, rng)]
+    every = sorted(set().union(*parts))
 
     def spread(pool: Sequence[str], m: int) -> list[str]:
         """Landmarks from a pool in order, none that another covers."""
@@ -320,39 +359,48 @@ def fit_units(stems: Sequence[str], toxic: np.ndarray, n: np.ndarray, rate: floa
             left[i] = False
         return out
 
+    def values_of(words: Sequence[str], marks: list[str], known: dict[str, np.ndarray], before: int) -> dict[str, np.ndarray]:
+        """Values of words at all ``marks``, of which ``known`` has the first ``before``."""
+        new = Model(marks[before:], np.zeros(0), 0.0, [], 0.0).near(words) if len(marks) > before else {}
+        return {w: np.r_[known.get(w, np.zeros(before)), new.get(w, np.zeros(len(marks) - before))] for w in {**known, **new}}
+
     landmarks = spread(found, n_landmarks)
-    model = base
-    for hard_round in range(2):
-        codes = coded(landmarks)
-        own = raw_kernel(codes, codes)
-        gram = np.zeros((len(landmarks), len(landmarks)))
-        rows, k = kernel(codes, codes, own)
-        gram[rows] = k
+    positive_marks = len(landmarks)
+    every, all_forms, near, made, before = sorted(set().union(*parts)), sorted(set(forms)), {}, {}, 0
+    while True:
+        near, made = values_of(every, landmarks, near, before), values_of(all_forms, landmarks, made, before)
+        own = Model(landmarks, np.zeros(0), 0.0, [], 0.0).near(landmarks)
+        gram = np.array([own.get(w, np.zeros(len(landmarks))) for w in landmarks])
         values, vectors = np.linalg.eigh((gram + gram.T) / 2)
         keep = values > 1e-3 * values.max()
         whiten = vectors[:, keep] / np.sqrt(values[keep])
-        forms = [v for w in positive for v in variants(w, rng)]
-        train = positive + forms + negative
-        y = np.r_[np.ones(len(positive) + len(forms)), -np.ones(len(negative))]
-        rows, k = kernel(coded(train), codes, own)
-        z = np.zeros((len(train), len(landmarks)))
-        z[rows] = k
-        weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-        w, b = _svm(z @ whiten, y, weight)
-        model = Model(landmarks, whiten @ w, b, np.zeros(TOP + 1), 0.0)
-        if hard_round == 0:
-            decision = model.decide(clean.tolist())
-            hard = clean[np.argsort(-decision, kind="stable")[:max_negative // 4]]
-            near = [h for h, d in zip(hard.tolist(), np.sort(-decision)[: len(hard)].tolist(), strict=True) if -d > b + 1e-9]
-            negative = sorted(set(negative) | set(near))
-            landmarks = landmarks + [x for x in spread(near, max(1, n_landmarks // 3)) if x not in landmarks] if near else landmarks
-    texts = [t for t, _ in documents]
-    label = np.array([y for _, y in documents], float)
-    top = np.concatenate([model.texts(texts[i : i + 500], set()) for i in range(0, len(texts), 500)])
-    # Each text once more with its highest unit alone, so that one clear insult is enough.
+        held = [bags(t or "", found) if (found := {w: near[w] for w in p if w in near}) else [] for (t, _), p in zip(documents, parts, strict=True)]
+        shown = [made[w] for w in forms if w in made]
+        negative = [v for b, y in zip(held, label, strict=True) if not y for v in b]
+        toxic_bags = [np.array(b) for b, y in zip(held, label, strict=True) if y and b]
+        if not shown or not toxic_bags:
+            return base
+        witness = [b[np.argmax(b[:, :positive_marks].sum(axis=1))] for b in toxic_bags]
+        for _ in range(rounds):
+            positive = witness + shown
+            # The last row stands for all sentences without a near landmark.
+            k = np.array(positive + negative + [np.zeros(len(landmarks))])
+            y = np.r_[np.ones(len(positive)), -np.ones(len(negative) + 1)]
+            rest = 0.25 if negative else 0.5
+            weight = np.r_[np.full(len(witness), 0.25 / len(witness)), np.full(len(shown), 0.25 / len(shown)), np.full(len(negative), 0.25 / max(1, len(negative))), rest]
+            w, intercept = _svm(k @ whiten, y, weight)
+            model = Model(landmarks, whiten @ w, intercept, np.zeros(TOP + 1), 0.0)
+            witness = [b[np.argmax(model.decide(b))] for b in toxic_bags]
+        if before:
+            break
+        before = len(landmarks)
+        scored = {w: float(model.decide(near[w])) for w in sorted(clean & near.keys())}
+        hard = [w for w in sorted(scored, key=lambda w: (-scored[w], w)) if scored[w] > model.intercept + 1e-9][:max_forms]
+        landmarks = landmarks + [w for w in (spread(hard, max(1, n_landmarks // 3)) if hard else []) if w not in landmarks]
+    top = np.array([model.highest(b) for b in held])
+    # Each text once more with its highest sentence alone, so that one clear insult is enough.
     alone = np.hstack([top[:, :1], np.full((len(top), TOP - 1), model.intercept)])
-    a, c = _platt(np.vstack([top, alone]), np.r_[label, label])
-    model.slope, model.shift = a, c
+    model.slope, model.shift = _platt(np.vstack([top, alone]), np.r_[label, label])
     return model
 
 
@@ -374,7 +422,7 @@ def _platt(top: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
 
 def _stem_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(stem, y) for each distinct word beginning of each text."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, 1, 1 << 20)):
         stems, ys = [], []
         for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             own = {w[:k] for w in units(text) for k in STEMS if len(w) >= k}
@@ -385,23 +433,22 @@ def _stem_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 4000, max_units: int = 60_000, max_texts: int = 3000, id_col: str = "doc_id", text_col: str = "text", **params) -> Model:
     """Fit on the labelled documents that are not held out."""
-    sample = labelled(docs, labels, label, max_rows, id_col, text_col).limit(4 * max_rows).select("y", "text", "id").cache()
+    sample = materialize(labelled(docs, labels, label, max_rows, id_col, text_col).select("y", "text", "id"), "toxic-sample")
     counted = sample.select(F.col("y").cast("long"), "text").mapInArrow(_stem_rows, "stem string, y long").groupBy("stem").agg(F.sum("y").alias("toxic"), F.count(F.lit(1)).alias("n"))
     table = counted.orderBy(F.desc("toxic"), F.desc("n"), "stem").limit(max_units).toPandas()
-    documents = [(r["text"], int(r["y"])) for r in sample.orderBy(F.xxhash64("id"), "id").limit(max_texts).collect()]
+    documents = [(r["text"], int(r["y"])) for r in sample.orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(max_texts).collect()]
     stats = sample.agg(F.sum("y"), F.count(F.lit(1))).first()
-    sample.unpersist()
     rate = (stats[0] or 0) / stats[1] if stats[1] else 0.5
-    return fit_units(table["stem"].tolist(), table["toxic"].to_numpy(float), table["n"].to_numpy(float), rate, documents, **params)
+    return fit_sentences(table["stem"].tolist(), table["toxic"].to_numpy(float), table["n"].to_numpy(float), rate, documents, **params)
 
 
 def _score(model):
-    known: set[str] = set()
+    far: set[str] = set()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             texts = batch.column(2).to_pylist()
-            score = np.concatenate([model.value.probability(model.value.texts(texts[i : i + 512], known)) for i in range(0, len(texts), 512)]) if texts else np.zeros(0)
+            score = np.concatenate([model.value.probability(model.value.texts(texts[i : i + 512], far)) for i in range(0, len(texts), 512)]) if texts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64())], ["doc_id", "held_out", "score"])
 
     return run
@@ -409,10 +456,11 @@ def _score(model):
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(_score(shared), f"doc_id {kind}, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return rows.mapInArrow(trimmed(_score(shared)), f"doc_id {kind}, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def worst_sentences(text: str | None, model: Model, top: int = 3) -> list[tuple[str, float]]:
