@@ -15,8 +15,11 @@ with two array look-ups: contexts are found through a suffix-closed numbering,
 so an unknown context falls back to its longest known suffix, as in the tree.
 
 The sample: per language the first ``docs_per_language`` training documents in
-a seeded order, whole texts, at most ``max_languages`` languages.  Counting
-them is a distributed job; only the n-gram counts reach the driver.
+a seeded order, whole texts.  Counting them is a distributed job; only the
+n-gram counts reach the driver, of up to ``block_languages`` languages at a
+time.  Those make one table, or several where one would take more than
+``block_bytes``, and a table is what is broadcast: with more of them documents
+pass one after the other, and keep the shortest code so far.
 
 Defined results: ``und`` with score 0 for null texts, texts without a letter,
 and everything where no training rows exist; ties go to the language first in
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, materialize, slices, small_batches, trimmed
 
 _HOLD = 256  # symbol that stands before a text
 
@@ -157,53 +160,87 @@ class ContextTrees:
         return out
 
 
-def train(docs: DataFrame, order: int = 3, docs_per_language: int = 400, max_languages: int = 200, min_count: int = 4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ContextTrees:
+class Languages:
+    """Context trees of all languages, in tables of bounded size."""
+
+    def __init__(self, blocks: list[ContextTrees]):
+        self.blocks = blocks
+        self.languages = [x for b in blocks for x in b.languages]
+
+
+def _tables(languages: list[str], by_language: list[tuple[np.ndarray, np.ndarray]], order: int, min_count: int, block_bytes: int) -> list[ContextTrees]:
+    """One table, or those of halves of the languages where it is too large."""
+    whole = ContextTrees(languages, by_language, order, min_count)
+    if whole.cost.nbytes + whole.row_of.nbytes <= block_bytes or len(languages) < 2:
+        return [whole]
+    half = len(languages) // 2
+    return _tables(languages[:half], by_language[:half], order, min_count, block_bytes) + _tables(languages[half:], by_language[half:], order, min_count, block_bytes)
+
+
+def train(docs: DataFrame, order: int = 3, docs_per_language: int = 400, block_languages: int = 50, block_bytes: int = 256 << 20, min_count: int = 4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Languages:
     """Context trees from rows with a non-null language (held-out rows are left to the caller)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(max_languages + 1).collect()}
-    if len(sizes) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
+    sizes = materialize(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("of")), "language-sizes")
     # A seeded cut leaves about four times the sample, so that few rows are ranked.
     order_by = F.xxhash64("id", F.lit(11))
-    spare = F.lit(False)
-    for lang, n in sizes.items():
-        share = min(1.0, 4 * docs_per_language / n)
-        spare = spare | ((F.col("lang") == lang) & (F.pmod(order_by, F.lit(1_000_000)) < int(share * 1_000_000)))
-    ranked = rows.filter(spare).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(order_by, "id", F.xxhash64("text"))))
+    spare = F.pmod(order_by, F.lit(1_000_000)) < F.floor(F.least(F.lit(1.0), F.lit(4 * docs_per_language) / F.col("of")) * 1_000_000)
+    names = sorted(r["lang"] for r in sizes.select("lang").collect())
+    ranked = rows.join(F.broadcast(sizes) if len(names) <= 100_000 else sizes, "lang").filter(spare)
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(order_by, "id", F.xxhash64("text"))))
     # Null texts of the sample count as empty ones.
     sample = ranked.filter(F.col("rank") <= docs_per_language).select("lang", "text")
-    counted = sample.mapInArrow(_counts(order), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(set(counted["lang"]))
-    per = []
-    for lang in languages:
-        own = counted[counted["lang"] == lang].sort_values("gram")
-        per.append((own["gram"].to_numpy(dtype=np.int64), own["n"].to_numpy(dtype=np.int64)))
-    return ContextTrees(languages, per, order, min_count)
+    if len(names) > block_languages:
+        sample = materialize(sample, "language-sample")
+    blocks: list[ContextTrees] = []
+    for low in range(0, len(names), block_languages):
+        own = names[low : low + block_languages]
+        counted = sample.filter(F.col("lang").isin(own)).mapInArrow(trimmed(_counts(order)), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+        found = {lang: g.sort_values("gram") for lang, g in counted.groupby("lang")}
+        languages = [x for x in own if x in found]
+        if languages:
+            blocks += _tables(languages, [(found[x]["gram"].to_numpy(dtype=np.int64), found[x]["n"].to_numpy(dtype=np.int64)) for x in languages], order, min_count, block_bytes)
+    return Languages(blocks)
 
 
-def _predict(model):
+def _pass(model, last: bool):
+    """Rows (..., text, lang, bits, total): the shortest code so far, and the sum of 2 ** (bits - code) over languages.
+
+    The last pass gives no text back.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            trees: ContextTrees = model.value
-            langs, scores = [], []
-            for text in batch.column(2).to_pylist():
-                lang, score = "und", 0.0
-                if text and trees.languages and any(map(str.isalpha, text)):
-                    data = fold(text)
-                    bits = trees.code_length(data)
-                    best = int(bits.argmin())
-                    # Probability under equal priors; saturates at 1 for all but short texts.
-                    lang, score = trees.languages[best], float(1.0 / np.exp2(np.maximum(bits.min() - bits, -1000.0)).sum())
-                langs.append(lang)
-                scores.append(score)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+        trees: ContextTrees = model.value
+        for batch in (part for whole in batches for part in slices(whole, 2)):
+            lang, best, total = (batch.column(i).to_pylist() for i in (3, 4, 5))
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                if text and any(map(str.isalpha, text)):
+                    bits = trees.code_length(fold(text))
+                    k = int(bits.argmin())
+                    own = float(np.exp2(np.maximum(bits[k] - bits, -1000.0)).sum())
+                    if lang[i] is None:
+                        lang[i], best[i], total[i] = trees.languages[k], float(bits[k]), own
+                    elif bits[k] < best[i]:
+                        lang[i], best[i], total[i] = trees.languages[k], float(bits[k]), own + total[i] * 2.0 ** max(float(bits[k]) - best[i], -1000.0)
+                    else:
+                        total[i] += own * 2.0 ** max(best[i] - float(bits[k]), -1000.0)
+            text = pa.nulls(len(batch), pa.string()) if last else batch.column(2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), text, pa.array(lang, pa.string()), pa.array(best, pa.float64()), pa.array(total, pa.float64())], batch.schema.names)
 
     return run
 
 
-def predict(docs: DataFrame, trees: ContextTrees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, held_out, lang_pred, score."""
-    model = docs.sparkSession.sparkContext.broadcast(trees)
-    rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
+def predict(docs: DataFrame, model: Languages, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, held_out, lang_pred, score.
+
+    The score is the probability under equal priors; it saturates at 1 for all
+    but short texts.
+    """
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(_predict(model), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("bits"), F.lit(None).cast("double").alias("total"))
+    for k, trees in enumerate(model.blocks):
+        if k:  # one table in a worker at a time
+            rows = materialize(rows, "language-pass")
+        shared = docs.sparkSession.sparkContext.broadcast(trees)
+        rows = rows.mapInArrow(trimmed(_pass(shared, k == len(model.blocks) - 1)), f"doc_id {kind}, held_out boolean, text string, lang string, bits double, total double")
+    return rows.select("doc_id", "held_out", F.coalesce("lang", F.lit("und")).alias("lang_pred"), F.coalesce(1.0 / F.col("total"), F.lit(0.0)).alias("score"))
