@@ -15,8 +15,10 @@
    rows of the last cell are ordered, so a source with a third of all rows
    needs no large sort.
 
-Only patterns and sources reach the driver; their number is checked against
-``max_patterns``.
+Up to ``max_patterns`` patterns the flow is found on the driver, which gets them
+and their sources alone.  Beyond that, documents with one source each need no
+flow: their targets and passes follow in closed form from running sums over the
+sources (``_closed``).  More overlapping patterns than that are an error.
 
 Defined results: a null text has size 0; a null source is a source of its own
 and sorts last; sources without words get target 0; repeated rows are documents
@@ -28,7 +30,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -118,39 +120,83 @@ def _ordered(docs: DataFrame, members: Column, id_col: str, text_col: str, seed:
     return rows.withColumn("pattern", F.xxhash64(F.to_json(F.struct("members")), F.size("members")))
 
 
-def _cuts(rows: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _hint(few: bool):
+    """Tables with a row a pattern are broadcast only if there are few."""
+    return F.broadcast if few else lambda df: df
+
+
+def _cuts(rows: DataFrame, plan: DataFrame, few: bool) -> tuple[DataFrame, DataFrame]:
     """Where the last pass of each pattern ends.
 
     (pattern, cut: the hash cell in which it ends), and the rows of those cells
     with the words taken of each (``part``).
     """
-    own = rows.join(F.broadcast(plan), "pattern").withColumns({"c1": F.substring("order", 1, _CELL), "c2": F.substring("order", 1, 2 * _CELL)})
+    small = _hint(few)
+    own = rows.join(small(plan), "pattern").withColumns({"c1": F.substring("order", 1, _CELL), "c2": F.substring("order", 1, 2 * _CELL)})
     cut = plan.select("pattern", F.col("extra").alias("left"))
     for cell in ("c1", "c2"):
-        inside = own if cell == "c1" else own.join(F.broadcast(cut), ["pattern", "c1"])
+        inside = own if cell == "c1" else own.join(small(cut), ["pattern", "c1"])
         sums = inside.groupBy("pattern", cell).agg(F.sum("size").alias("sum"))
         before = F.expr(f"sum(sum) over (partition by pattern order by {cell} rows between unbounded preceding and current row) - sum")
         # The cell in which the wanted words end: what is needed beyond the cells before it is in it.
-        found = sums.withColumn("before", before).join(F.broadcast(cut.select("pattern", "left")), "pattern").filter("before < left and left <= before + sum")
+        found = sums.withColumn("before", before).join(small(cut.select("pattern", "left")), "pattern").filter("before < left and left <= before + sum")
         cut = materialize(found.select("pattern", cell, (F.col("left") - F.col("before")).alias("left")), "mix-cut")
-    last = own.join(F.broadcast(cut), ["pattern", "c2"]).withColumn("before", F.expr("sum(size) over (partition by pattern order by order, doc_id, size rows between unbounded preceding and current row) - size"))
+    last = own.join(small(cut), ["pattern", "c2"]).withColumn("before", F.expr("sum(size) over (partition by pattern order by order, doc_id, size rows between unbounded preceding and current row) - size"))
     last = last.withColumn("part", F.greatest(F.lit(0), F.least("size", F.col("left") - F.col("before"))))
     return cut.select("pattern", F.col("c2").alias("cut")), materialize(last.select(*rows.columns, "passes", "part"), "mix-last")
 
 
-def _below(rows: DataFrame, plan: DataFrame, cut: DataFrame) -> DataFrame:
+def _below(rows: DataFrame, plan: DataFrame, cut: DataFrame, few: bool) -> DataFrame:
     """``rows`` with passes, cut, and ``part``: all of a row before the cut, nothing of one after it."""
-    own = rows.join(F.broadcast(plan.select("pattern", "passes")), "pattern").join(F.broadcast(cut), "pattern", "left")
+    own = rows.join(_hint(few)(plan.select("pattern", "passes")), "pattern").join(_hint(few)(cut), "pattern", "left")
     return own.withColumn("part", F.when(F.substring("order", 1, 2 * _CELL) < F.col("cut"), F.col("size")).otherwise(0))
 
 
-def _planned(docs: DataFrame, members: Column, id_col: str, text_col: str, weights: dict | None, max_repeats: int, seed: int, max_patterns: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, plan: passes and extra words of each pattern, sources)."""
+def _closed(patterns: DataFrame, weights: dict | None, max_repeats: int) -> tuple[DataFrame, DataFrame]:
+    """(plan, sources) of patterns (pattern, members, size) with one source each.
+
+    Sources in the order of their share per weight: those before the first one
+    that its share of the rest does not exceed stop at ``max_repeats`` times
+    their size, the others share what these leave.  The windows over all
+    sources hold one row a source.
+    """
+    spark = patterns.sparkSession
+    one = patterns.filter(F.size("members") == 1).select("pattern", F.col("members")[0].alias("source"), "size")
+    if weights is None:
+        weighed = one.withColumn("w", 1 + (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % 3)
+    else:
+        given = spark.createDataFrame(list(weights.items()), T.StructType([T.StructField("of", one.schema["source"].dataType), T.StructField("w", T.IntegerType())]))
+        weighed = one.join(given, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    order = Window.orderBy(F.col("size") / F.col("w"), F.col("source").asc_nulls_last())
+    total = patterns.agg(F.sum("size")).first()[0] or 0
+    capped = F.coalesce(F.sum(max_repeats * F.col("size")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = weighed.withColumns({"k": F.row_number().over(order), "capped": capped, "open_w": F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing))})
+    ranked = materialize(ranked, "mix-ranked")
+    first = ranked.filter((F.lit(total) - F.col("capped")) * F.col("w") <= max_repeats * F.col("size") * F.col("open_w")).agg(F.min_by(F.struct("k", "capped", "open_w"), "k")).first()[0]
+    limit = F.col("size") * max_repeats
+    if first is None:  # every source stops at its limit
+        goal = limit.cast("double")
+    else:
+        goal = F.when(F.col("k") < first["k"], limit.cast("double")).otherwise((F.lit(total - first["capped"]) * F.col("w")).cast("double") / first["open_w"])
+    solved = ranked.select("pattern", "source", "size", goal.alias("target")).withColumn("quota", F.floor("target").cast("long"))
+    some = F.col("size") > 0
+    passes, extra = F.when(some, F.floor(F.col("quota") / F.col("size"))).otherwise(0).cast("long"), F.when(some, F.col("quota") % F.col("size")).otherwise(0).cast("long")
+    plan = solved.select("pattern", passes.alias("passes"), extra.alias("extra"))
+    none = patterns.filter(F.size("members") != 1).select("pattern", F.lit(0).cast("long").alias("passes"), F.lit(0).cast("long").alias("extra"))
+    return materialize(plan.union(none), "mix-plan"), materialize(solved.select("source", F.col("size").alias("source_size"), "target"), "mix-sources")
+
+
+def _planned(docs: DataFrame, members: Column, id_col: str, text_col: str, weights: dict | None, max_repeats: int, seed: int, max_patterns: int) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    """(rows, plan: passes and extra words of each pattern, sources, whether patterns are few)."""
     spark = docs.sparkSession
     rows = materialize(_ordered(docs, members, id_col, text_col, seed), "mix-rows")
-    found = rows.groupBy("pattern").agg(F.first("members").alias("members"), F.sum("size").alias("size")).orderBy("pattern").limit(max_patterns + 1).collect()
-    if len(found) > max_patterns:
-        raise ValueError(f"more than {max_patterns} membership patterns; group the sources first")
+    patterns = materialize(rows.groupBy("pattern").agg(F.first("members").alias("members"), F.sum("size").alias("size")), "mix-patterns")
+    if patterns.count() > max_patterns:
+        if not patterns.filter(F.size("members") > 1).isEmpty():
+            raise ValueError(f"more than {max_patterns} patterns of overlapping sources; group the sources first")
+        plan, sources = _closed(patterns, weights, max_repeats)
+        return rows, plan, sources, False
+    found = patterns.orderBy("pattern").collect()
     sizes: dict = {}
     for r in found:
         for s in dict.fromkeys(r["members"] or ()):
@@ -161,7 +207,7 @@ def _planned(docs: DataFrame, members: Column, id_col: str, text_col: str, weigh
     kind = docs.select(members.alias("m")).schema["m"].dataType.elementType
     schema = T.StructType([T.StructField("source", kind), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
     sources = spark.createDataFrame([(s, n, goal[s]) for s, n in sizes.items()], schema)
-    return rows, spark.createDataFrame(plan, "pattern long, passes long, extra long"), sources
+    return rows, spark.createDataFrame(plan, "pattern long, passes long, extra long"), sources, True
 
 
 def mix(docs: DataFrame, members: Column, id_col: str = "doc_id", text_col: str = "text", weights: dict | None = None, max_repeats: int = 3, seed: int = 0, max_patterns: int = 20_000) -> tuple[DataFrame, DataFrame]:
@@ -170,9 +216,9 @@ def mix(docs: DataFrame, members: Column, id_col: str = "doc_id", text_col: str
     ``members`` is the array of sources of a row.  Documents: doc_id, members,
     size, taken.  Sources: source, source_size, target.
     """
-    rows, plan, sources = _planned(docs, members, id_col, text_col, weights, max_repeats, seed, max_patterns)
-    cut, last = _cuts(rows, plan)
-    rest = _below(rows, plan, cut).filter(F.col("cut").isNull() | (F.substring("order", 1, 2 * _CELL) != F.col("cut")))
+    rows, plan, sources, few = _planned(docs, members, id_col, text_col, weights, max_repeats, seed, max_patterns)
+    cut, last = _cuts(rows, plan, few)
+    rest = _below(rows, plan, cut, few).filter(F.col("cut").isNull() | (F.substring("order", 1, 2 * _CELL) != F.col("cut")))
     both = rest.select(*last.columns).union(last)
     return both.select("doc_id", "members", "size", (F.col("passes") * F.col("size") + F.col("part")).cast("long").alias("taken")), sources
 
@@ -182,22 +228,24 @@ def by_source(docs: DataFrame, source_col: str = "source", **params) -> DataFram
     taken, sources = mix(docs, F.array(source_col), **params)
     taken = taken.withColumn("source", F.col("members")[0])
     own = sources.withColumnRenamed("source", "of")
-    return taken.join(F.broadcast(own), F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "source", "size", "source_size", "target", "taken")
+    few = own.count() <= params.get("max_patterns", 20_000)
+    return taken.join(_hint(few)(own), F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 def repeat_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict | None = None, max_repeats: int = 3, seed: int = 0, max_patterns: int = 20_000, broadcast_rows: int = 200_000) -> DataFrame:
     """``docs`` as mixed: each row as often as the mix takes it.
 
     The document that a quota cuts stays whole if at least half of it is
-    taken; documents without words stay once.  Texts are not shuffled: rows
+    taken; documents without words stay once; rows that share doc_id and size at
+    the cut are all taken as the fullest of them.  Texts are not shuffled: rows
     compare their place in the seeded order with the cut of their pattern, and
     only the few rows of the cut cells look their part up (in a broadcast of at
     most ``broadcast_rows``, else in a join).
     """
     members = F.array(source_col)
-    rows, plan, _ = _planned(docs, members, id_col, text_col, weights, max_repeats, seed, max_patterns)
-    cut, last = _cuts(rows, plan)
-    own = _below(_ordered(docs, members, id_col, text_col, seed, F.struct(*docs.columns).alias("row")), plan, cut)
+    rows, plan, _, few = _planned(docs, members, id_col, text_col, weights, max_repeats, seed, max_patterns)
+    cut, last = _cuts(rows, plan, few)
+    own = _below(_ordered(docs, members, id_col, text_col, seed, F.struct(*docs.columns).alias("row")), plan, cut, few)
     edge = last.groupBy("pattern", F.substring("order", 1, 2 * _CELL).alias("cut"), "order", "size").agg(F.max("part").alias("at_edge"))
     if edge.count() <= broadcast_rows:
         edge = F.broadcast(edge)
