@@ -212,7 +212,7 @@ def fit_sample(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, se
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 8000, id_col: str = "doc_id", text_col: str = "text", **params) -> Ensemble:
-    sample = with_features(labelled(docs, labels, label, max_rows, id_col, text_col), "text", ["id", "y"]).limit(4 * max_rows).toPandas().sort_values(["id", *FEATURES], kind="stable")
+    sample = with_features(labelled(docs, labels, label, max_rows, id_col, text_col), "text", ["id", "y"]).toPandas().sort_values(["id", *FEATURES], kind="stable")
     return fit_sample(sample[list(FEATURES)].to_numpy(float).reshape(-1, len(FEATURES)), sample["y"].to_numpy(float), **params)
 
 
