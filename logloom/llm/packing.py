@@ -28,13 +28,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, trimmed
+from .common import materialize, slices, small_batches, trimmed
 
 #: The one special token of the vocabulary; texts that hold it go to the slower library.
 _SPECIAL = "<|endoftext|>"
@@ -131,6 +130,7 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, json_path: str | None = None, ranks_path: str | None = None, end_id: int = 2, keep_ids: bool = False) -> DataFrame:
     """Pieces: doc_id, piece, start, length, ids_crc32 and, if asked for, ids; part and nth number them by task and length."""
+    small_batches(docs.sparkSession)
     if json_path is None or ranks_path is None:
         import public_tokenizers as public
 
@@ -234,16 +234,16 @@ def _runs(sequences: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.nd
 def _place(runs):
     """Column function: (sequence_id, offset) of pieces from length and rank."""
 
-    @F.pandas_udf("sequence_id long, offset long")
-    def run(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        length, rank = length.to_numpy(), rank.to_numpy()
+    @F.arrow_udf("sequence_id long, offset long")
+    def run(length: pa.Array, rank: pa.Array) -> pa.Array:
+        length, rank = length.to_numpy(zero_copy_only=False), rank.to_numpy(zero_copy_only=False)
         sequence, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
         for x in np.unique(length).tolist():
             first, base, off = runs.value[x]
             own = np.flatnonzero(length == x)
             i = np.searchsorted(first, rank[own], side="right") - 1
             sequence[own], offset[own] = base[i] + rank[own] - first[i], off[i]
-        return pd.DataFrame({"sequence_id": sequence, "offset": offset})
+        return pa.StructArray.from_arrays([pa.array(sequence), pa.array(offset)], ["sequence_id", "offset"])
 
     return run
 

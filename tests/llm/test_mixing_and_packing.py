@@ -80,6 +80,18 @@ def test_overlapping_sources(spark):
         X.mix(df, F.col("of"), max_patterns=1)
 
 
+def test_many_sources_in_closed_form(spark):
+    """Beyond the patterns that the driver solves, one source a document gives the same mix."""
+    rng = random.Random(3)
+    rows = [(i, " ".join("w" for _ in range(rng.randint(0, 30) if i % 7 else 90)), rng.choice(["a", "b", "c", "d", None, "Ä", "z1", "z2"])) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for weights in (None, {"a": 5, "b": 1, "c": 1, "d": 9, None: 2, "Ä": 1, "z1": 1, "z2": 40}):
+        few, many = (sorted(map(tuple, X.by_source(df, weights=weights, max_patterns=m).collect())) for m in (100, 2))
+        assert few == many
+    repeated = [sorted(map(str, X.repeat_rows(df, max_patterns=m).collect())) for m in (100, 2)]
+    assert repeated[0] == repeated[1]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan(seed):
     rng = random.Random(seed)
