@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import materialize, slices, small_batches
 
 @dataclass(frozen=True)
 class Tables:
@@ -232,6 +232,7 @@ def search(
     seed: int = 0,
 ) -> DataFrame:
     """The ``k`` nearest found of each query: query_id, rank, vec_id, score, compared (its exact comparisons)."""
+    small_batches(rows.sparkSession)
     vectors = materialize(valid_vectors(rows, id_col, vector_col).groupBy("vec_id", "vector", "dim").count(), "ann-vectors")
     asked = valid_vectors(queries, id_col, vector_col).distinct()
     common = vectors.groupBy("dim").agg(F.sum("count").alias("count"), F.count(F.lit(1)).alias("n"), F.countDistinct("vec_id").alias("ids")).orderBy(F.desc("count"), "dim").first()

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, slices, trimmed
+from .common import materialize, slices, small_batches, trimmed
 
 _BLANK = b" \t\n\x0b\x0c\r"
 _NO_ID = -(2**63)
@@ -159,17 +159,17 @@ def repeated_keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int, m
     return found.groupBy("h1", "h2").agg(F.countDistinct("id").alias("n"), F.max("id").alias("keeper")).filter(F.col("n") >= min_docs)
 
 
-def _build(pdf):
-    import pandas as pd
+def _build(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     import pickle
 
-    shard = Shard(pdf["h1"].to_numpy().view(np.uint64), pdf["h2"].to_numpy().view(np.uint64), pdf["n"].to_numpy(), pdf["keeper"].to_numpy())
-    return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "uses": [int(shard.count.sum())], "arrays": [pickle.dumps(shard)]})
+    h1, h2, n, keeper = (rows[c].to_numpy() for c in ("h1", "h2", "n", "keeper"))
+    shard = Shard(h1.view(np.uint64), h2.view(np.uint64), n, keeper)
+    return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "uses": pa.array([int(shard.count.sum())], pa.int64()), "arrays": pa.array([pickle.dumps(shard)], pa.binary())})
 
 
 def build_shards(keys: DataFrame, n_shards: int) -> DataFrame:
     """One row per shard: its number, how many keys of documents it holds in all, and its arrays."""
-    return keys.withColumn("shard", F.pmod("h2", F.lit(n_shards))).groupBy("shard").applyInPandas(_build, "shard long, uses long, arrays binary")
+    return keys.withColumn("shard", F.pmod("h2", F.lit(n_shards))).groupBy("shard").applyInArrow(_build, "shard long, uses long, arrays binary")
 
 
 def _drop(probe, min_chars: int, id_at: int, text_at: int):
@@ -285,6 +285,7 @@ def _dealt_hits(own: DataFrame, shards: DataFrame, n_shards: int, min_chars: int
 def _dedup(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int, shard_keys: int, broadcast_bytes: int, task_keys: int) -> DataFrame:
     """``docs`` with columns c0.. (text replaced) and the three counts."""
     spark = docs.sparkSession
+    small_batches(spark)
     id_at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
     rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     fields = [T.StructField(f"c{i}", T.StringType() if i == text_at else f.dataType) for i, f in enumerate(docs.schema.fields)]

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches
 
 # The three patterns and the least lengths of what they find.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -267,6 +267,7 @@ def discoveries(histogram: dict[int, int], rate: float) -> int:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", battery: float = 1e-3, rate: float = 0.01) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, base string, runs array<struct<a: long, b: long, encoding: string, z: double, fit: double, text: boolean>>"
