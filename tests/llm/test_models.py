@@ -84,13 +84,16 @@ def test_toxicity(spark):
 
 def test_toxic_parts_of_words():
     model = X.Model(["idiot"], np.ones(1), -0.5, np.zeros(X.TOP + 1), 0.0)
-    highest = lambda text: model.decide(sorted(X.units(text))).max()
+    highest = lambda text: model.texts([text], set())[0, 0]
     bare = highest("idiot")
     for text in ["great,idiot", "really/idiot", "kind\u2014idiot", "what...idiot", "a_idiot_b", "idiot,great", "https://example.com/some/longer/path/idiot/page", "great,id-iot"]:
         assert highest(f"so {text} there") == pytest.approx(bare), text
     for at in range(56):  # at every offset of a word of 60 characters
         word = "q" * at + "idiot" + "q" * (55 - at)
         assert highest(word) >= highest("idiot" + "q" * min(10, 55 - at)) - 1e-9 > model.intercept, at
+    for at in range(8):  # inside a word, less than at its start, more than nothing
+        assert model.intercept < highest("q" * at + "idiot" + "q" * (7 - at)) <= bare + 1e-9, at
+    assert highest("i d i o t they said") > model.intercept
     assert "fck" in X.units("oh fck, no") and X.units("ab, c d") == set()
 
 
@@ -125,7 +128,44 @@ def test_subsequence_kernel():
     assert all(lengths[i, j] == lcs("^" + words[i], "^" + words[15 + j]) for i in range(15) for j in range(15))
 
 
-def ppm_bits(text, sample, order):
+def brute_values(part, landmarks):
+    """Kernel values of a part with each landmark, by definition."""
+    s, out = "^" + part, []
+    for mark in landmarks:
+        t = "^" + mark
+        if lcs(s, t) < max(X.P, math.ceil(X.SUPPORT * len(t))):
+            out.append(0.0)
+            continue
+        starts = [0] + [o for o in range(2, len(s)) if s[o] in t[1:4] and len(s) - o >= X.P]
+        stretches = [(s[o : o + len(t) + X.SLACK], X.INNER if o else 1.0) for o in starts]
+        out.append(max(f * brute_kernel(u, t) / math.sqrt(max(1e-300, brute_kernel(u, u) * brute_kernel(t, t))) for u, f in stretches))
+    return out
+
+
+def test_scores_follow_the_definition():
+    rng = random.Random(6)
+    landmarks = ["abcab", "bcca", "cabba"]
+    weights = np.array([1.2, 0.7, -0.4])
+    model = X.Model(landmarks, weights, -0.3, [1.0, 0.5, 0.25, 0.4], -0.2)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(2, 9)))
+    texts = [" ".join(word() + rng.choice(["", "", ".", "!\n", "-" + word()]) for _ in range(rng.randint(1, 8))) for _ in range(60)] + ["", None, "abcab", "abcab", "a b c a b"]
+    got = model.probability(model.texts(texts, set()))
+    for text, p in zip(texts, got, strict=True):
+        values = {u: np.array(brute_values(u, landmarks)) for u in X.units(text)}
+        values = {u: v for u, v in values.items() if v.any() or any(lcs("^" + u, "^" + m) >= max(X.P, math.ceil(X.SUPPORT * (len(m) + 1))) for m in landmarks)}
+        rows, left = [], set(values)
+        for sentence in X.sentences(text or ""):
+            own = X.units(sentence) & values.keys()
+            left -= own
+            if own:
+                rows.append(np.max([values[u] for u in own], axis=0))
+        rows += [values[u] for u in left]
+        top = sorted((float(r @ weights) - 0.3 for r in rows), reverse=True)[: X.TOP]
+        top = [max(v, -0.3) if k else v for k, v in enumerate(top)] + [-0.3] * (X.TOP - len(top))
+        assert p == pytest.approx(model.probability(np.array([top]))[0]), text
+
+
+def ppm_bits(text, sample, order, min_count=0):
     """Code length by walking the counts byte by byte."""
     data, bits = G.fold(text), 0.0
     seen: dict = {}
@@ -135,6 +175,7 @@ def ppm_bits(text, sample, order):
             for o in range(order + 1):
                 seen.setdefault(tuple(s[i - o : i]), {}).setdefault(s[i], 0)
                 seen[tuple(s[i - o : i])][s[i]] += 1
+    seen = {c: n for c, n in seen.items() if not c or sum(n.values()) >= min_count}
     s = [256] * order + list(data)
     for i in range(order, len(s)):
         out: set = set()
@@ -163,10 +204,11 @@ def test_language_code_lengths_are_exact():
     for own in samples:
         grams = np.concatenate([G.grams(G.fold(t), 3) for t in own])
         per.append(np.unique(grams, return_counts=True))
-    trees = G.ContextTrees(["en", "fr"], per, 3, 0)
-    for text in ["the hat", "là été", "zzz \U0001f600 q", "a", "THE CAT"]:
-        got = trees.code_length(G.fold(text))
-        assert got == pytest.approx([ppm_bits(text, s, 3) for s in samples], rel=1e-5)
+    for min_count in (0, 4):
+        trees = G.ContextTrees(["en", "fr"], per, 3, min_count)
+        for text in ["the hat", "là été", "zzz \U0001f600 q", "a", "THE CAT"]:
+            got = trees.code_length(G.fold(text))
+            assert got == pytest.approx([ppm_bits(text, s, 3, min_count) for s in samples], rel=1e-5)
 
 
 def test_language(spark):
@@ -181,8 +223,19 @@ def test_language(spark):
     assert all(out[i]["lang_pred"] == "und" and out[i]["score"] == 0 for i in (900_001, 900_002, 900_003, 700)) and all(0 <= r["score"] <= 1 for r in out.values())
     nothing = G.train(df.limit(0))
     assert {r["lang_pred"] for r in G.predict(df, nothing).collect()} == {"und"} and G.predict(df.limit(0), trees).count() == 0
-    with pytest.raises(ValueError):
-        G.train(df, max_languages=1)
+    small = df.filter("doc_id < 40 or doc_id >= 700").cache()
+    one = {r["doc_id"]: (r["lang_pred"], round(r["score"], 9)) for r in G.predict(small, trees).collect()}
+    known = df.filter(~held_out(df["doc_id"]))
+    for params in ({"block_languages": 2}, {"block_bytes": 1}):
+        several = G.train(known, min_count=0, **params)
+        assert len(several.blocks) > 1 and several.languages == trees.languages
+        assert {r["doc_id"]: (r["lang_pred"], round(r["score"], 9)) for r in G.predict(small, several).collect()} == one
+    # With the settings of the query, against the definition.
+    usual = G.train(known)
+    got = {r["doc_id"]: r["lang_pred"] for r in G.predict(small, usual).collect()}
+    texts = {k: [t for i, t, own in rows if own == k and crc_of(i) % 5] for k in kinds}
+    for i, t, _ in rows[:10]:
+        assert got[i] == min(sorted(kinds), key=lambda k: ppm_bits(t, texts[k], 3, 4))
 
 
 def test_base_spans():
