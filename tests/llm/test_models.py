@@ -50,6 +50,33 @@ def test_quality(spark):
     assert {r["score"] for r in Q.score(df, none).collect()} == {0.5} and Q.score(df.limit(0), none).count() == 0
 
 
+def brute_features(t):
+    """The statistics of a text, counted in plain Python."""
+    import re
+    import unicodedata
+
+    kind = [unicodedata.category(c) for c in t]
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", t) if w]
+    lines = t.split("\n")
+    common = sum(c in ".,;:!?'\"()-" for c in t)
+    symbols = sum(k[0] not in "LN" and c not in " \t\n\x0b\f\r" for c, k in zip(t, kind, strict=True))
+    part = lambda a, b: a / max(b, 1)
+    kinds = len(set(words))
+    return [
+        math.log1p(len(t)), math.log1p(len(words)), part(symbols - common, len(t)), part(common, len(t)), part(sum(k == "Lu" for k in kind), len(t)), part(sum(k[0] == "N" for k in kind), len(t)),
+        part(t.count("!"), len(words)), part(sum(map(len, words)), len(words)), part(kinds, len(words)), math.log1p(kinds) / math.log1p(max(len(words), 1)), part(len(words), kinds),
+        part(len(set(lines)), len(lines)), part(len(words), len(lines)),
+    ]
+
+
+def test_quality_statistics_follow_the_definition(spark):
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("abC É9²!?.,-(\"' \n\t$€~\U0001f600") for _ in range(rng.randint(0, 60))) for _ in range(80)] + ["", "x", "\n\n"]
+    rows = Q.with_features(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), "t", ["i"]).collect()
+    for r in rows:
+        assert [r[n] for n in Q.FEATURES] == pytest.approx(brute_features(texts[r["i"]]), abs=1e-12), texts[r["i"]]
+
+
 def test_lasso_drops_noise():
     rng = np.random.default_rng(0)
     z = rng.random((400, 20))
@@ -280,6 +307,33 @@ def test_secrets_beside_names_and_paths(spark):
     assert sum(out[i]["n_random"] for i in range(200)) == 0
 
 
+def test_battery_follows_the_definitions():
+    rng = random.Random(3)
+    alphabet = string.ascii_letters + string.digits + "+/"
+    pvalues = []
+    for _ in range(600):
+        run = "".join(rng.choice(alphabet) for _ in range(rng.randint(40, 90)))
+        number = {c: i for i, c in enumerate(alphabet)}
+        codes = np.array([number[c] for c in run])
+        # Chi-squared from its definition, then the cube-root transform to a normal value.
+        expected = len(run) / 64
+        x = sum((run.count(c) - expected) ** 2 / expected for c in alphabet)
+        assert S.chi_squared(codes, 64) == pytest.approx(((x / 63) ** (1 / 3) - (1 - 2 / 567)) / math.sqrt(2 / 567))
+        # Runs: changes of class between neighbours against what independent draws would show.
+        kind = ["0" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else "+" for c in run]
+        same = sum((kind.count(k) / len(kind)) ** 2 for k in set(kind))
+        changes = sum(a != b for a, b in zip(kind, kind[1:]))
+        z = (changes - (len(kind) - 1) * (1 - same)) / math.sqrt((len(kind) - 1) * (1 - same) * same)
+        assert S.class_runs(run) == pytest.approx(math.erfc(abs(z) / math.sqrt(2)))
+        a, b = codes[:-1] - codes[:-1].mean(), codes[1:] - codes[1:].mean()
+        r = (a * b).sum() / math.sqrt((a * a).sum() * (b * b).sum())
+        assert S.serial(codes) == pytest.approx(math.erfc(abs(r) * math.sqrt(len(a)) / math.sqrt(2)))
+        pvalues.append((S.upper_tail(S.chi_squared(codes, 64)), S.class_runs(run), S.serial(codes)))
+    # Uniform draws are rejected about as often as the level says.
+    assert all(0.01 <= share <= 0.11 for share in (np.array(pvalues) < 0.05).mean(axis=0))
+    assert min(S.tests("abcdefghijklmnopqrstuvwxyzabcdefghijklmnopqrstuvwxyz")[2], S.tests("a1" * 30)[2]) < 1e-3
+
+
 def test_secret_candidates():
     got = lambda t: [t[a:b] for a, b in S.candidates(t, S.base_spans(t))]
     k = "Xy7" * 8
