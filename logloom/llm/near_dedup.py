@@ -276,7 +276,7 @@ def near_classes(
     percent: int = 80,
     k: int = 32,
     salt_size: int = 4096,
-    short_list: int = 32,
+    short_list: int = 8,
     broadcast_ids: int = 500_000,
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
