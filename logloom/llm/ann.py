@@ -11,8 +11,8 @@ projection, which gives the chance of every bucket; visited are the likeliest
 ones that together hold such a neighbour with probability ``s``, where ``tables``
 tries of ``s`` give ``recall``.  The least chance that is visited, a number for
 each query and table, stands for the whole list of buckets.  ``c`` is fitted on
-a bounded sample (``fit_rows`` rows) and is the k-th best cosine among its different
-vectors that 60 % of them reach.
+a bounded sample (``fit_rows`` rows) and is the k-th best cosine that 60 % of its
+different vectors reach (the rank taken down by the share of rows sampled).
 
 Rows are dealt by the leading bits of their bucket (a region of about
 ``block_rows`` rows).  A query goes to the regions that hold a bucket it visits;
@@ -125,7 +125,8 @@ def fit(vectors: DataFrame, dim: int, n: int, tables: int, recall: float, bucket
         unit = _unit(np.frombuffer(b"".join(sample["vector"]), np.float64).reshape(-1, dim))
         near = unit[:256] @ unit.T
         near[np.arange(len(near)), np.arange(len(near))] = -2
-        at = min(k, len(unit) - 1) - 1
+        # The k-th of all rows is about that many times nearer the top among fewer.
+        at = min(max(1, math.ceil(k * len(unit) / max(1, n))), len(unit) - 1) - 1
         cosine = float(np.clip(np.quantile(-np.partition(-near, at, axis=1)[:, at], 0.4), 0.0, 0.999))
     leading = min(bits, max(0, math.ceil(math.log2(max(1, n) / block_rows))), 40)
     return Tables(lines, cosine, 1 - (1 - recall) ** (1 / tables), leading)
@@ -224,21 +225,25 @@ def search(
     k: int = 5,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
-    tables: int = 8,
+    tables: int | None = None,
     recall: float = 0.94,
     bucket_rows: int = 2,
     fit_rows: int = 4096,
     block_rows: int = 4096,
     seed: int = 0,
 ) -> DataFrame:
-    """The ``k`` nearest found of each query: query_id, rank, vec_id, score, compared (its exact comparisons)."""
+    """The ``k`` nearest found of each query: query_id, rank, vec_id, score, compared (its exact comparisons).
+
+    ``tables``: 8 by default, and 1 for fewer rows than a block holds, where
+    more tables cost more comparisons than they save.
+    """
     small_batches(rows.sparkSession)
     vectors = materialize(valid_vectors(rows, id_col, vector_col).groupBy("vec_id", "vector", "dim").count(), "ann-vectors")
     asked = valid_vectors(queries, id_col, vector_col).distinct()
     common = vectors.groupBy("dim").agg(F.sum("count").alias("count"), F.count(F.lit(1)).alias("n"), F.countDistinct("vec_id").alias("ids")).orderBy(F.desc("count"), "dim").first()
     dim, n, ids = (common["dim"], common["n"], common["ids"]) if common else (1, 0, 0)
     vectors, asked = (v.filter(F.col("dim") == dim).select("vec_id", "vector") for v in (vectors, asked))
-    model = fit(vectors, dim, n, tables, recall, bucket_rows, block_rows, fit_rows, seed, k)
+    model = fit(vectors, dim, n, tables or (8 if n >= block_rows else 1), recall, bucket_rows, block_rows, fit_rows, seed, k)
     index = materialize(vectors.mapInArrow(_indexed(model, dim), _COLUMNS), "ann-index")
 
     def merged(found: DataFrame) -> DataFrame:
