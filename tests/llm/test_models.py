@@ -383,7 +383,7 @@ def test_comparisons_fall_behind_exact_search(spark):
     for n in (400, 4000):
         x = np.random.default_rng(1).standard_normal((n, 32))
         df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-        out = A.search(df, df.filter("vec_id % 50 = 0")).cache()
+        out = A.search(df, df.filter("vec_id % 50 = 0"), tables=8).cache()
         u = x / np.linalg.norm(x, axis=1, keepdims=True)
         near = u[::50] @ u.T
         near[np.arange(len(near)), np.arange(0, n, 50)] = -9
