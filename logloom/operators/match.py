@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.config import MinerConfig
@@ -42,10 +42,12 @@ def _lookup(rules: Rules, strategy: str):
     return run
 
 
-def match(lines: DataFrame, model: DataFrame, config: MinerConfig | None = None, strategy: str = "never", stages: Sequence = (), salts: int = 8) -> DataFrame:
+def match(lines: DataFrame, model: DataFrame, config: MinerConfig | None = None, strategy: str = "never", stages: Sequence = (), salts: int = 8, broadcast_clusters: int = 100_000) -> DataFrame:
     """(msg_id, cluster_id) for each line (msg_id, line); null where no cluster fits.
 
-    ``model`` has cluster_id, template_tokens and size.
+    ``model`` has cluster_id, template_tokens and size.  ``always`` broadcasts
+    it up to ``broadcast_clusters`` clusters, else joins by root key, whose
+    large ones Spark can split.
     """
     config = config or MinerConfig()
     if strategy not in ("never", "fallback", "always"):
@@ -55,10 +57,11 @@ def match(lines: DataFrame, model: DataFrame, config: MinerConfig | None = None,
     known = model.select("cluster_id", F.col("template_tokens").alias("tpl"), "size", tokens.root_key(F.col("template_tokens"), config.engine, config.param_binning).alias("key"))
     if strategy == "always" and config.engine == "position" and config.diff_ratio is None and config.score is None:
         score = similarity.position(F.col("tpl"), F.col("t"), config.param, True)
-        met = rows.join(known, "key").withColumn("s", score).filter("s.similarity >= 1.0")
-        rank = F.row_number().over(Window.partitionBy("msg_id").orderBy(F.desc("s.similarity"), F.desc("s.param_count"), "cluster_id"))
-        best = met.withColumn("r", rank).filter("r = 1").select("msg_id", "cluster_id")
-        return rows.select("msg_id").join(best, "msg_id", "left")
+        small = known.count() <= broadcast_clusters
+        met = rows.join(F.broadcast(known) if small else known, "key").withColumn("s", score).filter("s.similarity >= 1.0")
+        # The best cluster of a line as a maximum, so that tasks combine what they have before the shuffle.
+        best = met.groupBy("msg_id").agg(F.max(F.struct("s.similarity", "s.param_count", (-F.col("cluster_id")).alias("older"))).alias("b"))
+        return rows.select("msg_id").join(best.select("msg_id", (-F.col("b.older")).alias("cluster_id")), "msg_id", "left")
     salted = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
     first = known.select("key", salted, F.lit(0).alias("kind"), F.col("cluster_id").alias("at"), F.array_join("tpl", SEP).alias("joined"), F.col("size").cast("long"))
     then = rows.select("key", F.pmod(F.xxhash64("msg_id"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("kind"), F.col("msg_id").alias("at"), F.array_join("t", SEP).alias("joined"), F.lit(None).cast("long").alias("size"))

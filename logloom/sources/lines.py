@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -46,31 +47,19 @@ def read_line_stream(spark: SparkSession, path: str, files_per_trigger: int = 1)
     return clean(raw.select("value", F.col("_metadata.file_path").alias("file"))).select("file", "line").mapInArrow(_number, "msg_id long, file string, line string")
 
 
+_FIELD = re.compile(r'[ \t]*(?:"((?:[^"]|"")*)(?:"|\Z)[^,]*|([^,]*))(,|\Z)')
+
+
 def split_csv_line(line: str) -> list[str]:
     """Fields of one line: quotes doubled inside quotes, plain fields trimmed."""
-    out, i, n = [], 0, len(line)
+    out, at = [], 0
     while True:
-        while i < n and line[i] in " \t":
-            i += 1
-        if i < n and line[i] == '"':
-            part, i = [], i + 1
-            while i < n:
-                if line[i] == '"' and line[i + 1 : i + 2] == '"':
-                    part.append('"')
-                    i += 2
-                elif line[i] == '"':
-                    break
-                else:
-                    part.append(line[i])
-                    i += 1
-            out.append("".join(part))
-            end = line.find(",", i)
-        else:
-            end = line.find(",", i)
-            out.append(line[i : end if end >= 0 else n].strip())
-        if end < 0:
+        m = _FIELD.match(line, at)
+        quoted, plain, end = m.groups()
+        out.append(plain.strip() if quoted is None else quoted.replace('""', '"'))
+        if not end:
             return out
-        i = end + 1
+        at = m.end()
 
 
 def _fields(line: pd.Series) -> pd.Series:

@@ -256,6 +256,35 @@ def test_metrics(spark):
     assert tuple(ev.evaluate_compact(t, parsed([(i, 1, ["a", "b", "c"]) for i in range(3)])).first()) == (1.0, 1.0, 1.0, 1.0)
 
 
+def brute_csv(line):
+    """Character by character."""
+    out, i, n = [], 0, len(line)
+    while True:
+        while i < n and line[i] in " \t":
+            i += 1
+        part, start = "", i
+        if i < n and line[i] == '"':
+            i += 1
+            while i < n and (line[i] != '"' or line[i + 1 : i + 2] == '"'):
+                part += line[i]
+                i += 2 if line[i] == '"' else 1
+            out.append(part)
+        while i < n and line[i] != ",":
+            i += 1
+        if line[start : start + 1] != '"':
+            out.append(line[start:i].strip())
+        if i >= n:
+            return out
+        i += 1
+
+
+def test_csv_lines():
+    rng = random.Random(9)
+    for _ in range(5000):
+        line = "".join(rng.choice('a" ,\tb') for _ in range(rng.randint(0, 12)))
+        assert src.split_csv_line(line) == brute_csv(line), line
+
+
 def test_csv(spark, tmp_path):
     assert src.split_csv_line('1, a ,"x, ""y"" ",z') == ["1", "a", 'x, "y" ', "z"] and src.split_csv_line("a,") == ["a", ""]
     (tmp_path / "x_structured.csv").write_text("LineId,Level,Content,EventId,EventTemplate\n1,INFO,Packed crates for [oslo, bern, riga],E1,T1\n2,WARN,tiny\n")
