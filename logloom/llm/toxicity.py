@@ -11,8 +11,9 @@ being a character, and each gap character costs a factor ``DECAY``.  The kernel
 is normalised over a stretch of the part as long as the landmark and ``SLACK``
 more, so that what surrounds an insult does not count, and the best stretch of
 the whole part is taken: the one from its start, and those from each of the
-landmark's first letters on (``INNER`` times).  It counts as 0 where the longest common
-subsequence is shorter than ``SUPPORT`` of the landmark.  So "i-d-i0ot" stays
+landmark's first letters on (``INNER`` times).  It counts as 0 where the longest
+common subsequence is shorter than ``SUPPORT`` of the landmark, and for
+stretches that hold fewer of the landmark's characters than that.  So "i-d-i0ot" stays
 close to "idiot", while most words of a corpus are screened out by a
 bit-parallel test.  A sentence's value at a landmark is the best of its parts.
 
@@ -179,10 +180,15 @@ def kernel(x: np.ndarray, landmarks: np.ndarray, self_landmarks: np.ndarray) ->
     for low in range(0, len(pair_row), 10_000):
         i, j = pair_row[low : low + 10_000], pair_mark[low : low + 10_000]
         part = x[rows[i]]
+        same = (part[:, :, None] == landmarks[j][:, None, :]) & (part > 0)[:, :, None]
+        # Characters of the landmark in each stretch; the start mark is in the first one alone.
+        seen = np.concatenate([np.zeros((len(i), 1), np.int64), np.cumsum(same.any(axis=2), axis=1)], axis=1)
+        end = np.minimum(at + (lengths[j] + SLACK)[:, None], WIDTH)
+        enough = np.take_along_axis(seen, end, 1) - seen[:, :-1] >= least[j][:, None] - (at > 0)
         # The first letter lies in the stretch from the start already.
-        starts = (part[:, :, None] == landmarks[j][:, None, 1:4]).any(axis=2) & (part > 0) & (sizes[rows[i]][:, None] - at >= P) & (at > 1)
+        starts = same[:, :, 1:4].any(axis=2) & (at > 1)
         starts[:, 0] = True
-        p, o = np.nonzero(starts)
+        p, o = np.nonzero(starts & enough)
         where = o[:, None] + at
         stretch = np.where((where < WIDTH) & (at < (lengths[j] + SLACK)[p][:, None]), part[p[:, None], np.minimum(where, WIDTH - 1)], 0)
         value = raw_kernel(stretch, landmarks[j[p]]) / np.sqrt(np.maximum(raw_kernel(stretch, stretch) * self_landmarks[j[p]], 1e-300))
