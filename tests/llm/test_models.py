@@ -163,9 +163,10 @@ def brute_values(part, landmarks):
         if lcs(s, t) < max(X.P, math.ceil(X.SUPPORT * len(t))):
             out.append(0.0)
             continue
-        starts = [0] + [o for o in range(2, len(s)) if s[o] in t[1:4] and len(s) - o >= X.P]
+        starts = [0] + [o for o in range(2, len(s)) if s[o] in t[1:4]]
         stretches = [(s[o : o + len(t) + X.SLACK], X.INNER if o else 1.0) for o in starts]
-        out.append(max(f * brute_kernel(u, t) / math.sqrt(max(1e-300, brute_kernel(u, u) * brute_kernel(t, t))) for u, f in stretches))
+        stretches = [(u, f) for u, f in stretches if sum(c in t for c in u) >= max(X.P, math.ceil(X.SUPPORT * len(t))) - (f < 1)]
+        out.append(0.0 if not stretches else max(f * brute_kernel(u, t) / math.sqrt(max(1e-300, brute_kernel(u, u) * brute_kernel(t, t))) for u, f in stretches))
     return out
 
 
