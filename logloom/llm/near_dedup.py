@@ -170,22 +170,36 @@ def _exact(percent: int):
     return run
 
 
+_SIGNS = ("s0", "s1", "s2", "s3")
+
+
+def signature(values: np.ndarray) -> np.ndarray:
+    """256 bits of a set, each the parity of the values that fall on it.
+
+    Two sets differ in at least as many values as their signatures in bits.
+    """
+    odd = np.bincount((values >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sets(words: int):
-    """(doc, rep, n, shingle set as bytes) of texts."""
+    """(doc, rep, n, shingle set as bytes, signature) of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
-                sets = [shingle_set(t, words).tobytes() for t in part.column(1).to_pylist()]
+                values = [shingle_set(t, words) for t in part.column(1).to_pylist()]
+                sets = [v.tobytes() for v in values]
+                signs = np.array([signature(v) for v in values], np.int64).reshape(-1, len(_SIGNS)).T
                 reps, n = [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in sets], [len(x) // 8 for x in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(reps, pa.int64()), pa.array(n, pa.int64()), pa.array(sets, pa.binary())], ["doc", "rep", "n", "set"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(reps, pa.int64()), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), *(pa.array(x) for x in signs)], ["doc", "rep", "n", "set", *_SIGNS])
 
     return run
 
 
 def _sets_of(texts: DataFrame, ids: DataFrame, words: int, broadcast_ids: int) -> DataFrame:
     """The distinct sets of some documents, written; one each but for repeated ids."""
-    own = _texts_of(texts, ids, broadcast_ids).mapInArrow(trimmed(_sets(words)), "doc long, rep long, n long, set binary")
+    own = _texts_of(texts, ids, broadcast_ids).mapInArrow(trimmed(_sets(words)), "doc long, rep long, n long, set binary, " + ", ".join(f"{c} long" for c in _SIGNS))
     return materialize(own.filter("n > 0").dropDuplicates(["doc", "rep"]), "near-sets")
 
 
@@ -252,19 +266,23 @@ def _refined(hot: DataFrame, texts: DataFrame, words: int, percent: int, broadca
     Sets of ``a`` and ``b`` values reach the threshold if they share
     ``percent * (a + b) / (100 + percent)`` values.  If the first one they share,
     in the order of all values, is at place i of the set of ``a`` values, they
-    share ``1 + a - i`` at most, so ``b`` is at most ``reach``.
+    share ``1 + a - i`` at most, so ``b`` is at most ``reach``.  Pairs whose
+    signatures differ in more bits than linked sets may differ in values are out.
     """
     sets = _sets_of(texts, hot.select("doc"), words, broadcast_ids)
     entries = sets.select("doc", "rep", "set").mapInArrow(trimmed(_values), "value long, doc long, rep long")
-    ranked = _ranked(entries, sets.select("doc", "rep", "n", F.col("n").alias("size")))
+    ranked = _ranked(entries, sets.select("doc", "rep", "n", F.col("n").alias("size"), *_SIGNS))
     reach = F.floor((1 + F.col("n") - F.col("place")) * (100 + percent) / percent + 1e-9).cast("long") - F.col("n")
     placed = ranked.withColumn("reach", reach).filter(F.col("reach") * 100 >= F.col("n") * percent)
-    mixed = _mixed(placed.select("value", "doc", "n", "reach").join(hot, "doc")).withColumn("band", F.floor(F.log("n") * 50).cast("int"))
+    mixed = _mixed(placed.select("value", "doc", "n", "reach", *_SIGNS).join(hot, "doc")).withColumn("band", F.floor(F.log("n") * 50).cast("int"))
     bands = mixed.groupBy("value", "band").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("reach").alias("furthest"))
     left, right = mixed.filter("comp <> main").drop("band").alias("l"), mixed.alias("r")
     asked = left.join(bands, "value").filter(f"low <= l.reach and high * 100 >= l.n * {percent} and l.n <= furthest")
-    asked = asked.select("value", "band", *[F.col(f"l.{c}").alias(f"l_{c}") for c in ("doc", "comp", "n", "reach")])
-    met = asked.join(right, ["value", "band"]).filter("l_comp <> r.comp and r.n <= l_reach and l_n <= r.reach").filter(~_far("l_n", "r.n", percent))
+    asked = asked.select("value", "band", *[F.col(f"l.{c}").alias(f"l_{c}") for c in ("doc", "comp", "n", "reach", *_SIGNS)])
+    differ = sum((F.bit_count(F.col(f"l_{c}").bitwiseXOR(F.col(f"r.{c}"))) for c in _SIGNS), F.lit(0))
+    both = F.col("l_n") + F.col("r.n")
+    alike = differ <= both - 2 * F.ceil(both * percent / (100 + percent) - 1e-9)
+    met = asked.join(right, ["value", "band"]).filter("l_comp <> r.comp and r.n <= l_reach and l_n <= r.reach").filter(~_far("l_n", "r.n", percent) & alike)
     return met.select(F.least("l_doc", "r.doc").alias("a"), F.greatest("l_doc", "r.doc").alias("b")).distinct()
 
 
