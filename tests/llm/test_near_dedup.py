@@ -117,6 +117,15 @@ def test_exact_check_in_parts(spark):
     assert {tuple(r) for r in N._verified(pairs, reps, texts, 2, 32, 80, 0, head_rows=7).collect()} == {(0, i) for i in range(1, 40)}
 
 
+def test_signatures_bound_the_difference():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        pool = rng.integers(0, 2**64 - 1, 120, dtype=np.uint64)
+        a, b = (np.unique(pool[rng.random(120) < rng.random()]) for _ in range(2))
+        bits = sum(int(x).bit_count() for x in (N.signature(a) ^ N.signature(b)).view(np.uint64))
+        assert bits <= len(np.setxor1d(a, b))
+
+
 def test_bounds_and_union():
     assert N.tail_bound(32, 0.8) >= 8
     assert N.prefix_length(10, 32, 80) == 3 and N.prefix_length(1, 32, 80) == 1
