@@ -18,8 +18,8 @@ A document's set holds the 64-bit hashes of its distinct word shingles; the
    of its own) and, on its longest list, its neighbour in a seeded order.  The links found merge most
    of a group of near copies.  Then, for lists that still hold more than one
    component, members outside the list's largest component meet the members of
-   other components.  Where such a list is long, its documents are first listed
-   anew by their full sets, each entry with its place in the order.  The first
+   other components.  Documents whose lists have more members than their set has
+   values are first listed anew by their full sets, each entry with its place in the order.  The first
    value that two sets share bounds how much they can share after it, so an
    entry states the largest partner it can still be linked with, and members
    meet through classes of size that both bounds admit (``_refined``).  Thousands
@@ -294,15 +294,15 @@ def near_classes(
     percent: int = 80,
     k: int = 32,
     salt_size: int = 4096,
-    short_list: int = 8,
+    list_cost: float = 1.0,
     broadcast_ids: int = 500_000,
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     ``percent``: least similarity, as 100 * intersection >= percent * union.
     ``salt_size``: members of one list that share a task while neighbours are
-    paired.  ``short_list``: longest list of sketch values whose members are
-    paired at once; those of longer ones are listed by their full sets first.
+    paired.  ``list_cost``: a document is listed by its full set where its lists
+    of sketch values have more members than this many times its values.
     ``broadcast_ids``: most ids (8 bytes each) that are broadcast to
     fetch texts; more are joined by a shuffle.
     """
@@ -325,11 +325,13 @@ def near_classes(
     found = components(links)
 
     mixed = _mixed(lists.select("value", "doc", "n").join(found.toDF("doc", "comp"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc")))
-    hot = materialize(mixed.filter(F.col("length") > short_list).select("doc", "comp").distinct(), "near-hot")
-    # Pairs of two documents on long lists are found by their full sets, whatever lists they share.
-    short = mixed.filter(F.col("length") <= short_list).join(hot.select("doc", F.lit(True).alias("hot")), "doc", "left")
-    short = materialize(short.withColumn("hot", F.coalesce("hot", F.lit(False))), "near-short")
-    left, right = short.filter("comp <> main").alias("l"), short.alias("r")
+    # A document whose lists are longer in all than its set is listed anew; the pairs of the
+    # others are fewer than their values.  Pairs of two listed anew are found by their full sets.
+    loads = mixed.groupBy("doc", "comp").agg(F.sum("length").alias("load"), F.max("n").alias("most"))
+    hot = materialize(loads.filter(F.col("load") > list_cost * F.col("most")).select("doc", "comp"), "near-hot")
+    marked = mixed.join(hot.select("doc", F.lit(True).alias("hot")), "doc", "left")
+    marked = materialize(marked.withColumn("hot", F.coalesce("hot", F.lit(False))), "near-marked")
+    left, right = marked.filter("comp <> main").alias("l"), marked.alias("r")
     cross = left.join(right, "value").filter("l.comp <> r.comp and not (l.hot and r.hot)").filter(~_far("l.n", "r.n", percent)).select(F.least("l.doc", "r.doc").alias("a"), F.greatest("l.doc", "r.doc").alias("b"))
     more = cross.union(_refined(hot, texts, words, percent, broadcast_ids)).distinct().join(first, ["a", "b"], "left_anti")
     labels = components(links.union(_verified(more, reps, texts, words, k, percent, broadcast_ids)))
