@@ -41,7 +41,7 @@ def family(rng, size, length, edits, vocabulary):
     return out
 
 
-@pytest.mark.parametrize("seed,words,params", [(0, 2, {}), (1, 2, {"short_list": 2, "salt_size": 8}), (2, 5, {"short_list": 0, "broadcast_ids": 0, "k": 16})])
+@pytest.mark.parametrize("seed,words,params", [(0, 2, {}), (1, 2, {"list_cost": 0.05, "salt_size": 8}), (2, 5, {"list_cost": 0.0, "broadcast_ids": 0, "k": 16})])
 def test_matches_brute_force(spark, seed, words, params):
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(300)]
