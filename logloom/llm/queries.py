@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann as _ann
+from . import bpe as _bpe
+from . import collocations as _phrases
 from . import exact_dedup as _exact
 from . import language_id as _language
 from . import line_dedup as _lines
@@ -15,6 +17,7 @@ from . import packing as _packing
 from . import quality as _quality
 from . import secret_scan as _secrets
 from . import toxicity as _toxicity
+from . import vector_codes as _codes
 from .common import held_out, table
 
 
@@ -62,6 +65,53 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near.near_classes(table(spark, sf_dir, "documents"), words=2)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _codes.codes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bpe.digests(_bpe.round_trip(table(spark, sf_dir, "documents")))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Assignments and floored means, round by round."""
+
+    def nearest(books: str) -> str:
+        distances = f"SELECT v.rn, v.p, b.e, list_sum(list_transform(list_zip(v.x, b.x), lambda t: (t[1] - t[2]) * (t[1] - t[2])))::HUGEINT AS d FROM v JOIN {books} b USING (p)"
+        return f"SELECT rn, p, min(d) AS d, arg_min(e, (d, e)) AS e FROM ({distances}) GROUP BY rn, p"
+
+    steps = []
+    for k in range(rounds):
+        steps.append(f"""a{k} AS MATERIALIZED ({nearest(f"b{k}")}),
+m{k} AS (
+  SELECT p, e, list(s ORDER BY i) AS x FROM (
+    SELECT p, e, i, (sum(y) - ((sum(y) % count(*)) + count(*)) % count(*)) // count(*) AS s FROM (
+      SELECT a.p, a.e, generate_subscripts(v.x, 1) AS i, unnest(v.x)::HUGEINT AS y FROM a{k} a JOIN v USING (rn, p)
+    ) GROUP BY p, e, i
+  ) GROUP BY p, e
+), b{k + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.x::HUGEINT[], b.x) AS x FROM b{k} b LEFT JOIN m{k} m USING (p, e)
+)""")
+    return f"""
+WITH k AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rn, vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 4096)::HUGEINT) AS x
+  FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), v AS MATERIALIZED (
+  SELECT rn, p, x[p * len(x) // {parts} + 1 : (p + 1) * len(x) // {parts}] AS x FROM k, range({parts}) t(p)
+), b0 AS (SELECT p, rn - 1 AS e, x FROM v WHERE rn <= {entries}),
+{", ".join(steps)},
+f AS ({nearest(f"b{rounds}")}),
+r AS (SELECT rn, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM f GROUP BY rn),
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+FROM k JOIN r USING (rn), h
+"""
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_exact_dedup": op2_exact_dedup,
@@ -73,6 +123,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_language_id": op9_language_id,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_bpe": op12_bpe,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES = {
@@ -144,5 +197,31 @@ SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles,
        least(d.doc_id, coalesce(min(r.reach), d.doc_id)) AS component_id,
        d.doc_id <= coalesce(min(r.reach), d.doc_id) AS kept
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id) GROUP BY d.doc_id
+""",
+    "op11_vector_codes": _codes_sql(),
+    "op13_collocations": r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS t FROM p),
+n AS (SELECT lang, sum(len(t))::HUGEINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(t) - k + 2), lambda i: array_to_string(t[i : i + k - 1], ' '))) AS phrase FROM w, range(1, 6) o(k)),
+f AS MATERIALIZED (SELECT lang, k AS order_, phrase, count(*)::HUGEINT AS c FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (
+  SELECT f.lang, f.phrase, f.order_, f.c AS a, n.n, cut, array_to_string(string_split(f.phrase, ' ')[1:cut], ' ') AS head,
+         array_to_string(string_split(f.phrase, ' ')[cut + 1:], ' ') AS rest
+  FROM f JOIN n USING (lang), range(1, 5) o(cut) WHERE f.order_ > cut
+), s AS (
+  SELECT c.lang, c.phrase, c.a, c.n, x.c AS l, y.c AS r, cut, (1000 * c.a * c.n) // (x.c * y.c) AS score
+  FROM c JOIN f x ON x.lang = c.lang AND x.phrase = c.head JOIN f y ON y.lang = c.lang AND y.phrase = c.rest
+), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+i AS (
+  SELECT DISTINCT lang, inner_ AS phrase FROM (
+    SELECT lang, c, unnest([array_to_string(string_split(phrase, ' ')[2:], ' '), array_to_string(string_split(phrase, ' ')[:-2], ' ')]) AS inner_ FROM f WHERE order_ > 2
+  ) j WHERE c >= (SELECT f.c FROM f WHERE f.lang = j.lang AND f.phrase = j.inner_)
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r,
+       n::BIGINT AS n, score::BIGINT AS score
+FROM b ANTI JOIN i USING (lang, phrase) QUALIFY rank <= 2000
 """,
 }
