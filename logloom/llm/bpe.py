@@ -21,8 +21,10 @@ from __future__ import annotations
 import functools
 import json
 import re
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 from heapq import heapify, heappop, heappush
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +33,18 @@ from pyspark.sql import functions as F
 
 from .common import slices, small_batches, trimmed
 
-Merges = dict[tuple[int, int], tuple[int, int]]
-
 #: White space of the vocabulary's pattern, which has no control characters beyond TAB..CR.
 _SPACE = r"[^\S\x1c-\x1f]"
 #: Runs of white space that are more than one blank or line end between two words.
 _RUNS = re.compile(rf"({_SPACE}{{2,}}|\A{_SPACE}|{_SPACE}\Z)")
+# The vocabulary's pattern for text of Latin letters, ASCII digits and marks with one blank or line end between
+# words; these characters are of one kind in every version of Unicode.
+_LATIN = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_MARKS = r"!-/:-@\[-`{-~"
+_PLAIN = re.compile(rf"[{_LATIN}0-9{_MARKS} \n]*")
+_WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[{_MARKS}]+|\n")
+_GAPS = ("  ", "\n\n", " \n", "\n ")
+_SHIFT = 32
 
 
 def byte_alphabet() -> list[str]:
@@ -46,37 +54,63 @@ def byte_alphabet() -> list[str]:
     return [chr(b if b in shown else next(others)) for b in range(256)]
 
 
-def merge(symbols: list[int], merges: Merges) -> list[int]:
-    """What is left of ``symbols`` (changed in place) when no merge applies; ``merges`` gives (rank, id) of a pair."""
-    ahead, behind = [*range(1, len(symbols)), -1], [*range(-1, len(symbols) - 1)]
-    queue = [(m[0], i, m[1], *pair) for i, pair in enumerate(zip(symbols, symbols[1:], strict=False)) if (m := merges.get(pair))]
+def merge(symbols: list[int], ranks: dict[int, int], made: list[int]) -> list[int]:
+    """What is left of ``symbols`` (changed in place) when no merge applies.
+
+    ``ranks``: rank of a pair, given as ``left << 32 | right``; ``made``: the
+    symbol that the merge of a rank gives.  An entry of the queue is a rank and
+    a place in one number; it is stale unless the pair at that place still has
+    that rank.
+    """
+    n, get = len(symbols), ranks.get
+    shift = n.bit_length()
+    mask = (1 << shift) - 1
+    rank_at = [get(a << _SHIFT | b, -1) for a, b in pairwise(symbols)]
+    queue = [r << shift | i for i, r in enumerate(rank_at) if r >= 0]
+    if not queue:
+        return symbols
     heapify(queue)
+    rank_at.append(-1)
+    ahead, behind = list(range(1, n + 1)), list(range(-1, n - 1))
     while queue:
-        _, i, new, left, right = heappop(queue)
-        j = ahead[i]
-        if symbols[i] != left or j < 0 or symbols[j] != right:
-            continue  # stale: one of the two has been merged
-        symbols[i], symbols[j] = new, -1
+        entry = heappop(queue)
+        i, rank = entry & mask, entry >> shift
+        if rank_at[i] != rank:
+            continue
+        j, new = ahead[i], made[rank]
+        symbols[i], symbols[j], rank_at[j] = new, -1, -1
         ahead[i] = k = ahead[j]
-        if k >= 0:
+        if k < n:
             behind[k] = i
-            if m := merges.get((new, symbols[k])):
-                heappush(queue, (m[0], i, m[1], new, symbols[k]))
-        if (k := behind[i]) >= 0 and (m := merges.get((symbols[k], new))):
-            heappush(queue, (m[0], k, m[1], symbols[k], new))
+            rank_at[i] = r = get(new << _SHIFT | symbols[k], -1)
+            if r >= 0:
+                heappush(queue, r << shift | i)
+        else:
+            rank_at[i] = -1
+        k = behind[i]
+        if k >= 0:
+            rank_at[k] = r = get(symbols[k] << _SHIFT | new, -1)
+            if r >= 0:
+                heappush(queue, r << shift | k)
     return [s for s in symbols if s >= 0]
 
 
 class _Words(dict):
-    """Ids by word, found when first asked for; it starts anew when it is full."""
+    """Ids by word, found when first asked for.
 
-    def __init__(self, find, most: int = 200_000, longest: int = 40):
-        self.find, self.most, self.longest = find, most, longest
+    When ``most`` are held, those not asked for since the last time go.
+    """
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = self.find(word)
+    def __init__(self, find, most: int, longest: int = 40):
+        self.find, self.most, self.longest, self.older = find, most, longest, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.find(word)
         if len(word) <= self.longest:
             if len(self) >= self.most:
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -98,69 +132,83 @@ class Vocabulary:
             raise ValueError("special strings that take blanks with them are not supported")
         ids = model["vocab"]
         self.special = {t["content"]: t["id"] for t in added}
-        self.merges: Merges = {}
+        self.ranks: dict[int, int] = {}
+        self.made: list[int] = []
         for rank, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[ids[left], ids[right]] = rank, ids[left + right]
+            self.ranks[ids[left] << _SHIFT | ids[right]] = rank
+            self.made.append(ids[left + right])
         letters = byte_alphabet()
         self._symbol = {c: ids[c] for c in letters}
+        self._byte = [ids[c] for c in letters]
         value = {c: b for b, c in enumerate(letters)}
         strings = ids | self.special
-        self.strings = [b""] * (1 + max(strings.values()))
+        self.strings = np.full(1 + max(strings.values()), b"", object)
         for text, i in strings.items():
             self.strings[i] = bytes(value[c] for c in text) if all(c in value for c in text) else text.encode()
         self._pieces = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
         self._split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self._bare, self._spaced = _Words(self._word), _Words(lambda w: self._word(" " + w))
-        self._line_end = self._word("\n")
+        self._known, self._chunks = _Words(self._merged, 400_000), _Words(self._word, 50_000)
+
+    def _merged(self, word: str) -> bytes:
+        """Ids of one word of the pattern, as 32-bit numbers."""
+        return array("I", merge([self._byte[b] for b in word.encode()], self.ranks, self.made)).tobytes()
 
-    def _word(self, text: str) -> tuple[int, ...]:
-        """Ids of a text by the vocabulary's pattern and merges."""
+    def _word(self, text: str) -> bytes:
+        """Ids of a text that the vocabulary's pattern has to split."""
         symbol = self._symbol
-        return tuple(i for piece, _ in self._pieces(text) for i in merge([symbol[c] for c in piece], self.merges))
+        return b"".join(array("I", merge([symbol[c] for c in piece], self.ranks, self.made)).tobytes() for piece, _ in self._pieces(text))
 
-    def _stretch(self, text: str, spaced: bool, out: list[tuple[int, ...]]) -> None:
-        """Words with one blank or line end between them: each depends on itself alone."""
+    def _stretch(self, text: str, out: list[bytes]) -> None:
+        """Words with one blank or line end between them; a blank may come first."""
+        if _PLAIN.fullmatch(text):
+            out.extend(map(self._known.__getitem__, _WORD.findall(text)))
+            return
         for n, line in enumerate(text.split("\n")):
             if n:
-                out.append(self._line_end)
-            first, *rest = line.split(" ")
-            out.append((self._spaced if spaced and not n else self._bare)[first])
-            out.extend(map(self._spaced.__getitem__, rest))
-
-    def _plain(self, text: str, out: list[tuple[int, ...]]) -> None:
+                out.append(self._known["\n"])
+            if _PLAIN.fullmatch(line):
+                out.extend(map(self._known.__getitem__, _WORD.findall(line)))
+            else:  # what stands between blanks is split without a look at the rest
+                first, *rest = line.split(" ")
+                out.extend(self._chunks[c] for c in ([first] if first else []) + [" " + c for c in rest])
+
+    def _plain(self, text: str, out: list[bytes]) -> None:
         """A text without special strings.
 
         Of a run of white space before a word, the last character is a word of
         its own or, if it is a blank, begins the next; all before is one word.
         """
+        if _PLAIN.fullmatch(text) and not any(g in text for g in _GAPS) and text[0] not in " \n" and text[-1] not in " \n":
+            out.extend(map(self._known.__getitem__, _WORD.findall(text)))  # the common case, which has no such run
+            return
         parts, spaced = _RUNS.split(text), False
         for i in range(0, len(parts), 2):
             if parts[i]:
-                self._stretch(parts[i], spaced, out)
+                self._stretch(" " + parts[i] if spaced else parts[i], out)
             if i + 1 < len(parts):
                 run, ends = parts[i + 1], i + 3 >= len(parts) and not parts[i + 2]
                 spaced = run[-1] == " " and not ends
                 for word in (run,) if ends else (run[:-1],) if spaced else (run[:-1], run[-1]):
                     if word:
-                        out.append(self._bare[word])
+                        out.append(self._chunks[word])
 
-    def encode(self, text: str | None) -> Iterable[int]:
+    def encode(self, text: str | None) -> np.ndarray:
         """Ids of a whole text."""
-        out: list[tuple[int, ...]] = []
+        out: list[bytes] = []
         if text and self.special and any(s in text for s in self.special):
             for part in self._split.split(text):
                 if part in self.special:
-                    out.append((self.special[part],))
+                    out.append(array("I", [self.special[part]]).tobytes())
                 elif part:
                     self._plain(part, out)
         elif text:
             self._plain(text, out)
-        return [i for ids in out for i in ids]
+        return np.frombuffer(b"".join(out), np.uintc)
 
-    def decode(self, ids: Iterable[int]) -> str:
+    def decode(self, ids: Sequence[int] | np.ndarray) -> str:
         """The text of ids; bytes that are not UTF-8 become the replacement character."""
-        return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
+        return b"".join(self.strings[np.asarray(ids, np.int64)].tolist()).decode("utf-8", "replace")
 
 
 @functools.lru_cache(maxsize=2)
@@ -176,10 +224,10 @@ def _path(path: str | None) -> str:
     return str(path)
 
 
-def _lists(rows: list[list[int]]) -> pa.ListArray:
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
     ends = np.zeros(len(rows) + 1, np.int32)
     np.cumsum([len(r) for r in rows], out=ends[1:])
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter((i for r in rows for i in r), np.int32, int(ends[-1]))))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.zeros(0, np.uintc)]).astype(np.int32)))
 
 
 def _coder(path: str, decoded: bool):
