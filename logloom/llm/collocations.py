@@ -2,11 +2,14 @@
 
 1. *Words.*  Tasks count words by language; sums give n and the words that are
    frequent enough to be in a phrase.
-2. *Pairs.*  A phrase is as frequent as each of its parts at most.  Tasks count
-   fingerprints of neighbouring words that may both be frequent.
-3. *Phrases* of two to ``longest`` words whose neighbouring pairs may all be
+2. *Pairs and triples.*  A phrase is as frequent as each of its parts at most.
+   Tasks count fingerprints of neighbouring words that may both be frequent, then
+   of three words whose pairs may both be.
+3. *Phrases* of two to ``longest`` words whose pairs and triples may all be
    frequent are counted exactly, as text.  What "may be" is a bitmap of fixed
-   size: a bit that is set for another word or pair costs a row, never a phrase.
+   size: a bit that is set for another word or pair costs a count, never a phrase.
+   Counts of a task travel as sorted blocks, cut at fixed places of the order, and
+   are merged place by place.
 4. *Streams.*  Frequent words and phrases are sorted by their words read
    backwards (suffix order).  There each phrase follows its own endings, so one
    pass with a stack of open phrases meets the counts of all endings of a phrase
@@ -125,67 +128,161 @@ def has_bits(bits: np.ndarray, prints: np.ndarray) -> np.ndarray:
     return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def _counted(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate(codes), return_counts=True) if codes else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+class _Marks:
+    """What may be frequent at each place of a run of words."""
 
+    def __init__(self, coder: _Coder, words: list[bytes], pairs: np.ndarray | None, triples: np.ndarray | None):
+        self.ids = coder(words)
+        self.own = coder.prints[self.ids]
+        often = coder.often[self.ids]
+        pair = often[:-1] & often[1:]
+        at = np.flatnonzero(pair)
+        self.pair_prints = np.zeros(len(pair), np.uint64)
+        self.pair_prints[at] = pair_fingerprints(self.own[at], self.own[at + 1])
+        if pairs is not None:
+            pair[at] = has_bits(pairs, self.pair_prints[at])
+        self.pair = pair
+        triple = pair[:-1] & pair[1:]
+        if triples is not None:
+            at = np.flatnonzero(triple)
+            triple[at] = has_bits(triples, self.triple_prints(at))
+        self.triple = triple
 
-def _pairs(words: Broadcast):
-    """(print, n): fingerprints of pairs of words that may be frequent, counted within a task."""
+    def triple_prints(self, at: np.ndarray) -> np.ndarray:
+        return pair_fingerprints(self.pair_prints[at], self.own[at + 2])
+
+
+def _coded(batches: Iterator[pa.RecordBatch], words: np.ndarray) -> Iterator[tuple[_Coder, list[bytes]]]:
+    """Words of some texts at a time with the numbers of their language's words."""
+    coders: dict[str, _Coder] = {}
+    for lang, texts in _by_lang(batches):
+        yield coders.setdefault(lang, _Coder(lang, words)), texts
+        if sum(len(c.names) for c in coders.values()) > _HELD // 8:
+            coders.clear()
+
+
+def _blocks(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Runs of equal numbers in a sorted array."""
+    if not len(bucket):
+        return
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    for low, high in zip(starts.tolist(), [*starts[1:].tolist(), len(bucket)], strict=True):
+        yield int(bucket[low]), slice(low, high)
+
+
+def _prints(words: Broadcast, pairs: Broadcast | None, log_buckets: int):
+    """Blocks (bucket, keys, counts) of the fingerprints of pairs, or of triples where the pairs' bitmap is given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coders: dict[str, _Coder] = {}
         held: list[np.ndarray] = []
 
         def told() -> pa.RecordBatch:
-            prints, n = _counted(held)
+            prints, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(prints.astype(np.uint64).view(np.int64)), pa.array(n, pa.int64())], ["print", "n"])
-
-        for lang, texts in _by_lang(batches):
-            coder = coders.setdefault(lang, _Coder(lang, words.value))
-            ids = coder(texts)
-            own = coder.often[ids]
-            at = np.flatnonzero(own[:-1] & own[1:])
-            held.append(pair_fingerprints(coder.prints[ids[at]], coder.prints[ids[at + 1]]))
+            own = [(k, prints[i].tobytes(), n[i].astype(np.int64).tobytes()) for k, i in _blocks(prints >> np.uint64(64 - log_buckets))]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in own], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["bucket", "keys", "counts"])
+
+        for coder, texts in _coded(batches, words.value):
+            marks = _Marks(coder, texts, pairs and pairs.value, None)
+            held.append(marks.triple_prints(np.flatnonzero(marks.triple)) if pairs else marks.pair_prints[marks.pair])
             if sum(map(len, held)) > _HELD:
                 yield told()
-            if sum(len(c.names) for c in coders.values()) > _HELD // 8:
-                coders.clear()
         yield told()
 
     return run
 
 
-def _phrases(words: Broadcast, pairs: Broadcast, longest: int):
-    """(lang, phrase, n) of a batch: two words or more, each neighbouring pair of which may be frequent."""
+def _frequent_prints(least: int):
+    """Blocks of ``_prints`` in order of bucket -> fingerprints counted ``least`` times or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, keys, counts = None, [], []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            key, at = np.unique(np.concatenate(keys), return_inverse=True)
+            return key, np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
+
+        def told() -> pa.RecordBatch:
+            key, n = merged() if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(key[n >= least].view(np.int64))], ["print"])
+
+        for batch in batches:
+            for b, key, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if b != bucket:
+                    yield told()
+                    bucket, keys, counts = b, [], []
+                keys.append(np.frombuffer(key, np.uint64))
+                counts.append(np.frombuffer(n, np.int64))
+                if len(keys) > 1 and sum(map(len, keys)) > max(_HELD, 2 * len(keys[0])):
+                    key, total = merged()
+                    keys, counts = [key], [total]
+        yield told()
+
+    return run
+
+
+def _phrases(words: Broadcast, pairs: Broadcast, triples: Broadcast, longest: int, log_buckets: int):
+    """Blocks (bucket, lang, phrases, counts) of a task: two words or more, of which all pairs and triples may be frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coders: dict[str, _Coder] = {}
-        for lang, texts in _by_lang(batches):
-            coder = coders.setdefault(lang, _Coder(lang, words.value))
-            ids = coder(texts)
-            own = coder.often[ids]
-            good = own[:-1] & own[1:]
-            at = np.flatnonzero(good)
-            good[at] = has_bits(pairs.value, pair_fingerprints(coder.prints[ids[at]], coder.prints[ids[at + 1]]))
-            names, phrase = coder.names, ids  # phrase: number of the one that begins at a place
+        held: dict[str, Counter] = defaultdict(Counter)
+
+        def told() -> pa.RecordBatch:
+            rows = []
+            for lang, counts in held.items():
+                texts, n = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
+                place = np.fromiter(map(xxhash.xxh3_64_intdigest, texts), np.uint64, len(texts)) >> np.uint64(64 - log_buckets)
+                order = np.argsort(place, kind="stable")
+                rows += [(k, lang, _MARK.join([texts[j] for j in order[i]]), n[order[i]].tobytes()) for k, i in _blocks(place[order])]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.string(), pa.binary(), pa.binary()))], ["bucket", "lang", "phrases", "counts"])
+
+        for coder, texts in _coded(batches, words.value):
+            marks = _Marks(coder, texts, pairs.value, triples.value)
+            names, phrase = coder.names, marks.ids  # phrase: number of the one that begins at a place
             known = np.arange(len(names))[:, None]
-            at = np.flatnonzero(good)
+            at = np.flatnonzero(marks.pair)
             for order in range(2, longest + 1):
+                if order > 2:
+                    at = at[at + order - 3 < len(marks.triple)]
+                    at = at[marks.triple[at + order - 3]]
                 if not len(at):
                     break
                 # A phrase is the number of its beginning and its last word.
-                codes, inverse, n = np.unique(phrase[at] * len(names) + ids[at + order - 1], return_inverse=True, return_counts=True)
-                before, last = codes // len(names), codes % len(names)
-                known = np.concatenate([known[before], last[:, None]], axis=1)
-                texts_of = [b" ".join([names[i] for i in row]) for row in known.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(texts_of, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], ["lang", "phrase", "n"])
-                phrase = np.zeros(len(ids), np.int64)
+                codes, inverse, n = np.unique(phrase[at] * len(names) + marks.ids[at + order - 1], return_inverse=True, return_counts=True)
+                known = np.concatenate([known[codes // len(names)], (codes % len(names))[:, None]], axis=1)
+                own = held[coder.lang]
+                for row, count in zip(known.tolist(), n.tolist(), strict=True):
+                    own[b" ".join([names[i] for i in row])] += count
+                phrase = np.zeros(len(marks.ids), np.int64)
                 phrase[at] = inverse
-                at = at[at + order - 1 < len(good)]
-                at = at[good[at + order - 1]]
-            if sum(len(c.names) for c in coders.values()) > _HELD // 8:
-                coders.clear()
+            if sum(map(len, held.values())) > _HELD // 8:
+                yield told()
+        yield told()
+
+    return run
+
+
+def _frequent_phrases(least: int):
+    """Blocks of ``_phrases`` in order of bucket -> (lang, phrase, a) of those counted ``least`` times or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, defaultdict(Counter)
+
+        def told() -> pa.RecordBatch:
+            rows = [(lang, text, n) for lang, counts in held.items() for text, n in counts.items() if n >= least]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary()).cast(pa.string()), pa.array([r[2] for r in rows], pa.int64())], ["lang", "phrase", "a"])
+
+        for batch in batches:
+            for b, lang, texts, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if b != bucket:
+                    yield told()
+                    bucket = b
+                own = held[lang]
+                for text, count in zip(texts.split(_MARK), np.frombuffer(n, np.int64).tolist(), strict=True):
+                    own[text] += count
+        yield told()
 
     return run
 
@@ -316,21 +413,31 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["lang", "phrase", "a", "n", "score", "l", "r", "wider"])
 
 
-def frequent(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 100, longest: int = 5, log_bits: int = 26) -> DataFrame:
+def frequent(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 100, longest: int = 5, log_bits: int = 26, log_buckets: int = 12) -> DataFrame:
     """(lang, phrase, a, n): words and phrases found ``least`` times or more, and the words of their language.
 
-    ``log_bits``: size of the two bitmaps (2 ** 26 bits are 8 MB).
+    ``log_bits``: size of the bitmaps (2 ** 26 bits are 8 MB).  ``log_buckets``:
+    into how many places blocks of counts are cut; a task merges one at a time.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     words = rows.mapInArrow(trimmed(_words), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("a"))
     words = materialize(words, "phrase-words")
     common = words.filter(F.col("a") >= least)
     word_bits = _bitmap(common.select("lang", "word").mapInArrow(_word_prints, "print long"), log_bits)
-    pairs = rows.mapInArrow(trimmed(_pairs(word_bits)), "print long, n long").groupBy("print").agg(F.sum("n").alias("a"))
-    pair_bits = _bitmap(materialize(pairs.filter(F.col("a") >= least).select("print"), "phrase-pairs"), log_bits)
-    phrases = rows.mapInArrow(trimmed(_phrases(word_bits, pair_bits, longest)), "lang string, phrase string, n long")
-    phrases = phrases.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
+
+    def merged(blocks: DataFrame, least_of, schema: str) -> DataFrame:
+        return blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(least_of(least)), schema)
+
+    def bits(pairs: Broadcast | None) -> Broadcast:
+        blocks = rows.mapInArrow(trimmed(_prints(word_bits, pairs, log_buckets)), "bucket int, keys binary, counts binary")
+        return _bitmap(materialize(merged(blocks, _frequent_prints, "print long"), "phrase-prints"), log_bits)
+
+    pair_bits = bits(None)
+    triple_bits = bits(pair_bits) if longest > 2 else word_bits
+    blocks = rows.mapInArrow(trimmed(_phrases(word_bits, pair_bits, triple_bits, longest, log_buckets)), "bucket int, lang string, phrases binary, counts binary")
+    phrases = merged(blocks, _frequent_phrases, "lang string, phrase string, a long")
     both = phrases.union(common.select("lang", "word", "a"))
     return materialize(both.join(words.groupBy("lang").agg(F.sum("a").alias("n")), "lang"), "phrase-counts")
 
