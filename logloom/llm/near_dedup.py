@@ -331,8 +331,9 @@ def near_classes(
     hot = materialize(loads.filter(F.col("load") > list_cost * F.col("most")).select("doc", "comp"), "near-hot")
     marked = mixed.join(hot.select("doc", F.lit(True).alias("hot")), "doc", "left")
     marked = materialize(marked.withColumn("hot", F.coalesce("hot", F.lit(False))), "near-marked")
-    left, right = marked.filter("comp <> main").alias("l"), marked.alias("r")
-    cross = left.join(right, "value").filter("l.comp <> r.comp and not (l.hot and r.hot)").filter(~_far("l.n", "r.n", percent)).select(F.least("l.doc", "r.doc").alias("a"), F.greatest("l.doc", "r.doc").alias("b"))
+    # Members that are listed anew do not meet here, so the pairs are bounded by the others' loads.
+    left, right = marked.filter(~F.col("hot")).alias("l"), marked.alias("r")
+    cross = left.join(right, "value").filter("l.comp <> r.comp").filter(~_far("l.n", "r.n", percent)).select(F.least("l.doc", "r.doc").alias("a"), F.greatest("l.doc", "r.doc").alias("b"))
     more = cross.union(_refined(hot, texts, words, percent, broadcast_ids)).distinct().join(first, ["a", "b"], "left_anti")
     labels = components(links.union(_verified(more, reps, texts, words, k, percent, broadcast_ids)))
 
