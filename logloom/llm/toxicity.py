@@ -61,7 +61,10 @@ INNER = 0.7  # worth of a stretch inside a word next to one from its start
 TOP = 3
 SURE = 0.6  # decision value from which one unit is close to certain
 WIDTH = 24  # longer units are cut into windows of this many characters with the mark, one from each character on
-_LETTERS = re.compile(r"(?<!\S)(?:\w[\s.*_-]+){3,}\w(?!\S)")
+# Single letters or digits with separators between them. No character is both, and nothing is
+# tried twice, so a text takes time in proportion to its length.
+_CHAIN = re.compile(r"(?<![^\W_])[^\W_](?![^\W_])(?:[\s.*_-]++[^\W_](?![^\W_]))++")
+_SEPARATORS = re.compile(r"[\s.*_-]+")
 _INNER = re.compile(r"[\W_]+")
 _ENDS = ".,;:!?\"'()[]{}<>«»“”‘’…|#$%&*-_/\\=+~^`@"
 
@@ -73,7 +76,7 @@ def units(text: str | None) -> set[str]:
     text = text.lower()
     out = {w.strip(_ENDS) for w in set(text.split())}
     if _single_letters(text):
-        out.update(re.sub(r"[\s.*_-]+", "", m.group()) for m in _LETTERS.finditer(text))
+        out.update(spelt(text))
     for w in [w for w in out if not w.isalnum()]:
         parts = [p for p in _INNER.split(w) if p]
         joined = "".join(parts)  # without separators inside
@@ -90,6 +93,21 @@ def units(text: str | None) -> set[str]:
     return {w for w in out if len(w) >= LEAST}
 
 
+def spelt(text: str, least: int = 4) -> Iterator[str]:
+    """Single letters in a row, joined: from one that begins a word (between blanks) to one that ends a word."""
+    for m in _CHAIN.finditer(text):
+        own = m.group()
+        if m.start() and not text[m.start() - 1].isspace():
+            begins = re.search(r"\s(?=[^\W_])", own)
+            own = own[begins.end() :] if begins else ""
+        if m.end() < len(text) and not text[m.end()].isspace():
+            ends = [x.end() for x in re.finditer(r"[^\W_](?=\s)", own)]
+            own = own[: ends[-1]] if ends else ""
+        joined = _SEPARATORS.sub("", own)
+        if len(joined) >= least:
+            yield joined
+
+
 def _single_letters(text: str) -> bool:
     """Quick test for two single letters in a row."""
     return bool(re.search(r"(?<!\S)\w\s\w(?!\S)", text))
