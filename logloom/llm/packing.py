@@ -37,8 +37,8 @@ from .common import materialize, slices, small_batches, trimmed
 
 #: The one special token of the vocabulary; texts that hold it go to the slower library.
 _SPECIAL = "<|endoftext|>"
-#: So do texts with white space of that length in a row, on which the faster library's pattern search overflows its stack.
-_LONG_BLANK = 10_000
+#: So do texts with white space of that length in a row: the faster library takes time in proportion to the square of such a run.
+_LONG_BLANK = 100
 _BLANKS = re.compile(r"\s{%d}" % _LONG_BLANK)
 
 
