@@ -168,11 +168,18 @@ class Languages:
         self.languages = [x for b in blocks for x in b.languages]
 
 
+def table_bytes(by_language: list[tuple[np.ndarray, np.ndarray]], order: int) -> int:
+    """Upper bound of the size of the languages' table, from the grams alone."""
+    grams = np.unique(np.concatenate([g for g, _ in by_language]))
+    contexts = 1 + sum(len(np.unique(grams % 257 ** (o + 1) // 257)) for o in range(1, order + 1))
+    symbols = 1 + len(np.unique(np.concatenate([grams // 257**o % 257 for o in range(order + 1)])))
+    return 4 * (contexts * symbols * len(by_language) + symbols**order)
+
+
 def _tables(languages: list[str], by_language: list[tuple[np.ndarray, np.ndarray]], order: int, min_count: int, block_bytes: int) -> list[ContextTrees]:
-    """One table, or those of halves of the languages where it is too large."""
-    whole = ContextTrees(languages, by_language, order, min_count)
-    if whole.cost.nbytes + whole.row_of.nbytes <= block_bytes or len(languages) < 2:
-        return [whole]
+    """One table, or those of halves of the languages where it may be too large; that is known before it is made."""
+    if len(languages) < 2 or table_bytes(by_language, order) <= block_bytes:
+        return [ContextTrees(languages, by_language, order, min_count)]
     half = len(languages) // 2
     return _tables(languages[:half], by_language[:half], order, min_count, block_bytes) + _tables(languages[half:], by_language[half:], order, min_count, block_bytes)
 
@@ -181,11 +188,15 @@ def train(docs: DataFrame, order: int = 3, docs_per_language: int = 400, block_l
     """Context trees from rows with a non-null language (held-out rows are left to the caller)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null")
     sizes = materialize(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("of")), "language-sizes")
-    # A seeded cut leaves about four times the sample, so that few rows are ranked.
+    # A seeded cut leaves about four times the sample, so that few rows are ranked; languages whose ids
+    # repeat so often that it leaves too little are ranked whole.
     order_by = F.xxhash64("id", F.lit(11))
     spare = F.pmod(order_by, F.lit(1_000_000)) < F.floor(F.least(F.lit(1.0), F.lit(4 * docs_per_language) / F.col("of")) * 1_000_000)
     names = sorted(r["lang"] for r in sizes.select("lang").collect())
-    ranked = rows.join(F.broadcast(sizes) if len(names) <= 100_000 else sizes, "lang").filter(spare)
+    few = lambda t: F.broadcast(t) if len(names) <= 100_000 else t
+    left = rows.select("id", "lang").join(few(sizes), "lang").groupBy("lang", "of").agg(F.count_if(spare).alias("left"))
+    sizes = materialize(left.select("lang", "of", (F.col("left") < F.least("of", F.lit(docs_per_language))).alias("whole")), "language-cuts")
+    ranked = rows.join(few(sizes), "lang").filter(F.col("whole") | spare)
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(order_by, "id", F.xxhash64("text"))))
     # Null texts of the sample count as empty ones.
     sample = ranked.filter(F.col("rank") <= docs_per_language).select("lang", "text")
