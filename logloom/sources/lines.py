@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -62,13 +61,22 @@ def split_csv_line(line: str) -> list[str]:
         at = m.end()
 
 
-def _fields(line: pd.Series) -> pd.Series:
-    return line.map(lambda s: None if s is None else split_csv_line(s))
+# A field of a line that ends in a comma; each character is in one alternative, so long fields cost no stack.
+_RAW = r'(?!\z)[ \t]*+(?:"[^"]*+(?:""[^"]*+)*+(?:"|\z)[^,]*+|[^,]*+)(?:,|\z)'
+_INSIDE = r'^[ \t]*"([^"]*+(?:""[^"]*+)*+)'
 
 
 def csv_fields(line: Column) -> Column:
-    """Fields of CSV lines as an array."""
-    return F.pandas_udf(_fields, "array<string>")(line)
+    """Fields of CSV lines as an array, as ``split_csv_line`` has them."""
+
+    def clean_field(raw: Column) -> Column:
+        # A quote that is never closed takes the comma in that was added to the line.
+        inside = F.regexp_extract(raw, _INSIDE, 1)
+        open_end = ~raw.rlike(_INSIDE + '"')
+        kept = F.when(open_end, F.substring(inside, F.lit(1), F.length(inside) - 1)).otherwise(inside)
+        return F.when(raw.rlike(r'^[ \t]*"'), F.replace(kept, F.lit('""'), F.lit('"'))).otherwise(trim(F.regexp_replace(raw, r",\z", "")))
+
+    return F.transform(F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(_RAW), F.lit(0)), clean_field)
 
 
 def reconcile(fields: Column, columns: int, content: int) -> Column:
@@ -81,18 +89,31 @@ def reconcile(fields: Column, columns: int, content: int) -> Column:
     return F.when(surplus > 0, merged).otherwise(padded)
 
 
+# Parts that no log line holds, so that the CSV reader gives whole lines and drops each file's first.
+_WHOLE_LINES = {"header": True, "sep": "\x1e\x1f\x1e", "quote": "", "enforceSchema": True, "maxCharsPerColumn": -1, "nullValue": ""}
+
+
 def read_structured(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, content, template) of CSV logs whose header names ``Content``; the template is the last column."""
-    text = spark.read.text(path)
-    header = split_csv_line(text.first()[0])
-    rows = text.filter(F.col("value") != ",".join(header)).filter("trim(value) <> ''").select(reconcile(csv_fields(F.col("value")), len(header), header.index("Content")).alias("f"))
+    """(line_no, content, template) of CSV logs whose header names ``Content``; the template is the last column.
+
+    Each file's first line is its header, in one form for all files; fields of it
+    may have blanks around them or quotes.  Without ``LineId`` lines are numbered
+    in the order of the files' names, with gaps.
+    """
+    header = split_csv_line(spark.read.text(path).first()[0].lstrip("\ufeff"))
+    content = header.index("Content")
+    text = spark.read.schema("value string").options(**_WHOLE_LINES).csv(path)
+    rows = text.filter("trim(value) <> ''").select(reconcile(csv_fields(F.col("value")), len(header), content).alias("f"))
     line_no = F.get("f", F.lit(header.index("LineId"))).cast("long") if "LineId" in header else F.monotonically_increasing_id()
-    return rows.select(line_no.alias("line_no"), F.get("f", F.lit(header.index("Content"))).alias("content"), F.get("f", F.lit(len(header) - 1)).alias("template"))
+    return rows.select(line_no.alias("line_no"), F.get("f", F.lit(content)).alias("content"), F.get("f", F.lit(len(header) - 1)).alias("template"))
 
 
 def read_structured_dir(spark: SparkSession, folder: str) -> DataFrame:
-    """``read_structured`` of the log that a folder holds as ``*_structured.csv``."""
-    return read_structured(spark, folder.rstrip("/") + "/*_structured.csv")
+    """``read_structured`` of the log that a folder holds as ``*_structured.csv``: the first by name, if there are several."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*_structured.csv").load(folder)
+    if (first := found.agg(F.min("path")).first()[0]) is None:
+        raise FileNotFoundError(f"no *_structured.csv in {folder}")
+    return read_structured(spark, first)
 
 
 def template_ids(rows: DataFrame, by: Sequence[str] = ("template",)) -> DataFrame:
