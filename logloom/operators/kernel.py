@@ -104,19 +104,18 @@ class Tree:
 
     def _insert(self, tokens: Sequence[str], cluster: int) -> None:
         node = self.roots.setdefault(self.root_key(tokens), Node())
-        r = self.rules
         for token in self._path(tokens):
             known = node.children
-            if token not in known:
-                if r.numeric_to_param and _DIGIT.search(token):
-                    token = r.param
-                elif r.param in known:
-                    token = token if len(known) < r.max_children else r.param
-                elif len(known) + 1 >= r.max_children:
-                    token = r.param
+            if token not in known and self.routed_to_param(token, self.rules.param in known, len(known)):
+                token = self.rules.param
             node = known.setdefault(token, Node())
         node.ids = [cluster] if not tokens else [i for i in node.ids if i in self.clusters] + [cluster]
 
+    def routed_to_param(self, token: str, has_param: bool, children: int) -> bool:
+        """Whether a token without a node of its own goes below the wildcard's."""
+        r = self.rules
+        return bool(r.numeric_to_param and _DIGIT.search(token)) or children + (not has_param) >= r.max_children
+
     # Scoring -----------------------------------------------------------------
 
     def similarity(self, template: Sequence[str], tokens: Sequence[str], with_params: bool) -> tuple[float, int]:
@@ -221,8 +220,7 @@ class Tree:
             self.counter += 1
             self.clusters[self.counter] = [tuple(tokens), 1]
             if self.rules.max_clusters is not None:
-                while len(self.clusters) > self.rules.max_clusters:
-                    self.clusters.popitem(last=False)
+                self._evict()
             self._insert(tokens, self.counter)
             return self.counter, CREATED
         cluster = self.clusters[found]
@@ -230,9 +228,17 @@ class Tree:
         change = NONE if new == cluster[0] else CHANGED
         cluster[0], cluster[1] = new, cluster[1] + 1
         if self.rules.max_clusters is not None:
-            self.clusters.move_to_end(found)
+            self._touch(found)
         return found, change
 
+    def _evict(self) -> None:
+        """Drop the clusters that have been without a line for longest, down to the bound."""
+        while len(self.clusters) > self.rules.max_clusters:
+            self.clusters.popitem(last=False)
+
+    def _touch(self, cluster: int) -> None:
+        self.clusters.move_to_end(cluster)
+
     def match(self, tokens: Sequence[str], strategy: str = "never") -> int | None:
         """Id of the cluster that fits without change, or None."""
         least = 1.0 if self.rules.engine == "position" else 0.8

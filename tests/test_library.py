@@ -2,9 +2,7 @@
 
 import random
 import time
-from types import SimpleNamespace
 
-import pandas as pd
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -359,80 +357,3 @@ def test_factories(spark):
     assert one(spark, T.plain(a, b), a="slot1", b="slot2")["template_token"] == "<*>" and one(spark, T.extended(a, b), a="slot1", b="slot2")["template_token"] == "slot<*>"
     up = lambda x, y: F.when(F.upper(x) == F.upper(y), F.upper(x))
     assert [one(spark, T.custom(a, b, up), a=x, b="ox") for x in ("ox", "OX", "elk")] == ["ox", "OX", "<*>"]
-
-
-def test_stream_step_in_runs(monkeypatch):
-    """Results come in frames of bounded length, in msg_id order over all parts, as from a single fold."""
-    n = 700
-    rows = [(i * 37 % n, ms.SEP.join(["a", "bc"[i % 2], str(i % 5)])) for i in range(n)]
-    parts = [pd.DataFrame(rows[i : i + 30], columns=["msg_id", "joined"]) for i in range(0, n, 30)]
-    state = SimpleNamespace(exists=False, update=lambda v: None)
-    sizes = {"RUN_ROWS": 100, "BLOCK_ROWS": 7, "OUT_ROWS": 50}
-    for name, value in sizes.items():
-        monkeypatch.setattr(ms, name, value, raising=False)
-    out = list(ms._step(ms.Rules.of(MinerConfig()))(("k",), iter(parts), state))
-    assert max(map(len, out)) == 50
-    tree = ms.Tree(ms.Rules.of(MinerConfig()))
-    expected = [(i, *tree.add(t.split(ms.SEP))) for i, t in sorted(rows)]
-    got = pd.concat(out)
-    assert list(zip(got["msg_id"], got["local_id"], got["change_type"], strict=True)) == expected
-
-
-def test_pool(spark):
-    df = spark.createDataFrame([(i, f"line type {'abcd'[i % 4]}") for i in range(8)], LINES)
-    stats = mi.pool_stats(mi.mine(df, MinerConfig(), instances=2)).collect()
-    assert sum(r["total_lines"] for r in stats) == 8 and len(stats) == 2
-
-
-def test_profiler():
-    said = []
-    p = Profiler(show=said.append)
-    with p.section("total"), p.section("mask"):
-        pass
-    p.report()
-    assert len(said) == 2 and p.sums["mask"][1] == 1
-    for bad in (lambda: p.start(""), lambda: p.end("x"), lambda: (p.start("y"), p.start("y"))):
-        with pytest.raises(ValueError):
-            bad()
-    with NullProfiler().section("x"):
-        pass
-
-
-def test_miner_keeps_its_model(spark):
-    from logloom.miner import TemplateMiner
-
-    store = md.MemoryStore()
-    lines = [(i, f"{'crane' if i % 2 else 'lorry'} n{i} backs up") for i in range(10)]
-    rows = spark.createDataFrame(lines, LINES)
-    config = MinerConfig(snapshot_compress=True)
-    first = TemplateMiner(spark, config, store)
-    first.mine(rows.filter("msg_id < 6"))
-    second = TemplateMiner(spark, config, store)
-    got = {r["msg_id"]: (r["change_type"], r["cluster_id"], r["cluster_size"], r["template_mined"], r["cluster_count"]) for r in second.mine(rows.filter("msg_id >= 6")).collect()}
-    whole = serial(lines, config)
-    assert got == {i: v for i, v in whole.items() if i >= 6} and second.total_size() == 10
-    assert {r["cluster_id"] for r in second.match(rows.filter("msg_id = 3")).collect()} == {whole[3][1]}
-    assert second.snapshots.reason(False) is None and second.snapshots.reason(True) == "changed"
-    assert {r["cluster_id"] for r in second.merge().collect()} == {1} and mi.of_length(second.model, 4).count() == 1
-    learned = second.learn(spark.createDataFrame([(1, "crate sealed 1"), (2, "crate sealed 2")], LINES))
-    assert learned.positions == (0,)
-
-
-def test_token_results(spark):
-    a, b = F.col("a"), F.col("b")
-    dates = [(r"^(\d{4})-(\d{2})-(\d{2})$", 3, "${paramStr}-${paramStr}-${paramStr}", 0.95)]
-    got = one(spark, T.parameterize(a, b, patterns=dates), a="1999-03-07", b="2012-11-30")
-    assert tuple(got) == ("<*>-<*>-<*>", ["1999", "03", "07", "2012", "11", "30"], 0.95, "regex")
-    assert one(spark, T.parameterize(a, b, least_affix=2), a="rack7left", b="rack1250left")["extracted"] == ["7", "1250"]
-    assert tuple(one(spark, T.parameterize(a, b), a="x", b="y")) == ("<*>", ["x", "y"], 0.5, "full")
-    assert one(spark, T.fits(a, b), a="f[<*>].log", b="f[12].log") and not one(spark, T.fits(a, b), a="f<*>", b="f")
-
-
-def test_tree_table(spark):
-    from logloom.operators import tree as tr
-
-    model = spark.createDataFrame([(1, ["a", "x"], 1), (2, ["b", "<*>"], 4), (3, ["a", "y"], 1), (4, ["solo"], 1)], md.SCHEMA)
-    got = {(r["root_key"], r["rank"]): (r["path"], r["cluster_ids"]) for r in tr.nodes(model).collect()}
-    assert got == {("2", 0): (["a"], [1, 3]), ("2", 1): (["b"], [2]), ("1", 0): ([], [4])}
-    text = {r["root_key"]: r["text"] for r in tr.rendered(model, most=1).collect()}
-    assert '"<L=2>"' in text["2"] and "ID=1" in text["2"] and "ID=3" not in text["2"]
