@@ -8,8 +8,9 @@ ids that a serial run over all lines gives.
 
 A root key that holds a large part of all lines is dealt further along the
 tree's path where that provably changes nothing (``_dealt``), also when a model
-is taken up.  With ``max_clusters`` eviction depends on the order of all lines,
-so that mode is one serial group.
+is taken up.  Groups that are long still (lines that begin with a date, say) are
+folded in blocks at the same time (``blocks``).  With ``max_clusters`` eviction
+depends on the order of all lines, so these are one group, folded in blocks.
 
 Null lines give no result row.
 """
@@ -26,6 +27,7 @@ from logloom.config import MinerConfig
 from logloom.functions import masking, normalize, tokens
 from logloom.scratch import materialize
 
+from . import blocks
 from .kernel import CREATED, Rules, Tree
 
 SEP = "\x1f"
@@ -115,7 +117,17 @@ def _dealt(rows: DataFrame, config: MinerConfig, hot_rows: int, most: int = 2000
     return rows.drop("open")
 
 
-def _running(rows: DataFrame, by: Sequence[str], flag: Column, block: int = 65_536) -> DataFrame:
+def _long(rows: DataFrame, block_rows: int) -> DataFrame | None:
+    """Groups that are folded in blocks, with their cuts; None if there is none."""
+    lines = rows.filter(F.col("size").isNull()).select("grp", "msg_id")
+    many = lines.groupBy("grp").agg(F.count(F.lit(1)).alias("lines")).filter(F.col("lines") > 2 * block_rows).select("grp")
+    many = materialize(many, "mine-long")
+    if many.isEmpty():
+        return None
+    return materialize(blocks.long_groups(lines.join(many, "grp"), block_rows), "mine-cuts")
+
+
+def running(rows: DataFrame, by: Sequence[str], flag: Column, block: int = 65_536) -> DataFrame:
     """``rows`` with ``n``: how many rows up to this one (by msg_id) have the flag.
 
     Blocks of ids are counted first, so no task orders all rows.
@@ -127,13 +139,16 @@ def _running(rows: DataFrame, by: Sequence[str], flag: Column, block: int = 65_5
     return cut.withColumn("inside", inside).join(before, [*by, "blk"]).withColumn("n", F.col("inside") + F.col("before")).drop("blk", "flag", "inside", "before")
 
 
-def mine(lines: DataFrame, config: MinerConfig | None = None, stages: Sequence = (), instances: int | None = None, hot_rows: int = 20_000, model: DataFrame | None = None) -> DataFrame:
+def mine(lines: DataFrame, config: MinerConfig | None = None, stages: Sequence = (), instances: int | None = None, hot_rows: int = 20_000, model: DataFrame | None = None, block_rows: int = 20_000) -> DataFrame:
     """One row per line (msg_id, line): what the miner answers for it.
 
     ``model`` (cluster_id, template_tokens, size) is taken up where it stands.
 
     ``instances`` deals lines to that many independent models by
     ``msg_id % instances`` and adds the column ``instance``.
+
+    Root keys of more than ``hot_rows`` lines are dealt along the tree, groups of
+    more than twice ``block_rows`` are folded in blocks.
     """
     config = config or MinerConfig()
     if instances and model is not None:
@@ -151,11 +166,22 @@ def mine(lines: DataFrame, config: MinerConfig | None = None, stages: Sequence =
         rows = rows.withColumn("key", F.concat_ws(SEP, F.pmod("msg_id", F.lit(instances)).cast("string"), "key"))
     # Tokens are written once, so that looking at groups does not repeat masks and normalizers.
     rows = rows.withColumn("grp", F.col("key")) if serial else _dealt(materialize(rows, "mine-tokens"), config, hot_rows)
-    ordered = rows.select("msg_id", "grp", F.array_join("t", SEP).alias("joined"), "size")
-    ordered = ordered.repartition("grp").sortWithinPartitions("grp", F.col("size").isNull(), "msg_id")
-    schema = "msg_id long, grp string, local_id long, change_type string, cluster_size long, template_mined string"
-    out = materialize(ordered.mapInArrow(_fold(Rules.of(config), base), schema), "mined").withColumn("instance", F.pmod("msg_id", F.lit(instances or 1)))
-    counted = _running(out, ["instance"], F.col("change_type") == CREATED)
+    rows = rows.select("msg_id", "grp", F.array_join("t", SEP).alias("joined"), "size")
+    rules, schema = Rules.of(config), "msg_id long, grp string, local_id long, change_type string, cluster_size long, template_mined string"
+
+    def folded(part: DataFrame) -> DataFrame:
+        return part.repartition("grp").sortWithinPartitions("grp", F.col("size").isNull(), "msg_id").mapInArrow(_fold(rules, base), schema)
+
+    long = _long(rows, block_rows)
+    if long is None:
+        out = materialize(folded(rows), "mined")
+    else:
+        inside = rows.join(long.select("grp"), "grp", "left_semi")
+        stored = inside.filter(F.col("size").isNotNull()).select(F.col("msg_id").alias("at"), "grp", "joined", "size")
+        whole = blocks.fold_long(inside.filter(F.col("size").isNull()).select("msg_id", "grp", "joined"), stored, long, rules, base)
+        out = materialize(folded(rows.join(long.select("grp"), "grp", "left_anti").select(*rows.columns)).unionByName(whole), "mined")
+    out = out.withColumn("instance", F.pmod("msg_id", F.lit(instances or 1)))
+    counted = running(out, ["instance"], F.col("change_type") == CREATED)
     ids = counted.filter(F.col("change_type") == CREATED).select("instance", "grp", "local_id", (F.col("n") + base).alias("new_id"))
     final = counted.join(ids, ["instance", "grp", "local_id"], "left").withColumn("cluster_id", F.coalesce("new_id", "local_id"))
     live = F.least(F.col("n") + held, F.lit(config.max_clusters)) if config.max_clusters is not None else F.col("n") + held
