@@ -33,10 +33,23 @@ def group_scores(truth: DataFrame, parsed: DataFrame) -> DataFrame:
     return sums.select(F.coalesce(F.col("hit") / F.col("n"), F.lit(1.0)).alias("group_accuracy"), F.coalesce(_harmonic(F.col("precision"), F.col("recall")), F.lit(1.0)).alias("f1_group_accuracy"))
 
 
-def _overlap(a: Column, b: Column) -> Column:
-    """Positions that agree, two bracketed tokens counting as equal."""
-    bracket = lambda t: t.startswith("<") & t.endswith(">")
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: (x == y) | (bracket(x) & bracket(y))), lambda x: x))
+def _best_overlap(own: DataFrame, shown: DataFrame) -> DataFrame:
+    """(template_id, n, hit): tokens (a) against those (b) of one length, and most positions that agree.
+
+    Two bracketed tokens agree.  Templates that some ``b`` equals are settled by an equality join.  The others
+    meet only what they share a token with at some place, through lists by
+    length, place and token; the count of lists is the overlap.
+    """
+    loose = lambda t: F.transform(t, lambda x: F.when(x.startswith("<") & x.endswith(">"), F.lit("<>")).otherwise(x))
+    own = own.select("template_id", loose(F.col("a")).alias("a"))
+    shown = shown.select(loose(F.col("b")).alias("b")).distinct()
+    equal = own.join(shown.withColumnRenamed("b", "a"), "a", "left_semi").select("template_id")
+    rest = own.join(equal, "template_id", "left_anti")
+    left = rest.select("template_id", F.size("a").alias("n"), F.posexplode("a").alias("pos", "tok"))
+    right = shown.select("b", F.size("b").alias("n"), F.posexplode("b").alias("pos", "tok"))
+    hits = left.join(right, ["n", "pos", "tok"]).groupBy("template_id", "b").agg(F.count(F.lit(1)).alias("hit")).groupBy("template_id").agg(F.max("hit").alias("hit"))
+    known = own.select("template_id", F.size("a").alias("n")).join(equal.withColumn("same", F.lit(True)), "template_id", "left").join(hits, "template_id", "left")
+    return known.select("template_id", "n", F.when(F.col("same"), F.col("n")).otherwise(F.coalesce("hit", F.lit(0))).alias("hit"))
 
 
 def template_scores(truth: DataFrame, parsed: DataFrame) -> DataFrame:
@@ -47,8 +60,7 @@ def template_scores(truth: DataFrame, parsed: DataFrame) -> DataFrame:
     """
     own = truth.groupBy("template_id").agg(F.min_by("template_tokens", "msg_id").alias("a"))
     shown = parsed.groupBy("cluster_id").agg(F.min_by("template_tokens", "msg_id").alias("b")).select("b").distinct()
-    met = own.withColumn("n", F.size("a")).join(shown.withColumn("n", F.size("b")), "n", "left")
-    best = met.groupBy("template_id").agg(F.max("n").alias("n"), F.coalesce(F.max(_overlap(F.col("a"), F.col("b"))), F.lit(0)).alias("hit"))
+    best = _best_overlap(own, shown)
     found = F.col("hit") > 0
     sums = best.agg(
         F.count(F.lit(1)).alias("all"), F.sum(F.when(found, F.col("hit"))).alias("hit"), F.sum(F.when(found, F.col("n"))).alias("n"),

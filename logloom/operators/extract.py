@@ -7,8 +7,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
+from pyspark.sql.types import IntegerType, NullType, StringType, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from logloom.config import MinerConfig
 from logloom.functions.masking import Mask, by_name, mask_names
@@ -43,21 +46,31 @@ def extraction_regex(template: str, config: MinerConfig, exact: bool) -> tuple[r
         return None, names
 
 
+class Extractor:
+    """Parameters of lines, with the patterns of the templates met last."""
+
+    def __init__(self, config: MinerConfig, exact: bool):
+        self.delimiters = config.extra_delimiters
+        self.pattern = functools.lru_cache(maxsize=config.extraction_cache)(lambda template: extraction_regex(template, config, exact))
+
+    def __call__(self, template: str | None, line: str | None) -> list[tuple[str, str]]:
+        """(value, mask name) of each placeholder; none where the line does not fit."""
+        if template is None or line is None:
+            return []
+        for d in self.delimiters:
+            line = line.replace(d, " ")
+        pattern, names = self.pattern(template)
+        found = pattern.match(line) if pattern else None
+        return [(found.group(f"p{i}"), n) for i, n in enumerate(names)] if found else []
+
+
 def _extract(config: MinerConfig, exact: bool):
     kind = pa.list_(pa.struct([("value", pa.string()), ("mask_name", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cached = functools.lru_cache(maxsize=config.extraction_cache)(lambda template: extraction_regex(template, config, exact))
+        own = Extractor(config, exact)
         for batch in batches:
-            out = []
-            for template, line in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                found = None
-                if template is not None and line is not None:
-                    for d in config.extra_delimiters:
-                        line = line.replace(d, " ")
-                    pattern, names = cached(template)
-                    found = pattern.match(line) if pattern else None
-                out.append([{"value": found.group(f"p{i}"), "mask_name": n} for i, n in enumerate(names)] if found else [])
+            out = [[{"value": v, "mask_name": n} for v, n in own(*pair)] for pair in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["msg_id", "params"])
 
     return run
@@ -74,3 +87,28 @@ def extract(rows: DataFrame, config: MinerConfig | None = None, exact: bool = Tr
 def values(rows: DataFrame, config: MinerConfig | None = None) -> DataFrame:
     """(msg_id, values): the parameters alone, found inexactly."""
     return extract(rows, config, exact=False).select("msg_id", F.transform("params", lambda p: p["value"]).alias("values"))
+
+
+def register(spark: SparkSession, config: MinerConfig | None = None, name: str = "extract_parameters", exact: bool = True) -> None:
+    """A SQL table function ``name(template, line)``: a row (place, value, mask_name) for each parameter.
+
+    For use beside a table: ``SELECT m.msg_id, p.* FROM mined m, LATERAL extract_parameters(m.template_mined, m.line) p``.
+    The preprocessor of the settings is not applied.
+    """
+    config = (config or MinerConfig()).with_()
+
+    class Parameters:
+        @staticmethod
+        def analyze(template: AnalyzeArgument, line: AnalyzeArgument) -> AnalyzeResult:
+            if any(not isinstance(a.dataType, (StringType, NullType)) for a in (template, line)):
+                raise ValueError("a template and a line are needed, both strings")
+            return AnalyzeResult(StructType().add("place", IntegerType()).add("value", StringType()).add("mask_name", StringType()))
+
+        def __init__(self) -> None:
+            self.own = Extractor(config, exact)
+
+        def eval(self, template: str, line: str):
+            for place, (value, mask_name) in enumerate(self.own(template, line)):
+                yield place, value, mask_name
+
+    spark.udtf.register(name, udtf(Parameters))
