@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logloom.config import MinerConfig
 from logloom.functions import masking, normalize, similarity, template, tokens
+from logloom.operators import consensus as co
 from logloom.operators import evaluate as ev
 from logloom.operators import extract as ex
 from logloom.operators import match as mt
@@ -17,6 +18,7 @@ from logloom.scratch import fresh_path
 from logloom.sources import lines as src
 from logloom.sources import model as snapshots
 from logloom.streaming import mine_stream as ms
+from logloom.streaming.snapshots import ModelTable
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -144,6 +146,39 @@ def mine_max_clusters(spark, sf_dir):
     return out.select("msg_id", "cluster_id", "cluster_count", "cluster_size")
 
 
+@query(f"""WITH {_EV}, r AS (SELECT *, lag(event_type) OVER (ORDER BY msg_id) IS DISTINCT FROM event_type AS new FROM e),
+  s AS (SELECT *, sum(new::INT) OVER (ORDER BY msg_id) AS cluster_id FROM r)
+  SELECT msg_id, cluster_id::BIGINT AS cluster_id, 1::BIGINT AS cluster_count, row_number() OVER (PARTITION BY cluster_id ORDER BY msg_id) AS cluster_size FROM s""")
+def mine_bound_in_blocks(spark, sf_dir):
+    """The same bound, with the lines cut into blocks that are folded at the same time."""
+    out = mi.mine(_event_lines(spark, sf_dir), MinerConfig(depth=5, max_clusters=1), block_rows=1_500)
+    return out.select("msg_id", "cluster_id", "cluster_count", "cluster_size")
+
+
+@query(f"""WITH {_EV.replace("event_type, user_id", "strftime(ts, '%Y-%m-%d') AS d, event_type, user_id")}, r AS (
+  SELECT *, count(*) OVER w AS cluster_size, min(d) OVER w <> max(d) OVER w AS dv, min(u) OVER w <> max(u) OVER w AS uv, min(k) OVER w <> max(k) OVER w AS kv
+  FROM e WINDOW w AS (PARTITION BY event_type ORDER BY msg_id)
+), c AS (
+  SELECT *, lag(dv) OVER p AS pdv, lag(uv) OVER p AS puv, lag(kv) OVER p AS pkv,
+         CASE WHEN dv THEN '<*>' ELSE d END || ' event ' || event_type || ' user ' || CASE WHEN uv THEN '<*>' ELSE u END || ' value ' || CASE WHEN kv THEN '<*>' ELSE k END AS template_mined
+  FROM r WINDOW p AS (PARTITION BY event_type ORDER BY msg_id)
+) SELECT msg_id, template_mined, cluster_size, dense_rank() OVER (ORDER BY (SELECT min(x.msg_id) FROM e x WHERE x.event_type = c.event_type)) AS cluster_id,
+         CASE WHEN cluster_size = 1 THEN 'cluster_created' WHEN dv <> pdv OR uv <> puv OR kv <> pkv THEN 'cluster_template_changed' ELSE 'none' END AS change_type FROM c""")
+def mine_dated_in_blocks(spark, sf_dir):
+    """Lines that begin with a date share their way through the tree: one group, folded in blocks."""
+    day = _t(spark, sf_dir, "events").select(F.col("event_id").alias("msg_id"), F.date_format("ts", "yyyy-MM-dd").alias("d"))
+    rows = _event_lines(spark, sf_dir).join(day, "msg_id").withColumn("line", F.concat_ws(" ", "d", "line"))
+    return mi.mine(rows, MinerConfig(depth=6), block_rows=1_000).select("msg_id", "template_mined", "cluster_size", "cluster_id", "change_type")
+
+
+@query(f"""WITH {_EV} SELECT row_number() OVER (ORDER BY min(msg_id)) AS cluster_id, count(*) AS size,
+  'event ' || event_type || ' user ' || CASE WHEN count(DISTINCT u) = 1 THEN min(u) ELSE '<*>' END || ' value ' || CASE WHEN count(DISTINCT k) = 1 THEN min(k) ELSE '<*>' END AS template
+  FROM e GROUP BY event_type""")
+def pool_consensus(spark, sf_dir):
+    """One model of eight instances that each saw an eighth of the lines."""
+    return _shown(co.of_pool(mi.mine(_event_lines(spark, sf_dir), DEEP, instances=8), task_rows=10, fan_in=2))
+
+
 @query(f"""WITH {_EV} SELECT msg_id % 4 AS instance, count(*) AS total_lines, count(DISTINCT event_type) AS cluster_count FROM e GROUP BY 1""")
 def pool_stats(spark, sf_dir):
     return mi.pool_stats(mi.mine(_event_lines(spark, sf_dir), DEEP, instances=4))
@@ -169,6 +204,20 @@ def stream_mine(spark, sf_dir):
     return spark.read.schema(out.schema).parquet(f"{base}/out").select("msg_id", "change_type", "local_id", "cluster_size", "template_mined")
 
 
+@query(f"WITH {_RUNNING} SELECT msg_id, change_type, cluster_id, cluster_size, template_mined FROM m")
+def stream_numbered(spark, sf_dir):
+    """Results of a stream in batches of a file, with clusters numbered over all root keys as batches come."""
+    rows = _event_lines(spark, sf_dir).select("msg_id", "line")
+    base = fresh_path(spark, "stream-model")
+    top = rows.agg(F.max("msg_id")).first()[0] or 0
+    for k in range(4):  # files that come one after the other
+        rows.filter(F.floor(F.col("msg_id") * 4 / (top + 1)) == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema("msg_id long, line string").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    table = ModelTable(spark, f"{base}/model")
+    table.start(ms.mine_stream(stream, DEEP), f"{base}/state").awaitTermination()
+    return table.results().select("msg_id", "change_type", "cluster_id", "cluster_size", "template_mined")
+
+
 # Masks, tokens, normalizers ----------------------------------------------------
 
 _MARKED = r"regexp_replace(text, '([^A-Za-z0-9])', chr(1) || '\1' || chr(2), 'g')"
@@ -430,6 +479,29 @@ def extract_values(spark, sf_dir):
     return ex.values(_templated(spark, sf_dir)).select("msg_id", F.array_join("values", ";").alias("params"))
 
 
+@query(f"""WITH {_EV}, p AS (SELECT msg_id, unnest([event_type, u, k]) AS value, unnest(['*', 'NUM', 'NUM']) AS mask_name, unnest([0, 1, 2]) AS place FROM e) SELECT msg_id, place, value, mask_name FROM p""")
+def extract_by_table_function(spark, sf_dir):
+    """Parameters as rows, by a table function in SQL."""
+    ex.register(spark, MinerConfig(masks=masking.DEFAULT))
+    return spark.sql("SELECT e.msg_id, p.place, p.value, p.mask_name FROM {e} e, LATERAL extract_parameters(e.template, e.line) p", e=_templated(spark, sf_dir))
+
+
+@query(f"""WITH {_EV} SELECT count(*) AS messages, count(DISTINCT event_type) AS templates, count(DISTINCT event_type) AS clusters, 1.0::DOUBLE AS group_accuracy, 1.0::DOUBLE AS template_accuracy FROM e""")
+def eval_log_file(spark, sf_dir):
+    """From a folder with a structured log (header with blanks and quotes) to the scores of its mined clusters."""
+    e = _event_lines(spark, sf_dir)
+    template = F.concat(F.lit("event "), "event_type", F.lit(" user <*> value <*>"))
+    line = F.concat(F.col("msg_id").cast("string"), F.lit(', "'), "line", F.lit('" ,'), template)
+    folder = fresh_path(spark, "log-file")
+    header = spark.createDataFrame([('LineId, "Content" , EventTemplate',)], "value string")
+    header.union(e.select(line.alias("value"))).coalesce(1).write.text(f"{folder}/log")
+    rows = src.read_structured(spark, f"{folder}/log")
+    truth = rows.select(F.col("line_no").alias("msg_id"), F.col("template").alias("template_id"), F.split("template", " ").alias("template_tokens"))
+    mined = mi.mine(rows.select(F.col("line_no").alias("msg_id"), F.col("content").alias("line")), DEEP.with_(masks=(masking.NUM,)))
+    parsed = mined.select("msg_id", "cluster_id", F.split("template_mined", " ").alias("template_tokens"))
+    return ev.evaluate(truth, parsed).select("messages", "templates", "clusters", "group_accuracy", "template_accuracy")
+
+
 @query(f"""WITH {_MODEL} SELECT min(cluster_id) AS cluster_id, CASE WHEN count(*) > 1 THEN 'event <*> user <*> value <*>' ELSE min(template) END AS template,
   sum(size)::BIGINT AS size FROM model GROUP BY (cluster_id - 1) // 2""")
 def merge_position_diff(spark, sf_dir):
