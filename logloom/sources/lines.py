@@ -15,7 +15,7 @@ from logloom.scratch import materialize
 
 
 def clean(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Trimmed, non-empty lines in ``line``; other columns stay."""
+    """Trimmed, non-empty lines in ``line``, in place of a column of that name; other columns stay."""
     return lines.withColumn("line", trim(F.col(column))).filter("line <> ''")
 
 
