@@ -11,7 +11,7 @@ from logloom.operators import extract as ex
 from logloom.operators import match as mt
 from logloom.operators import merge as mg
 from logloom.operators import mine as mi
-from logloom.profiler import NullProfiler
+from logloom.profiler import NullProfiler, TaskSections
 from logloom.scratch import materialize
 from logloom.sources import model as md
 
@@ -27,6 +27,8 @@ class TemplateMiner:
     def __init__(self, spark: SparkSession, config: MinerConfig | None = None, store: md.Store | None = None, profiler=None):
         self.spark, self.config = spark, config or MinerConfig()
         self.profiler = profiler or NullProfiler()
+        #: Time of folds, look-ups and extraction inside tasks, if the settings ask for profiles.
+        self.sections = TaskSections(spark) if self.config.profiling else None
         self.snapshots = md.Snapshots(store, self.config.snapshot_minutes, self.config.snapshot_compress) if store else None
         self.model = md.from_json(spark, store.load() if store else None)
         self.stages: list = []
@@ -41,7 +43,7 @@ class TemplateMiner:
     def mine(self, lines: DataFrame) -> DataFrame:
         """Take lines (msg_id, line) in; one result row each."""
         with self.profiler.section("total"):
-            mined = materialize(mi.mine(lines, self.config, self.stages, model=self.model), "miner-results")
+            mined = materialize(mi.mine(lines, self.config, self.stages, model=self.model, sections=self.sections), "miner-results")
             self.model = materialize(mi.updated(self.model, mined), "miner-model")
             if self.snapshots:
                 with self.profiler.section("save_state"):
@@ -49,10 +51,10 @@ class TemplateMiner:
         return mined
 
     def match(self, lines: DataFrame, strategy: str = "never") -> DataFrame:
-        return mt.match(lines, self.model, self.config, strategy, self.stages)
+        return mt.match(lines, self.model, self.config, strategy, self.stages, sections=self.sections)
 
     def extract(self, rows: DataFrame, exact: bool = True) -> DataFrame:
-        return ex.extract(rows, self.config, exact)
+        return ex.extract(rows, self.config, exact, self.sections)
 
     def merge(self, strategies=None, by_length: bool = True) -> DataFrame:
         """Merge similar clusters; (old_id, cluster_id) of all clusters."""

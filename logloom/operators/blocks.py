@@ -27,7 +27,7 @@ gone.  All lines are one group then, as the bound is on all of them.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -209,11 +209,12 @@ def _block(msg_id: Column, cuts: Column) -> Column:
     return F.size(F.filter(cuts, lambda c: c < msg_id))
 
 
-def fold_long(lines: DataFrame, stored: DataFrame, groups: DataFrame, rules: Rules, base: int = 0) -> DataFrame:
+def fold_long(lines: DataFrame, stored: DataFrame, groups: DataFrame, rules: Rules, base: int = 0, timed: Callable = lambda _, run: run) -> DataFrame:
     """Results of the lines (msg_id, grp, joined) of ``groups`` (grp, cuts), as of a serial fold.
 
     ``stored``: (at, grp, joined, size) of a model that is taken up.  Columns:
-    msg_id, grp, local_id, change_type, cluster_size, template_mined.
+    msg_id, grp, local_id, change_type, cluster_size, template_mined.  ``timed``
+    wraps what tasks run, by the name of its section.
     """
     cut = materialize(lines.join(groups, "grp").select("msg_id", "grp", _block(F.col("msg_id"), F.col("cuts")).alias("blk"), "joined"), "blocks-lines")
     first = materialize(stored.join(groups.select("grp"), "grp").select("grp", "at", "joined", "size"), "blocks-stored")
@@ -229,7 +230,7 @@ def fold_long(lines: DataFrame, stored: DataFrame, groups: DataFrame, rules: Rul
         if tables:
             again = todo.select("grp", "blk").distinct()
             tables = [t.join(again, ["grp", "blk"], "left_anti") for t in tables]
-        tables.append(materialize(ordered.mapInArrow(_fold(rules, base), _FOLDED), "blocks-folded"))
+        tables.append(materialize(ordered.mapInArrow(timed("fold", _fold(rules, base)), _FOLDED), "blocks-folded"))
         done = tables[0]
         for t in tables[1:]:
             done = done.unionByName(t)
@@ -241,7 +242,7 @@ def fold_long(lines: DataFrame, stored: DataFrame, groups: DataFrame, rules: Rul
             begins = used.select("grp", "blk", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("at"), none.alias("joined"), "used")
         before = first.select("grp", F.lit(-1).alias("blk"), F.lit(-1).alias("kind"), "at", "joined", F.lit(None).cast("long").alias("used"))
         replayed = before.union(begins).union(changed).repartition("grp").sortWithinPartitions("grp", "blk", "kind", "at")
-        found = materialize(replayed.mapInArrow(_replay(rules, base), _FOUND), "blocks-found")
+        found = materialize(replayed.mapInArrow(timed("replay", _replay(rules, base)), _FOUND), "blocks-found")
         broken = found.filter(F.col("kind").isNull()).select("grp", "blk", "digest")
         if used is None:
             used = materialize(broken.select("grp", "blk", F.col("digest").alias("used")), "blocks-used")

@@ -15,6 +15,7 @@ from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from logloom.config import MinerConfig
 from logloom.functions.masking import Mask, by_name, mask_names
+from logloom.profiler import TaskSections
 
 
 def _plain(pattern: str) -> str:
@@ -76,12 +77,14 @@ def _extract(config: MinerConfig, exact: bool):
     return run
 
 
-def extract(rows: DataFrame, config: MinerConfig | None = None, exact: bool = True) -> DataFrame:
+def extract(rows: DataFrame, config: MinerConfig | None = None, exact: bool = True, sections: TaskSections | None = None) -> DataFrame:
     """(msg_id, params) for rows (msg_id, template, line); params is an array of (value, mask_name)."""
     config = config or MinerConfig()
     line = config.preprocessor(F.col("line")) if config.preprocessor else F.col("line")
     schema = "msg_id long, params array<struct<value: string, mask_name: string>>"
-    return rows.select(F.col("msg_id").cast("long"), "template", line.alias("line")).mapInArrow(_extract(config, exact), schema)
+    run = _extract(config, exact)
+    run = sections.timed("extract", run) if sections else run
+    return rows.select(F.col("msg_id").cast("long"), "template", line.alias("line")).mapInArrow(run, schema)
 
 
 def values(rows: DataFrame, config: MinerConfig | None = None) -> DataFrame:

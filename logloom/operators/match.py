@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from logloom.config import MinerConfig
 from logloom.functions import similarity, tokens
+from logloom.profiler import TaskSections
 from logloom.scratch import materialize
 
 from . import tree
@@ -67,7 +68,7 @@ def met(rows: DataFrame, index: DataFrame, broadcast_clusters: int = 100_000) ->
     return asked.join(few(index), ["key", "pos", "tok"]).select("msg_id", "t", "cluster_id", "tpl")
 
 
-def match(lines: DataFrame, model: DataFrame, config: MinerConfig | None = None, strategy: str = "never", stages: Sequence = (), salts: int = 8, broadcast_clusters: int = 100_000) -> DataFrame:
+def match(lines: DataFrame, model: DataFrame, config: MinerConfig | None = None, strategy: str = "never", stages: Sequence = (), salts: int = 8, broadcast_clusters: int = 100_000, sections: TaskSections | None = None) -> DataFrame:
     """(msg_id, cluster_id) for each line (msg_id, line); null where no cluster fits.
 
     ``model`` has cluster_id, template_tokens and size.  ``always`` broadcasts
@@ -92,4 +93,6 @@ def match(lines: DataFrame, model: DataFrame, config: MinerConfig | None = None,
     first = known.select("key", salted, F.lit(0).alias("kind"), F.col("cluster_id").alias("at"), F.array_join("tpl", SEP).alias("joined"), F.col("size").cast("long"))
     then = rows.select("key", F.pmod(F.xxhash64("msg_id"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("kind"), F.col("msg_id").alias("at"), F.array_join("t", SEP).alias("joined"), F.lit(None).cast("long").alias("size"))
     both = first.unionByName(then).select(F.concat_ws(SEP, "key", "salt").alias("grp"), "kind", "at", "joined", "size")
-    return both.repartition("grp").sortWithinPartitions("grp", "kind", "at").mapInArrow(_lookup(Rules.of(config), strategy), "msg_id long, cluster_id long")
+    run = _lookup(Rules.of(config), strategy)
+    run = sections.timed("lookup", run) if sections else run
+    return both.repartition("grp").sortWithinPartitions("grp", "kind", "at").mapInArrow(run, "msg_id long, cluster_id long")

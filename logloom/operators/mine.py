@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from logloom.config import MinerConfig
 from logloom.functions import masking, normalize, tokens
+from logloom.profiler import TaskSections
 from logloom.scratch import materialize
 
 from . import blocks
@@ -139,7 +140,7 @@ def running(rows: DataFrame, by: Sequence[str], flag: Column, block: int = 65_53
     return cut.withColumn("inside", inside).join(before, [*by, "blk"]).withColumn("n", F.col("inside") + F.col("before")).drop("blk", "flag", "inside", "before")
 
 
-def mine(lines: DataFrame, config: MinerConfig | None = None, stages: Sequence = (), instances: int | None = None, hot_rows: int = 20_000, model: DataFrame | None = None, block_rows: int = 20_000) -> DataFrame:
+def mine(lines: DataFrame, config: MinerConfig | None = None, stages: Sequence = (), instances: int | None = None, hot_rows: int = 20_000, model: DataFrame | None = None, block_rows: int = 20_000, sections: TaskSections | None = None) -> DataFrame:
     """One row per line (msg_id, line): what the miner answers for it.
 
     ``model`` (cluster_id, template_tokens, size) is taken up where it stands.
@@ -148,7 +149,8 @@ def mine(lines: DataFrame, config: MinerConfig | None = None, stages: Sequence =
     ``msg_id % instances`` and adds the column ``instance``.
 
     Root keys of more than ``hot_rows`` lines are dealt along the tree, groups of
-    more than twice ``block_rows`` are folded in blocks.
+    more than twice ``block_rows`` are folded in blocks.  ``sections`` gets the
+    time of the folds in tasks.
     """
     config = config or MinerConfig()
     if instances and model is not None:
@@ -169,8 +171,10 @@ def mine(lines: DataFrame, config: MinerConfig | None = None, stages: Sequence =
     rows = rows.select("msg_id", "grp", F.array_join("t", SEP).alias("joined"), "size")
     rules, schema = Rules.of(config), "msg_id long, grp string, local_id long, change_type string, cluster_size long, template_mined string"
 
+    timed = sections.timed if sections else lambda _, run: run
+
     def folded(part: DataFrame) -> DataFrame:
-        return part.repartition("grp").sortWithinPartitions("grp", F.col("size").isNull(), "msg_id").mapInArrow(_fold(rules, base), schema)
+        return part.repartition("grp").sortWithinPartitions("grp", F.col("size").isNull(), "msg_id").mapInArrow(timed("fold", _fold(rules, base)), schema)
 
     long = _long(rows, block_rows)
     if long is None:
@@ -178,7 +182,7 @@ def mine(lines: DataFrame, config: MinerConfig | None = None, stages: Sequence =
     else:
         inside = rows.join(long.select("grp"), "grp", "left_semi")
         stored = inside.filter(F.col("size").isNotNull()).select(F.col("msg_id").alias("at"), "grp", "joined", "size")
-        whole = blocks.fold_long(inside.filter(F.col("size").isNull()).select("msg_id", "grp", "joined"), stored, long, rules, base)
+        whole = blocks.fold_long(inside.filter(F.col("size").isNull()).select("msg_id", "grp", "joined"), stored, long, rules, base, timed)
         out = materialize(folded(rows.join(long.select("grp"), "grp", "left_anti").select(*rows.columns)).unionByName(whole), "mined")
     out = out.withColumn("instance", F.pmod("msg_id", F.lit(instances or 1)))
     counted = running(out, ["instance"], F.col("change_type") == CREATED)
