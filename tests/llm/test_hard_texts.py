@@ -112,7 +112,7 @@ def near_misses(n, words=60, edits=5, seed=0):
     return out
 
 
-@pytest.mark.parametrize("words,edits", [(2, 5), (5, 5), (2, 3)])
+@pytest.mark.parametrize("words,edits", [(2, 5), (5, 5)])
 def test_near_misses_hardly_meet(spark, words, edits, monkeypatch):
     """The pairs that reach a comparison grow with the group, not with its square."""
     met = {}
@@ -123,11 +123,11 @@ def test_near_misses_hardly_meet(spark, words, edits, monkeypatch):
         return real(pairs, *args, **kwargs)
 
     monkeypatch.setattr(N, "_verified", counting)
-    for n in (300, 1200):
+    for n in (300, 900):
         rows = near_misses(n, edits=edits)
         got = {r["doc_id"]: r["component_id"] for r in N.near_classes(spark.createDataFrame(rows, "doc_id long, text string"), words=words).collect()}
         sets = {i: set(zip(*(t.split()[k:] for k in range(words)), strict=False)) for i, t in rows[:40]}
         linked = any(5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) for a in sets for b in sets if a < b)
         assert linked or all(c == i for i, c in got.items())
-    assert met[1200] < 8 * max(met[300], 300)
+    assert met[900] < 6 * max(met[300], 300)
     assert re.match(r"w0|x", rows[0][1])
