@@ -100,7 +100,7 @@ def _pieces(capacity: int, json_path: str, ranks_path: str, end_id: int, keep_id
         names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids + ["part", "nth"]
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         number, part = _Numbers(), TaskContext.get().partitionId()
-        for batch in (x for whole in batches for x in slices(whole, 1)):
+        for batch in (x for whole in batches for x in slices(whole, 1, 2 << 20)):
             rows: list[list] = [[] for _ in kinds]
             kept: list = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
