@@ -22,7 +22,9 @@ A document's set holds the 64-bit hashes of its distinct word shingles; the
    values are first listed anew by their full sets, each entry with its place in the order.  The first
    value that two sets share bounds how much they can share after it, so an
    entry states the largest partner it can still be linked with, and members
-   meet through classes of size that both bounds admit (``_refined``).  Thousands
+   meet through classes of size that both bounds admit (``_refined``): first with
+   the few most central members of each list, whose links merge most of what is
+   left of a group, then all that are still in different components.  Thousands
    of near copies that miss the threshold with each other differ in more values
    than those bounds allow, hence hardly meet.
 4. *Filter.*  The union of two sketches estimates the similarity; pairs far
@@ -260,23 +262,30 @@ def _far(a: str, b: str, percent: int):
     return F.least(F.col(a), F.col(b)) * 100 < F.greatest(F.col(a), F.col(b)) * percent
 
 
-def _refined(hot: DataFrame, texts: DataFrame, words: int, percent: int, broadcast_ids: int) -> DataFrame:
-    """Pairs (a, b) of different components among documents (doc, comp) that full sets allow to be linked.
+def _placed(hot: DataFrame, texts: DataFrame, words: int, percent: int, broadcast_ids: int) -> DataFrame:
+    """Documents (doc, comp) on lists by their full sets, written: value, doc, n, alone, reach, band, signature.
 
     Sets of ``a`` and ``b`` values reach the threshold if they share
     ``percent * (a + b) / (100 + percent)`` values.  If the first one they share,
     in the order of all values, is at place i of the set of ``a`` values, they
-    share ``1 + a - i`` at most, so ``b`` is at most ``reach``.  Pairs whose
-    signatures differ in more bits than linked sets may differ in values are out.
+    share ``1 + a - i`` at most, so ``b`` is at most ``reach``.
     """
     sets = _sets_of(texts, hot.select("doc"), words, broadcast_ids)
     entries = sets.select("doc", "rep", "set").mapInArrow(trimmed(_values), "value long, doc long, rep long")
     ranked = _ranked(entries, sets.select("doc", "rep", "n", F.col("n").alias("size"), *_SIGNS))
     reach = F.floor((1 + F.col("n") - F.col("place")) * (100 + percent) / percent + 1e-9).cast("long") - F.col("n")
     placed = ranked.withColumn("reach", reach).filter(F.col("reach") * 100 >= F.col("n") * percent)
-    mixed = _mixed(placed.select("value", "doc", "n", "reach", *_SIGNS).join(hot, "doc")).withColumn("band", F.floor(F.log("n") * 50).cast("int"))
+    return materialize(placed.select("value", "doc", "n", "alone", "reach", F.floor(F.log("n") * 50).cast("int").alias("band"), *_SIGNS), "near-placed")
+
+
+def _alike(left: DataFrame, mixed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components, one of ``left`` and one of ``mixed``, that may be linked.
+
+    Members meet through classes of size that the bounds of both admit.  Pairs whose
+    signatures differ in more bits than linked sets may differ in values are out.
+    """
     bands = mixed.groupBy("value", "band").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("reach").alias("furthest"))
-    left, right = mixed.filter("comp <> main").drop("band").alias("l"), mixed.alias("r")
+    left, right = left.drop("band").alias("l"), mixed.alias("r")
     asked = left.join(bands, "value").filter(f"low <= l.reach and high * 100 >= l.n * {percent} and l.n <= furthest")
     asked = asked.select("value", "band", *[F.col(f"l.{c}").alias(f"l_{c}") for c in ("doc", "comp", "n", "reach", *_SIGNS)])
     differ = sum((F.bit_count(F.col(f"l_{c}").bitwiseXOR(F.col(f"r.{c}"))) for c in _SIGNS), F.lit(0))
@@ -286,6 +295,26 @@ def _refined(hot: DataFrame, texts: DataFrame, words: int, percent: int, broadca
     return met.select(F.least("l_doc", "r.doc").alias("a"), F.greatest("l_doc", "r.doc").alias("b")).distinct()
 
 
+def _centres(mixed: DataFrame, centres: int) -> DataFrame:
+    """Up to ``centres`` members of each list and class of size: those with the fewest values of their own."""
+    kept = ("doc", "comp", "n", "reach", *_SIGNS)
+    top = mixed.groupBy("value", "band", F.pmod(F.xxhash64("doc"), F.lit(centres)).alias("h")).agg(F.min(F.struct("alone", *kept)).alias("top"))
+    return top.select("value", "band", *[F.col(f"top.{c}").alias(c) for c in kept])
+
+
+def _refined(placed: DataFrame, comps: DataFrame, percent: int, centres: int = 0) -> DataFrame:
+    """Pairs (a, b) of different components (doc, comp) that full sets allow to be linked; with ``centres``, those of a list's most central members alone."""
+    mixed = _mixed(placed.join(comps, "doc"))
+    return _alike(_centres(mixed, centres) if centres else mixed.filter("comp <> main"), mixed, percent)
+
+
+def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (doc, comp) after more links, written."""
+    ends = links.join(comps.toDF("a", "x"), "a").join(comps.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    to = components(ends).toDF("comp", "to")
+    return materialize(comps.join(to, "comp", "left").select("doc", F.coalesce("to", "comp").alias("comp")), "near-merged")
+
+
 def near_classes(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -296,6 +325,7 @@ def near_classes(
     salt_size: int = 4096,
     list_cost: float = 1.0,
     broadcast_ids: int = 500_000,
+    centres: int = 4,
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -304,7 +334,8 @@ def near_classes(
     paired.  ``list_cost``: a document is listed by its full set where its lists
     of sketch values have more members than this many times its values.
     ``broadcast_ids``: most ids (8 bytes each) that are broadcast to
-    fetch texts; more are joined by a shuffle.
+    fetch texts; more are joined by a shuffle.  ``centres``: how many central members
+    of a list and class of size meet its others first, where documents are listed anew.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
@@ -334,7 +365,11 @@ def near_classes(
     # Members that are listed anew do not meet here, so the pairs are bounded by the others' loads.
     left, right = marked.filter(~F.col("hot")).alias("l"), marked.alias("r")
     cross = left.join(right, "value").filter("l.comp <> r.comp").filter(~_far("l.n", "r.n", percent)).select(F.least("l.doc", "r.doc").alias("a"), F.greatest("l.doc", "r.doc").alias("b"))
-    more = cross.union(_refined(hot, texts, words, percent, broadcast_ids)).distinct().join(first, ["a", "b"], "left_anti")
+    placed = _placed(hot, texts, words, percent, broadcast_ids)
+    if centres:  # links of central members merge most of what is left of a group, before all that may be linked meet
+        central = _verified(_refined(placed, hot, percent, centres), reps, texts, words, k, percent, broadcast_ids)
+        links, hot = links.union(central), _merged(hot, central)
+    more = cross.union(_refined(placed, hot, percent)).distinct().join(first, ["a", "b"], "left_anti")
     labels = components(links.union(_verified(more, reps, texts, words, k, percent, broadcast_ids)))
 
     classes = reps.join(labels.toDF("doc", "component"), "doc", "left").select("gid", F.coalesce("component", "doc").alias("component"))

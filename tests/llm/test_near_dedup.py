@@ -106,7 +106,31 @@ def test_large_group_below_the_threshold(spark):
     assert got == brute(rows, 2, 80) and sum(i == c for i, (_, c) in got.items()) > 90
     texts = df.select(N.F.col("doc_id").alias("doc"), N.F.col("text").cast("binary").alias("text"))
     hot = df.select(N.F.col("doc_id").alias("doc"), N.F.when(N.F.col("doc_id") % 3 == 0, N.F.col("doc_id")).otherwise(1).alias("comp"))
-    assert N._refined(hot, texts, 2, 80, 1000).count() < 1000  # of 25,000
+    assert N._refined(N._placed(hot, texts, 2, 80, 1000), hot, 80).count() < 1000  # of 25,000
+
+
+def test_central_members_merge_a_group(spark):
+    """Few random pairs of a group are linked, but most of its members are linked with central ones."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(100)]
+    rows = []
+    for i in range(240):
+        words = list(base)
+        for at in rng.sample(range(100), 1 if i % 40 == 7 else rng.randint(2, 4)):
+            words[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    texts = df.select(N.F.col("doc_id").alias("doc"), N.F.col("text").cast("binary").alias("text"))
+    alone = df.select(N.F.col("doc_id").alias("doc"), N.F.col("doc_id").alias("comp"))
+    placed = N._placed(alone, texts, 2, 80, 1000)
+    everything, central = (set(map(tuple, N._refined(placed, alone, 80, c).collect())) for c in (0, 4))
+    assert central <= everything and 0 < len(central) < len(everything) / 4
+    ends = N._merged(alone, spark.createDataFrame(sorted(central), "a long, b long")).collect()
+    assert len(ends) == 240 and len({r["comp"] for r in ends}) < 80
+    want = brute(rows, 2, 80)
+    for centres in (0, 4):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.near_classes(df, words=2, list_cost=0.0, centres=centres).collect()}
+        assert got == want
 
 
 def test_exact_check_in_parts(spark):
