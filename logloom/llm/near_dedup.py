@@ -16,9 +16,11 @@ A document's set holds the 64-bit hashes of its distinct word shingles; the
 3. *Overlaps.*  Rows of lists become candidate pairs in two passes.  First every
    member meets the list's most central member (the one with the fewest values
    of its own) and, on its longest list, its neighbour in a seeded order.  The links found merge most
-   of a group of near copies.  Then, for lists that still hold more than one
-   component, members outside the list's largest component meet the members of
-   other components.  Documents whose lists have more members than their set has
+   of a group of near copies.  Then members of different components meet on the
+   lists that still hold several.  Long lists are split for that by a second value
+   (``_split``): unrelated texts share one value of a long list, hardly ever two of
+   their few rarest, so the pairs grow with the documents where the lists grow too.
+   Documents whose lists have more members than their set has
    values are first listed anew by their full sets, each entry with its place in the order.  The first
    value that two sets share bounds how much they can share after it, so an
    entry states the largest partner it can still be linked with, and members
@@ -243,11 +245,38 @@ def _ranked(entries: DataFrame, own: DataFrame) -> DataFrame:
     return mine.withColumns({"alone": alone, "rank": rank}).withColumn("place", F.col("rank") + F.col("alone"))
 
 
+#: Groups that the values of long lists fall into; two values of one group make a key.
+_GROUPS = 3
+
+
 def _listed(reps: DataFrame) -> DataFrame:
-    """Inverted lists: (value, doc, n, df, alone, last) of the rarest values of each sketch; last: the doc's most frequent one."""
+    """Inverted lists: (value, doc, n, df, alone, last, listed, few) of the rarest values of each sketch.
+
+    ``last``: the doc's most frequent listed one.  ``_GROUPS`` more values follow
+    the listed ones (``listed`` is false).  ``few``: linked partners may share
+    ``_GROUPS`` values or fewer.
+    """
     own = reps.select("doc", F.xxhash64("gid").alias("rep"), "n", (F.length("sketch") / 8).cast("int").alias("size"), "listed", "sketch")
     entries = own.select("doc", "rep", "sketch").mapInArrow(trimmed(_values), "value long, doc long, rep long")
-    return _ranked(entries, own.drop("sketch")).filter("place <= listed").select("value", "doc", "n", "df", "alone", (F.col("place") == F.least("listed", "size")).alias("last"))
+    ranked = _ranked(entries, own.drop("sketch")).filter(F.col("place") <= F.col("listed") + _GROUPS)
+    last, listed, few = F.col("place") == F.least("listed", "size"), F.col("place") <= F.col("listed"), F.col("size") - F.col("listed") < _GROUPS
+    return ranked.select("value", "doc", "n", "df", "alone", last.alias("last"), listed.alias("listed"), few.alias("few"))
+
+
+def _split(mixed: DataFrame, short_list: int) -> DataFrame:
+    """Lists (value, doc, n, comp) on which every pair meets that may be linked; those of values with df > ``short_list`` are split.
+
+    Linked sets share m values or more of either sketch, so the first _GROUPS + 1
+    shared ones are among the listed and the _GROUPS after them, where m is more than
+    _GROUPS.  Either one of these is on a short list, or two of them are of long lists
+    and of one group: that pair of values is a key.  Sets that share fewer
+    (``few`` on both sides) meet on the long lists of their listed values.
+    """
+    short = mixed.filter(F.col("listed") & ((F.col("df") <= short_list) | F.col("few"))).select("value", "doc", "n", "comp")
+    grouped = mixed.filter(F.col("df") > short_list).groupBy("doc", "n", "comp", F.pmod(F.xxhash64("value"), F.lit(_GROUPS)).alias("g"))
+    several = grouped.agg(F.sort_array(F.collect_set("value")).alias("vs")).filter(F.size("vs") > 1)
+    keys = F.flatten(F.transform("vs", lambda x, i: F.transform(F.slice("vs", i + 2, F.size("vs")), lambda y: F.xxhash64(x, y))))
+    return short.union(several.select(F.explode(keys).alias("value"), "doc", "n", "comp"))
 
 
 def _mixed(placed: DataFrame) -> DataFrame:
@@ -326,6 +355,7 @@ def near_classes(
     list_cost: float = 1.0,
     broadcast_ids: int = 500_000,
     centres: int = 4,
+    short_list: int = 8,
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -336,6 +366,7 @@ def near_classes(
     ``broadcast_ids``: most ids (8 bytes each) that are broadcast to
     fetch texts; more are joined by a shuffle.  ``centres``: how many central members
     of a list and class of size meet its others first, where documents are listed anew.
+    ``short_list``: how many documents hold a value at most whose list is not split.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
@@ -343,7 +374,8 @@ def near_classes(
     usable = signed.filter("doc_id is not null and n > 0")
     reps = materialize(usable.groupBy("gid").agg(F.min(F.struct("doc_id", "n", "sketch", "listed")).alias("r")).select("gid", F.col("r.doc_id").alias("doc"), "r.n", "r.sketch", "r.listed"), "near-reps")
     texts = rows.select(F.col("doc_id").alias("doc"), "text")
-    lists = materialize(_listed(reps), "near-lists")
+    wide = materialize(_listed(reps), "near-lists")
+    lists = wide.filter("listed")
 
     heads = lists.groupBy("value").agg(F.min(F.struct("alone", "doc", "n")).alias("head"))
     stars = lists.join(heads, "value").select(F.col("head.doc").alias("a"), F.col("doc").alias("b"), F.col("head.n").alias("na"), F.col("n").alias("nb"))
@@ -355,7 +387,8 @@ def near_classes(
     links = _verified(first, reps, texts, words, k, percent, broadcast_ids)
     found = components(links)
 
-    mixed = _mixed(lists.select("value", "doc", "n").join(found.toDF("doc", "comp"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc")))
+    mixed = _mixed(wide.filter(F.col("listed") | (F.col("df") > short_list)).drop("alone", "last").join(found.toDF("doc", "comp"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc")))
+    mixed = _mixed(_split(mixed, short_list))
     # A document whose lists are longer in all than its set is listed anew; the pairs of the
     # others are fewer than their values.  Pairs of two listed anew are found by their full sets.
     loads = mixed.groupBy("doc", "comp").agg(F.sum("length").alias("load"), F.max("n").alias("most"))
@@ -364,7 +397,7 @@ def near_classes(
     marked = materialize(marked.withColumn("hot", F.coalesce("hot", F.lit(False))), "near-marked")
     # Members that are listed anew do not meet here, so the pairs are bounded by the others' loads.
     left, right = marked.filter(~F.col("hot")).alias("l"), marked.alias("r")
-    cross = left.join(right, "value").filter("l.comp <> r.comp").filter(~_far("l.n", "r.n", percent)).select(F.least("l.doc", "r.doc").alias("a"), F.greatest("l.doc", "r.doc").alias("b"))
+    cross = left.join(right, "value").filter("l.comp <> r.comp and (r.hot or l.doc < r.doc)").filter(~_far("l.n", "r.n", percent)).select(F.least("l.doc", "r.doc").alias("a"), F.greatest("l.doc", "r.doc").alias("b"))
     placed = _placed(hot, texts, words, percent, broadcast_ids)
     if centres:  # links of central members merge most of what is left of a group, before all that may be linked meet
         central = _verified(_refined(placed, hot, percent, centres), reps, texts, words, k, percent, broadcast_ids)

@@ -133,6 +133,36 @@ def test_central_members_merge_a_group(spark):
         assert got == want
 
 
+@pytest.mark.parametrize("k,percent,short_list", [(32, 80, 1), (32, 80, 4), (16, 50, 1), (256, 60, 2)])
+def test_split_lists_hold_every_linked_pair(spark, k, percent, short_list):
+    rng = random.Random(percent)
+    vocabulary = [f"w{i}" for i in range(25)]
+    texts = [t for size, length in [(30, 3), (30, 5), (30, 9), (30, 15), (40, 40)] for t in family(rng, size, length, length // 6 + 1, vocabulary)]
+    sets = {i: N.shingle_set(t.encode(), 2) for i, t in enumerate(texts)}
+    linked = {(a, b) for a, b in itertools.combinations(sets, 2) if 0 < (100 + percent) * len(np.intersect1d(sets[a], sets[b])) >= percent * (len(sets[a]) + len(sets[b]))}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("text", N.F.col("text").cast("binary"))
+    reps = df.mapInArrow(N._sketches(2, k, percent), "doc long, n long, gid binary, sketch binary, listed int")
+    split = N._split(N._listed(reps).withColumn("comp", N.F.col("doc")), short_list).select("value", "doc").distinct().cache()
+    met = split.join(split.toDF("value", "b"), "value").filter("doc < b").select("doc", "b").distinct()
+    assert len(linked) > 100 and linked <= set(map(tuple, met.collect()))
+
+
+def test_lists_that_grow_with_unrelated_texts(spark, monkeypatch):
+    """Texts of common shingles meet on two of them, so their pairs do not grow with the lists."""
+    rng = random.Random(3)
+    docs = [[f"w{rng.randrange(268)}" for _ in range(600)] for _ in range(2400)]
+    for i in range(0, 80, 2):
+        docs[i + 1] = list(docs[i])
+        for at in rng.sample(range(600), 10):
+            docs[i + 1][at] = "other"
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string").repartition(4)
+    asked, verified = [], N._verified
+    monkeypatch.setattr(N, "_verified", lambda pairs, *more: (asked.append(pairs.count()), verified(pairs, *more))[1])
+    got = {r["doc_id"]: r["component_id"] for r in N.near_classes(df, words=2).collect()}
+    assert got == {i: i - 1 if i < 80 and i % 2 else i for i in range(2400)}
+    assert asked[-1] < 20 * len(docs)
+
+
 def test_exact_check_in_parts(spark):
     rows = [(i, " ".join(f"w{j}" for j in range(60) if j != i)) for i in range(40)]
     texts = spark.createDataFrame(rows, "doc long, text string").withColumn("text", N.F.col("text").cast("binary"))
