@@ -16,18 +16,23 @@ in practice the second or third round is the last.
 
 A tree travels as its clusters in order, each with the tokens that it was made
 of and its template: the former rebuild nodes and leaves, the latter decides.
+A cluster is named by the place of the line that made it, which is the same
+whatever the block began with.
 
 With ``max_clusters`` the order of the clusters' last lines decides as well, but
 only when a new cluster drives the oldest out.  Between two new clusters the
 last line of each cluster that had any is therefore kept along with those that
-changed something, and trees carry that order, and the nodes of clusters that are
-gone.  All lines are one group then, as the bound is on all of them.
+changed something, and trees carry that order.  Of clusters that are gone nothing
+but the nodes of the tree is kept, so a tree is as large as the bound allows,
+however many clusters there were.  All lines are one group then, as the bound is
+on all of them.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import batched
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -35,12 +40,13 @@ from pyspark.sql import functions as F
 
 from logloom.scratch import materialize
 
-from .kernel import CREATED, NONE, Rules, Tree
+from .kernel import CREATED, NONE, Node, Rules, Tree
 
 SEP = "\x1f"
-_STATE, _ORDER, _LINE = 0, 1, 2  # clusters in order of birth, the order of their last lines, lines
-TOUCH = "touch"  # a line that is kept for its turn alone
+_NODE, _STATE, _ORDER, _LINE = 0, 1, 2, 3  # nodes, clusters in order of birth, the order of their last lines, lines
+TOUCH, BEGUN = "touch", "begun"  # a line that is kept for its turn alone; the tree that a block began with
 _MOST = 64  # blocks of a group
+_WIDTH = 40  # bits of a line's place in its block
 
 
 def _split(joined: str) -> tuple[str, ...]:
@@ -48,153 +54,150 @@ def _split(joined: str) -> tuple[str, ...]:
 
 
 class _Traced(Tree):
-    """A tree that knows the tokens its clusters were made of, and a digest of itself."""
+    """A tree that can be handed on: it knows the tokens its clusters were made of."""
 
-    def __init__(self, rules: Rules, base: int):
+    def __init__(self, rules: Rules):
         super().__init__(rules)
-        self.counter = base
         self.born: dict[int, tuple[str, ...]] = {}
-        self._sum = 0
 
-    @staticmethod
-    def _hash(*parts: str) -> int:
-        return int.from_bytes(hashlib.blake2b("\x1e".join(parts).encode(), digest_size=8).digest())
-
-    def _mark(self, cluster: int) -> int:
-        return self._hash("template", str(cluster), SEP.join(self.clusters[cluster][0]))
-
-    def _birth(self, cluster: int, tokens: tuple[str, ...]) -> None:
-        self.born[cluster] = tokens
-        self._sum += self._hash("born", str(cluster), SEP.join(tokens))
-
-    def restore(self, cluster: int, born: tuple[str, ...], template: tuple[str, ...] | None) -> None:
-        """Put a cluster back; one without a template is gone, and has left its nodes."""
-        self.load(cluster, born, 0)
-        self._birth(cluster, born)
-        if template is None:
-            del self.clusters[cluster]
+    def restore(self, kind: int, at: int, joined: str, template: str | None) -> None:
+        """Put back a row of ``state``."""
+        if kind == _NODE:
+            key, *path = joined.split(SEP)
+            node = self.roots.setdefault(key, Node())
+            for token in path:
+                node = node.children.setdefault(token, Node())
+        elif kind == _STATE:
+            self.born[at] = _split(joined)
+            self.load(at, self.born[at], 0)
+            self.clusters[at][0] = _split(template)
         else:
-            self.clusters[cluster][0] = template
-            self._sum += self._mark(cluster)
+            self.clusters.move_to_end(int(joined))
 
-    def replay(self, tokens: tuple[str, ...]) -> None:
-        """Take a line in and keep the digest up to date."""
-        found = self._find(tokens, self.rules.sim_th, False)
-        before = self._mark(found) if found is not None else 0
+    def take(self, tokens: tuple[str, ...], place: int) -> tuple[int, str]:
+        """Take a line in; a cluster that it makes is named by its place."""
+        self.counter = place - 1
         cluster, change = self.add(tokens)
         if change == CREATED:
-            self._birth(cluster, tokens)
-        self._sum += self._mark(cluster) - before
+            self.born[cluster] = tokens
+        return cluster, change
 
     def _evict(self) -> None:
         while len(self.clusters) > self.rules.max_clusters:
-            gone = next(iter(self.clusters))
-            self._sum -= self._mark(gone)
-            del self.clusters[gone]
+            self.born.pop(self.clusters.popitem(last=False)[0], None)
 
-    def digest(self) -> int:
-        order = self._hash("order", *map(str, self.clusters)) if self.rules.max_clusters is not None else 0
-        return (self._sum + order) % 2**63
+    def _ends(self) -> Iterator[str]:
+        """Root keys and paths of the nodes without children."""
+        todo = list(self.roots.items())
+        while todo:
+            joined, node = todo.pop()
+            if not node.children:
+                yield joined
+            todo += [(joined + SEP + token, child) for token, child in node.children.items()]
 
     def state(self) -> Iterator[tuple[int, int, str, str | None]]:
-        """(kind, at, joined, template) of all clusters, and their order where that matters."""
+        """(kind, at, joined, template) of all clusters; with a bound, of all nodes and the clusters' order too."""
+        bound = self.rules.max_clusters is not None
+        if bound:  # nodes stay when their clusters have gone
+            for place, joined in enumerate(sorted(self._ends())):
+                yield _NODE, place, joined, None
         for cluster, born in self.born.items():
-            known = self.clusters.get(cluster)
-            yield _STATE, cluster, SEP.join(born), SEP.join(known[0]) if known else None
-        if self.rules.max_clusters is not None:
+            yield _STATE, cluster, SEP.join(born), SEP.join(self.clusters[cluster][0])
+        if bound:
             for place, cluster in enumerate(self.clusters):
                 yield _ORDER, place, str(cluster), None
 
+    def digest(self) -> int:
+        out = hashlib.blake2b(digest_size=8)
+        for row in self.state():
+            out.update("\x1e".join(map(str, row)).encode() + b"\x1d")
+        return int.from_bytes(out.digest()) % 2**63
+
+
+def _sent(rows: Iterable[tuple], schema: str) -> Iterator[pa.RecordBatch]:
+    """Rows of a schema in batches."""
+    names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    types = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[k] for k in kinds]
+    for some in batched(rows, 10_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), types, strict=True)], list(names))
+
 
-_FOLDED = "msg_id long, grp string, blk int, local_id long, change_type string, n long, template_mined string, joined string"
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+_FOLDED = "msg_id long, grp string, blk int, local_id long, change_type string, n long, template_mined string, joined string, place long"
 
 
 def _fold(rules: Rules, base: int):
     """Rows (grp, blk, kind, at, joined, template) in order -> one row a line; ``n`` counts a cluster's lines in the block.
 
+    A block's first row has the digest of the tree that it began with as ``n``.
     With ``max_clusters`` lines that are kept for their turn come once more.
     """
-    names = [c.split()[0] for c in _FOLDED.split(", ")]
-    kinds = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, tree = None, _Traced(rules, base)
-        last: dict[int, tuple[int, str]] = {}  # each cluster's last line since the last new cluster
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        current, tree, place = None, _Traced(rules), 0
+        last: dict[int, tuple[int, str, int]] = {}  # each cluster's last line since the last new cluster
 
-        def told(out: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * len(kinds), kinds, strict=True)], names)
-
-        def touched() -> list[tuple]:
-            rows = [(at, *current, cluster, TOUCH, None, None, joined) for cluster, (at, joined) in last.items()]
+        def touched() -> Iterator[tuple]:
+            for cluster, (at, joined, place) in last.items():
+                yield at, *current, cluster, TOUCH, None, None, joined, place
             last.clear()
-            return rows
-
-        for batch in batches:
-            out: list[tuple] = []
-            for grp, blk, kind, at, joined, template in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if (grp, blk) != current:
-                    out += touched()
-                    current, tree = (grp, blk), _Traced(rules, base)
-                if kind == _STATE:
-                    tree.restore(at, _split(joined), None if template is None else _split(template))
-                    continue
-                if kind == _ORDER:
-                    tree.clusters.move_to_end(int(joined))
-                    continue
-                cluster, change = tree.add(_split(joined))
-                if rules.max_clusters is not None:
-                    if change == CREATED:
-                        out += touched()
-                    elif change == NONE:
-                        last[cluster] = at, joined
-                    else:
-                        last.pop(cluster, None)
-                template, n = tree.clusters[cluster]
-                out.append((at, grp, blk, cluster, change, n, " ".join(template), None if change == NONE else joined))
-            yield told(out)
-        yield told(touched())
-
-    return run
-
-
-_FOUND = "grp string, blk int, digest long, kind int, at long, joined string, template string"
-
-
-def _replay(rules: Rules, base: int):
+
+        for grp, blk, kind, at, joined, template in _rows(batches):
+            if (grp, blk) != current:
+                yield from touched()
+                current, tree, place = (grp, blk), _Traced(rules), base + (blk << _WIDTH)
+            if kind != _LINE:
+                tree.restore(kind, at, joined, template)
+                continue
+            if place == base + (blk << _WIDTH):
+                yield None, grp, blk, None, BEGUN, tree.digest(), None, None, None
+            place += 1
+            cluster, change = tree.take(_split(joined), place)
+            if rules.max_clusters is not None:
+                if change == CREATED:
+                    yield from touched()
+                elif change == NONE:
+                    last[cluster] = at, joined, place
+                else:
+                    last.pop(cluster, None)
+            template, n = tree.clusters[cluster]
+            kept = (None, None) if change == NONE else (joined, place)
+            yield at, grp, blk, cluster, change, n, " ".join(template), *kept
+        yield from touched()
+
+    return lambda batches: _sent(told(batches), _FOLDED)
+
+
+_FOUND = "grp string, blk int, kind int, at long, joined string, template string"
+
+
+def _replay(rules: Rules):
     """Rows (grp, blk, kind, at, joined, used) in order of blocks -> trees that blocks should begin with.
 
     kind -1: a cluster of the model that is taken up; 0: a block begins, ``used``
-    being the digest it was folded from; 1: a line that is kept.  Blocks that
-    began with another tree get a row with the right digest, and that tree.
+    being the digest of the tree that it began with; 1: a line that is kept, ``at``
+    being its place.  Blocks that began with another tree get a row, and that tree.
     """
-    names = [c.split()[0] for c in _FOUND.split(", ")]
-    kinds = (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, tree = None, _Traced(rules, base)
-
-        def told(out: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * len(kinds), kinds, strict=True)], names)
-
-        for batch in batches:
-            out: list[tuple] = []
-            for grp, blk, kind, at, joined, used in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if grp != current:
-                    current, tree = grp, _Traced(rules, base)
-                if kind < 0:
-                    tree.restore(at, _split(joined), _split(joined))
-                elif kind > 0:
-                    tree.replay(_split(joined))
-                elif used != (digest := tree.digest()):
-                    out.append((grp, blk, digest, None, None, None, None))
-                    for row in tree.state():
-                        out.append((grp, blk, digest, *row))
-                        if len(out) >= 20_000:
-                            yield told(out)
-                            out = []
-            yield told(out)
-
-    return run
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        current, tree = None, _Traced(rules)
+        for grp, blk, kind, at, joined, used in _rows(batches):
+            if grp != current:
+                current, tree = grp, _Traced(rules)
+            if kind < 0:
+                tree.restore(_STATE, at, joined, joined)
+            elif kind > 0:
+                tree.take(_split(joined), at)
+            elif used != tree.digest():
+                yield grp, blk, None, None, None, None
+                for row in tree.state():
+                    yield grp, blk, *row
+
+    return lambda batches: _sent(told(batches), _FOUND)
 
 
 def long_groups(lines: DataFrame, block_rows: int) -> DataFrame:
@@ -222,11 +225,10 @@ def fold_long(lines: DataFrame, stored: DataFrame, groups: DataFrame, rules: Rul
     blocks = materialize(cut.select("grp", "blk").distinct(), "blocks-all")
     # The first guess for every block is the model that is taken up.
     state = blocks.join(first, "grp").select("grp", "blk", F.lit(_STATE).alias("kind"), "at", "joined", F.col("joined").alias("template"))
-    used = None
     todo, tables = cut, []
     while True:
         given = state.union(todo.select("grp", "blk", F.lit(_LINE), "msg_id", "joined", none))
-        ordered = given.repartition("grp", "blk").sortWithinPartitions("grp", "blk", "kind", "at")
+        ordered = given.repartition("grp", "blk").sortWithinPartitions("grp", "blk", "kind", "at", "joined")
         if tables:
             again = todo.select("grp", "blk").distinct()
             tables = [t.join(again, ["grp", "blk"], "left_anti") for t in tables]
@@ -234,29 +236,18 @@ def fold_long(lines: DataFrame, stored: DataFrame, groups: DataFrame, rules: Rul
         done = tables[0]
         for t in tables[1:]:
             done = done.unionByName(t)
-        changed = done.filter(F.col("change_type") != NONE).select("grp", "blk", F.lit(1).alias("kind"), F.col("msg_id").alias("at"), "joined", F.lit(None).cast("long").alias("used"))
-        if used is None:
-            # All began with the stored model alone, as the first block does; no other block's digest is known yet.
-            begins = blocks.select("grp", "blk", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("at"), none.alias("joined"), F.lit(-1).cast("long").alias("used"))
-        else:
-            begins = used.select("grp", "blk", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("at"), none.alias("joined"), "used")
-        before = first.select("grp", F.lit(-1).alias("blk"), F.lit(-1).alias("kind"), "at", "joined", F.lit(None).cast("long").alias("used"))
+        unset = F.lit(None).cast("long")
+        before = first.select("grp", F.lit(-1).alias("blk"), F.lit(-1).alias("kind"), "at", "joined", unset.alias("used"))
+        begins = done.filter(F.col("change_type") == BEGUN).select("grp", "blk", F.lit(0).alias("kind"), unset.alias("at"), none.alias("joined"), F.col("n").alias("used"))
+        changed = done.filter(~F.col("change_type").isin(NONE, BEGUN)).select("grp", "blk", F.lit(1).alias("kind"), F.col("place").alias("at"), "joined", unset.alias("used"))
         replayed = before.union(begins).union(changed).repartition("grp").sortWithinPartitions("grp", "blk", "kind", "at")
-        found = materialize(replayed.mapInArrow(timed("replay", _replay(rules, base)), _FOUND), "blocks-found")
-        broken = found.filter(F.col("kind").isNull()).select("grp", "blk", "digest")
-        if used is None:
-            used = materialize(broken.select("grp", "blk", F.col("digest").alias("used")), "blocks-used")
-            # The first block of a group began with the right tree.
-            right = blocks.groupBy("grp").agg(F.min("blk").alias("blk"))
-            broken = broken.join(right, ["grp", "blk"], "left_anti")
-        else:
-            used = materialize(used.join(broken, ["grp", "blk"], "left").select("grp", "blk", F.coalesce("digest", "used").alias("used")), "blocks-used")
-        broken = materialize(broken.select("grp", "blk"), "blocks-broken")
+        found = materialize(replayed.mapInArrow(timed("replay", _replay(rules)), _FOUND), "blocks-found")
+        broken = materialize(found.filter(F.col("kind").isNull()).select("grp", "blk"), "blocks-broken")
         if broken.isEmpty():
             break
-        state = found.filter(F.col("kind").isNotNull()).join(broken, ["grp", "blk"]).select("grp", "blk", "kind", "at", "joined", "template")
+        state = found.filter(F.col("kind").isNotNull())
         todo = cut.join(broken, ["grp", "blk"])
-    done = done.filter(F.col("change_type") != TOUCH)
+    done = done.filter(~F.col("change_type").isin(TOUCH, BEGUN))
     counts = done.groupBy("grp", "blk", "local_id").agg(F.max("n").alias("own"))
     earlier = F.coalesce(F.sum("own").over(Window.partitionBy("grp", "local_id").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     known = first.select("grp", F.col("at").alias("local_id"), F.col("size").alias("held"))

@@ -100,3 +100,19 @@ def test_a_bound_with_a_model(spark):
     held = spark.createDataFrame([(c, list(t), n) for c, t, n in model], "cluster_id long, template_tokens array<string>, size long")
     lines = [(i, " ".join(rng.choice("abcxyz") for _ in range(3))) for i in range(400)]
     assert mined(spark.createDataFrame(lines, LINES), config, model=held, block_rows=40) == serial(lines, config, model)
+
+
+def test_trees_are_as_large_as_the_bound(spark, monkeypatch):
+    """Clusters that are gone are not handed on from block to block."""
+    written = {}
+
+    def counted(df, label, write=bl.materialize):
+        out = write(df, label)
+        written[label] = max(written.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(bl, "materialize", counted)
+    config = MinerConfig(max_clusters=2, sim_th=0.9)
+    lines = [(i, f"go {'abc'[i % 3]} u{i} w{i} end") for i in range(1000)]  # every line makes a cluster
+    assert mined(spark.createDataFrame(lines, LINES), config, block_rows=50) == serial(lines, config)
+    assert max(n for label, n in written.items() if label not in ("blocks-lines", "blocks-folded")) < 20 * 10
