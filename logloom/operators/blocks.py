@@ -26,6 +26,13 @@ changed something, and trees carry that order.  Of clusters that are gone nothin
 but the nodes of the tree is kept, so a tree is as large as the bound allows,
 however many clusters there were.  All lines are one group then, as the bound is
 on all of them.
+
+A small bound forgets soon: nearly all lines change something, but the last ones of
+a block decide how it ends.  So with ``max_clusters`` a block is first folded from
+what the last lines of the block before leave behind, and hands its own end on to
+the next one; the first block is right, so all are, once each began with what the
+one before it ended with.  No task sees the lines of all blocks.  Only where clusters
+outlive blocks, and few lines change something, the short pass is taken instead.
 """
 
 from __future__ import annotations
@@ -40,11 +47,12 @@ from pyspark.sql import functions as F
 
 from logloom.scratch import materialize
 
-from .kernel import CREATED, NONE, Node, Rules, Tree
+from .kernel import CHANGED, CREATED, NONE, Node, Rules, Tree
 
 SEP = "\x1f"
-_NODE, _STATE, _ORDER, _LINE = 0, 1, 2, 3  # nodes, clusters in order of birth, the order of their last lines, lines
-TOUCH, BEGUN = "touch", "begun"  # a line that is kept for its turn alone; the tree that a block began with
+_SKIP, _NODE, _STATE, _ORDER, _LINE = -1, 0, 1, 2, 3  # how many lines are left out, nodes, clusters in order of birth, the order of their last lines, lines
+TOUCH = "touch"  # a line that is kept for its turn alone
+BEGUN, ENDED, HELD = "begun", "ended", "held"  # digests of the trees that a block began and ended with, rows of the latter
 _MOST = 64  # blocks of a group
 _WIDTH = 40  # bits of a line's place in its block
 
@@ -107,9 +115,11 @@ class _Traced(Tree):
             for place, cluster in enumerate(self.clusters):
                 yield _ORDER, place, str(cluster), None
 
-    def digest(self) -> int:
+    def digest(self, nodes: bool = True) -> int:
         out = hashlib.blake2b(digest_size=8)
         for row in self.state():
+            if row[0] == _NODE and not nodes:
+                continue
             out.update("\x1e".join(map(str, row)).encode() + b"\x1d")
         return int.from_bytes(out.digest()) % 2**63
 
@@ -133,12 +143,14 @@ _FOLDED = "msg_id long, grp string, blk int, local_id long, change_type string,
 def _fold(rules: Rules, base: int):
     """Rows (grp, blk, kind, at, joined, template) in order -> one row a line; ``n`` counts a cluster's lines in the block.
 
-    A block's first row has the digest of the tree that it began with as ``n``.
-    With ``max_clusters`` lines that are kept for their turn come once more.
+    A block's first row has the digest of the tree that it began with as ``n``, and
+    as ``local_id`` the one without nodes.  With ``max_clusters`` lines that are kept
+    for their turn come once more, and the tree at the end comes with its digests.
     """
+    bound = rules.max_clusters is not None
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        current, tree, place = None, _Traced(rules), 0
+        current, tree, place, begun = None, _Traced(rules), 0, False
         last: dict[int, tuple[int, str, int]] = {}  # each cluster's last line since the last new cluster
 
         def touched() -> Iterator[tuple]:
@@ -146,18 +158,29 @@ def _fold(rules: Rules, base: int):
                 yield at, *current, cluster, TOUCH, None, None, joined, place
             last.clear()
 
+        def left() -> Iterator[tuple]:
+            if bound and current is not None:
+                yield from touched()
+                yield None, *current, tree.digest(False), ENDED, tree.digest(), None, None, None
+                for kind, at, joined, template in tree.state():
+                    yield None, *current, at, HELD, kind, template, joined, None
+
         for grp, blk, kind, at, joined, template in _rows(batches):
             if (grp, blk) != current:
-                yield from touched()
-                current, tree, place = (grp, blk), _Traced(rules), base + (blk << _WIDTH)
+                yield from left()
+                current, tree, place, begun = (grp, blk), _Traced(rules), base + (blk << _WIDTH), False
+            if kind == _SKIP:
+                place += at
+                continue
             if kind != _LINE:
                 tree.restore(kind, at, joined, template)
                 continue
-            if place == base + (blk << _WIDTH):
-                yield None, grp, blk, None, BEGUN, tree.digest(), None, None, None
+            if not begun:
+                begun = True
+                yield None, grp, blk, tree.digest(False) if bound else None, BEGUN, tree.digest(), None, None, None
             place += 1
             cluster, change = tree.take(_split(joined), place)
-            if rules.max_clusters is not None:
+            if bound:
                 if change == CREATED:
                     yield from touched()
                 elif change == NONE:
@@ -167,7 +190,7 @@ def _fold(rules: Rules, base: int):
             template, n = tree.clusters[cluster]
             kept = (None, None) if change == NONE else (joined, place)
             yield at, grp, blk, cluster, change, n, " ".join(template), *kept
-        yield from touched()
+        yield from left()
 
     return lambda batches: _sent(told(batches), _FOLDED)
 
@@ -212,6 +235,25 @@ def _block(msg_id: Column, cuts: Column) -> Column:
     return F.size(F.filter(cuts, lambda c: c < msg_id))
 
 
+def _apart(done: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(grp, blk, before, far): blocks that began with another tree than the one before ended with; far: not only in nodes."""
+    at = lambda kind, c: F.max(F.when(F.col("change_type") == kind, F.col(c)))
+    marks = done.filter(F.col("change_type").isin(BEGUN, ENDED)).groupBy("grp", "blk").agg(at(BEGUN, "n").alias("begun"), at(BEGUN, "local_id").alias("held"), at(ENDED, "n").alias("ended"), at(ENDED, "local_id").alias("left"))
+    ends = marks.select("grp", F.col("blk").alias("before"), "ended", "left")
+    pairs = blocks.join(marks.select("grp", "blk", "begun", "held"), ["grp", "blk"]).join(ends, ["grp", "before"])
+    return pairs.filter("begun <> ended").select("grp", "blk", "before", F.expr("held <> left").alias("far"))
+
+
+def _handed(done: DataFrame, to: DataFrame) -> DataFrame:
+    """Trees for the blocks ``to`` (grp, blk, before): the end of the block before, and the nodes of all before it."""
+    held = done.filter(F.col("change_type") == HELD).select("grp", "blk", F.col("n").cast("int").alias("kind"), F.col("local_id").alias("at"), "joined", F.col("template_mined").alias("template"))
+    names = ["grp", "blk", "kind", "at", "joined", "template"]
+    last = to.select("grp", "blk", "before").join(held.filter(F.col("kind") != _NODE).withColumnRenamed("blk", "before"), ["grp", "before"]).select(names)
+    nodes = held.filter(F.col("kind") == _NODE).groupBy("grp", "joined").agg(F.min("blk").alias("since"))
+    known = to.select("grp", "blk").join(nodes, "grp").filter("since < blk")
+    return last.union(known.select("grp", "blk", F.lit(_NODE), F.lit(0).cast("long"), "joined", F.lit(None).cast("string")))
+
+
 def fold_long(lines: DataFrame, stored: DataFrame, groups: DataFrame, rules: Rules, base: int = 0, timed: Callable = lambda _, run: run) -> DataFrame:
     """Results of the lines (msg_id, grp, joined) of ``groups`` (grp, cuts), as of a serial fold.
 
@@ -222,32 +264,64 @@ def fold_long(lines: DataFrame, stored: DataFrame, groups: DataFrame, rules: Rul
     cut = materialize(lines.join(groups, "grp").select("msg_id", "grp", _block(F.col("msg_id"), F.col("cuts")).alias("blk"), "joined"), "blocks-lines")
     first = materialize(stored.join(groups.select("grp"), "grp").select("grp", "at", "joined", "size"), "blocks-stored")
     none = F.lit(None).cast("string")
-    blocks = materialize(cut.select("grp", "blk").distinct(), "blocks-all")
-    # The first guess for every block is the model that is taken up.
-    state = blocks.join(first, "grp").select("grp", "blk", F.lit(_STATE).alias("kind"), "at", "joined", F.col("joined").alias("template"))
-    todo, tables = cut, []
-    while True:
-        given = state.union(todo.select("grp", "blk", F.lit(_LINE), "msg_id", "joined", none))
+    blocks = cut.select("grp", "blk").distinct()
+    blocks = materialize(blocks.withColumn("before", F.lag("blk").over(Window.partitionBy("grp").orderBy("blk"))), "blocks-all")
+
+    def taken_up(by: DataFrame) -> DataFrame:
+        return by.join(first, "grp").select("grp", "blk", F.lit(_STATE).alias("kind"), "at", "joined", F.col("joined").alias("template"))
+
+    def folded(state: DataFrame, part: DataFrame) -> DataFrame:
+        given = state.union(part.select("grp", "blk", F.lit(_LINE), "msg_id", "joined", none))
         ordered = given.repartition("grp", "blk").sortWithinPartitions("grp", "blk", "kind", "at", "joined")
+        return ordered.mapInArrow(timed("fold", _fold(rules, base)), _FOLDED)
+
+    def written(state: DataFrame) -> DataFrame:
+        # A union of joins by block counts as dealt by block already, but adaptive execution deals each side in its own way.
+        return materialize(state, "blocks-state")
+
+    # The first guess for every block is the model that is taken up, with a bound what the tenth of the lines before the block make of it.
+    state = taken_up(blocks)
+    linked = rules.max_clusters is not None
+    if linked:
+        tails = materialize(cut.groupBy("grp", "blk").agg(F.percentile_approx("msg_id", 0.9, 1_000).alias("tail")), "blocks-tails")
+        split = cut.join(tails, ["grp", "blk"])
+        skipped = split.filter("msg_id <= tail").groupBy("grp", "blk").agg(F.count(F.lit(1)).alias("at"))
+        skipped = skipped.select("grp", "blk", F.lit(_SKIP), "at", none, none)
+        ends = materialize(folded(written(state.union(skipped)), split.filter("msg_id > tail")).filter(F.col("change_type") == HELD), "blocks-ends")
+        state = written(taken_up(blocks.filter("before is null")).union(_handed(ends, blocks.filter("before is not null"))))
+    todo, tables, again, most = cut, [], None, blocks.count()
+    while True:
         if tables:
-            again = todo.select("grp", "blk").distinct()
-            tables = [t.join(again, ["grp", "blk"], "left_anti") for t in tables]
-        tables.append(materialize(ordered.mapInArrow(timed("fold", _fold(rules, base)), _FOLDED), "blocks-folded"))
+            tables = [t.join(again.select("grp", "blk"), ["grp", "blk"], "left_anti") for t in tables]
+        tables.append(materialize(folded(state, todo), "blocks-folded"))
         done = tables[0]
         for t in tables[1:]:
             done = done.unionByName(t)
+        if linked:
+            broken = materialize(_apart(done, blocks), "blocks-broken")
+            bad, far = broken.agg(F.count(F.lit(1)), F.count_if("far")).first()
+            if not bad:
+                break
+            # Ends that hardly depend on beginnings settle in a round or two.
+            linked, most = 2 * (far if len(tables) == 1 else bad) <= most, bad
+            if linked:
+                # What a block hands on may change with what it gets, nodes above all: those after it are folded again, too.
+                since = broken.groupBy("grp").agg(F.min("blk").alias("since"))
+                again = materialize(blocks.join(since, "grp").filter("blk >= since").select("grp", "blk", "before"), "blocks-again")
+                state, todo = written(_handed(done, again)), cut.join(again.select("grp", "blk"), ["grp", "blk"])
+                continue
         unset = F.lit(None).cast("long")
         before = first.select("grp", F.lit(-1).alias("blk"), F.lit(-1).alias("kind"), "at", "joined", unset.alias("used"))
         begins = done.filter(F.col("change_type") == BEGUN).select("grp", "blk", F.lit(0).alias("kind"), unset.alias("at"), none.alias("joined"), F.col("n").alias("used"))
-        changed = done.filter(~F.col("change_type").isin(NONE, BEGUN)).select("grp", "blk", F.lit(1).alias("kind"), F.col("place").alias("at"), "joined", unset.alias("used"))
+        changed = done.filter(F.col("change_type").isin(CREATED, CHANGED, TOUCH)).select("grp", "blk", F.lit(1).alias("kind"), F.col("place").alias("at"), "joined", unset.alias("used"))
         replayed = before.union(begins).union(changed).repartition("grp").sortWithinPartitions("grp", "blk", "kind", "at")
         found = materialize(replayed.mapInArrow(timed("replay", _replay(rules)), _FOUND), "blocks-found")
-        broken = materialize(found.filter(F.col("kind").isNull()).select("grp", "blk"), "blocks-broken")
-        if broken.isEmpty():
+        again = materialize(found.filter(F.col("kind").isNull()).select("grp", "blk"), "blocks-broken")
+        if again.isEmpty():
             break
         state = found.filter(F.col("kind").isNotNull())
-        todo = cut.join(broken, ["grp", "blk"])
-    done = done.filter(~F.col("change_type").isin(TOUCH, BEGUN))
+        todo = cut.join(again, ["grp", "blk"])
+    done = done.filter(F.col("change_type").isin(CREATED, CHANGED, NONE))
     counts = done.groupBy("grp", "blk", "local_id").agg(F.max("n").alias("own"))
     earlier = F.coalesce(F.sum("own").over(Window.partitionBy("grp", "local_id").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     known = first.select("grp", F.col("at").alias("local_id"), F.col("size").alias("held"))

@@ -116,3 +116,47 @@ def test_trees_are_as_large_as_the_bound(spark, monkeypatch):
     lines = [(i, f"go {'abc'[i % 3]} u{i} w{i} end") for i in range(1000)]  # every line makes a cluster
     assert mined(spark.createDataFrame(lines, LINES), config, block_rows=50) == serial(lines, config)
     assert max(n for label, n in written.items() if label not in ("blocks-lines", "blocks-folded")) < 20 * 10
+
+
+def _written(monkeypatch):
+    """Labels of the tables that the fold in blocks writes."""
+    labels = []
+    monkeypatch.setattr(bl, "materialize", lambda df, label, write=bl.materialize: (labels.append(label), write(df, label))[1])
+    return labels
+
+
+@pytest.mark.parametrize("seed,bound", [(0, 1), (1, 3)])
+def test_blocks_that_forget_need_no_pass_over_all_lines(spark, monkeypatch, seed, bound):
+    """Nearly every line makes a cluster: blocks hand their ends on, nodes of rare tokens too, and no task sees all lines."""
+    rng, labels = random.Random(seed), _written(monkeypatch)
+    config = MinerConfig(max_clusters=bound, depth=5, max_children=8)
+    lines = [(i, f"event {rng.choice('abcde')} user {rng.randrange(50)} value {rng.randrange(9)}") for i in range(1000)]
+    lines[30] = 30, "rare first words of six tokens"
+    lines[31] = 31, "other words"
+    lines[520] = 520, "seldom 7 words of six tokens"
+    assert mined(spark.createDataFrame(lines, LINES), config, block_rows=100) == serial(lines, config)
+    assert "blocks-found" not in labels
+
+
+def test_blocks_that_clusters_outlive_take_the_short_pass(spark, monkeypatch):
+    rng, labels = random.Random(3), _written(monkeypatch)
+    config = MinerConfig(max_clusters=8, depth=5)
+    lines = [(i, f"event {'abcdefg'[rng.randrange(1 + i * 7 // 1000)]} user {rng.randrange(50)} value {rng.randrange(9)}") for i in range(1000)]
+    assert mined(spark.createDataFrame(lines, LINES), config, block_rows=100) == serial(lines, config)
+    assert labels.count("blocks-found") in (1, 2, 3)
+
+
+def test_a_bound_where_no_join_is_broadcast(spark, monkeypatch):
+    """Trees and lines of a block meet in one task however the joins before are done."""
+    rng, labels = random.Random(4), _written(monkeypatch)
+    config = MinerConfig(max_clusters=2, depth=5)
+    lines = [(i, f"event {rng.choice('abc')} user {rng.randrange(50)} value {rng.randrange(9)}") for i in range(1000)]
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        assert mined(spark.createDataFrame(lines, LINES), config, block_rows=100) == serial(lines, config)
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert "blocks-found" not in labels
