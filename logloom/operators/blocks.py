@@ -31,8 +31,9 @@ A small bound forgets soon: nearly all lines change something, but the last ones
 a block decide how it ends.  So with ``max_clusters`` a block is first folded from
 what the last lines of the block before leave behind, and hands its own end on to
 the next one; the first block is right, so all are, once each began with what the
-one before it ended with.  No task sees the lines of all blocks.  Only where clusters
-outlive blocks, and few lines change something, the short pass is taken instead.
+one before it ended with.  No task sees the lines of all blocks.  Where clusters
+outlive blocks, so that most do not agree, the pass over the lines that changed
+something is taken instead; it is as long as these are many.
 """
 
 from __future__ import annotations
